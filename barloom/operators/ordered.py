@@ -13,6 +13,7 @@ task, and what crosses a span boundary is either
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -71,35 +72,52 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
 
 
 def running(df: DataFrame, layout: Layout = BARS, *, order: tuple[str, ...] = (), reverse: bool = False,
-            inclusive: bool = True, **specs: tuple[str, Column]) -> DataFrame:
+            inclusive: bool = True, **specs: tuple) -> DataFrame:
     """Cumulative ``sum/count/max/min/last`` per key, as a two-level scan.
 
-    ``specs`` maps an output name to ``(kind, column)``.  ``last`` skips NULLs, so
-    it is a forward fill (backward with ``reverse``).  Level one runs inside each
-    time span; level two runs over one row per span; the join back reuses the
-    span partitioning, so bulk rows are shuffled once.
+    ``specs`` maps an output name to ``(kind, column)`` or ``(kind, column, options)``
+    where options may override ``reverse`` and ``inclusive``, so forward and
+    backward scans share one pass.  ``last`` skips NULLs, so it is a forward fill
+    (backward with ``reverse``).  Level one runs inside each time span; level two
+    runs over one row per span; the join back reuses the span partitioning, so
+    bulk rows are shuffled once.
     """
     keys = [*layout.key, "_span"]
     base = df.withColumn("_span", layout.span())
     names = [layout.time, *order]
-    direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in names]
-    stop = 0 if inclusive else -1
-    w = Window.partitionBy(*keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, stop)
     stamp = F.struct(*names)
+    scans = {n: (s[0], s[1], *(({"reverse": reverse, "inclusive": inclusive} | (s[2] if len(s) > 2 else {})).values()))
+             for n, s in specs.items()}
 
-    span_dir = F.col("_span").desc() if reverse else F.col("_span").asc()
-    before = (Window.partitionBy(*layout.key).orderBy(span_dir)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = base.groupBy(*keys).agg(
-        *[_total(kind, c, stamp, reverse).alias(f"_t_{n}") for n, (kind, c) in specs.items()])
-    carry = carry.select(*keys, *[
-        _fold("sum" if kind == "count" else kind, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}")
-        for n, (kind, _) in specs.items()])
+    def frame(back: bool, with_row: bool):
+        direction = [F.col(c).desc() if back else F.col(c).asc() for c in names]
+        return Window.partitionBy(*keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0 if with_row else -1)
 
-    local = base.select("*", *[_fold(kind, c).over(w).alias(f"_l_{n}") for n, (kind, c) in specs.items()])
+    def before(back: bool):
+        way = F.col("_span").desc() if back else F.col("_span").asc()
+        return Window.partitionBy(*layout.key).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+
+    carry = base.groupBy(*keys).agg(*[_total(k, c, stamp, back).alias(f"_t_{n}") for n, (k, c, back, _) in scans.items()])
+    carry = carry.select(*keys, *[_fold("sum" if k == "count" else k, F.col(f"_t_{n}")).over(before(back)).alias(f"_c_{n}")
+                                  for n, (k, _, back, _) in scans.items()])
+    local = base.select("*", *[_fold(k, c).over(frame(back, row)).alias(f"_l_{n}") for n, (k, c, back, row) in scans.items()])
     keep = [c for c in df.columns if c not in specs]
     return local.join(carry, keys, "left").select(
-        *keep, *[_merge(kind, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (kind, _) in specs.items()])
+        *keep, *[_merge(k, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (k, *_) in scans.items()])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and go on from there.
+
+    A scan reads its input twice (rows and span totals), so a chain of scans would
+    read its source exponentially often; deep operators settle between scans.
+    The folder is the one the session names; a fresh local one only where it names none.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
 
 
 def index_rows(df: DataFrame, layout: Layout = BARS, name: str = "_i", order: tuple[str, ...] = ()) -> DataFrame:
@@ -151,11 +169,10 @@ def run_bounds(df: DataFrame, starts: Column, layout: Layout = BARS) -> DataFram
     """
     base = index_rows(df, layout).withColumn("_new", starts)
     mark = F.when(F.col("_new") | (F.col("_i") == 0), F.col("_i"))
-    fwd = running(base, layout, run_start=("last", mark), _n=("max", F.col("_i")))
-    back = running(fwd, layout, reverse=True, inclusive=False,
-                   _next=("last", mark), _last=("max", F.col("_i")))
+    after = {"reverse": True, "inclusive": False}
+    both = running(base, layout, run_start=("last", mark), _next=("last", mark, after), _last=("max", F.col("_i"), after))
     end = F.coalesce(F.col("_next") - 1, F.col("_last"), F.col("_i"))
-    return back.withColumn("run_end", end).drop("_new", "_next", "_last", "_n")
+    return both.withColumn("run_end", end).drop("_new", "_next", "_last")
 
 
 def _block(decays: list[float], rows: int) -> int:

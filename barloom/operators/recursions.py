@@ -13,14 +13,13 @@ the whole series, and no task holds more than a chunk and its warm-up.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from barloom.operators.ordered import BARS, Layout, index_rows
+from barloom.operators.ordered import BARS, Layout, index_rows, settle
 
 _FAN = 4_096  # chunk summaries handled by one task on the way up
 
@@ -71,7 +70,7 @@ def affine(df: DataFrame, a: str, b: str, out: str, layout: Layout = BARS) -> Da
     """``y_t = a_t y_(t-1) + b_t`` from ``y = 0`` before the first row."""
     key = list(layout.key)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    base = index_rows(df, layout).withColumn("_chunk", F.floor(F.col("_i") / layout.rows))
+    base = settle(index_rows(df, layout)).withColumn("_chunk", F.floor(F.col("_i") / layout.rows))
     slim = base.select(*key, "_chunk", "_i", F.coalesce(a, F.lit(1.0)).alias("_a"), F.coalesce(b, F.lit(0.0)).alias("_b"))
     chunks = _reduce(slim, [*key, "_chunk"], "_i", f"{types}, _chunk bigint")
     chunks = chunks.withColumn("_group", F.floor(F.col("_chunk") / _FAN))
@@ -174,12 +173,10 @@ def recursive(df: DataFrame, src: str, out: str, kernel: Callable, n: int, first
               warm: int | None = None, tolerance: float = 1e-11) -> DataFrame:
     """Nonlinear recursion over each series, started on row ``first``.  Runs jobs to verify chunk boundaries."""
     key = list(layout.key)
-    spark = df.sparkSession
-    _shared_checkpoints(spark)
     warm = 40 * max(n, 8) if warm is None else warm
     warm = min(warm, layout.rows * 4)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema)
-    base = index_rows(df, layout)
+    base = settle(index_rows(df, layout))
     rows, size = F.lit(layout.rows), layout.rows
     slim = base.where(F.col("_i") >= first).select(*key, "_i", F.col(src).cast("double").alias("_x"))
     schema = f"{types}, _chunk bigint, _i bigint, _y double, _start array<double>, _end array<double>"
@@ -209,7 +206,7 @@ def recursive(df: DataFrame, src: str, out: str, kernel: Callable, n: int, first
     spread = slim.select("*", no_seed, F.explode(F.sequence(F.floor(F.col("_i") / rows),
                                                             F.floor((F.col("_i") + F.lit(warm)) / rows))).alias("_chunk"))
     own = slim.withColumn("_chunk", F.floor(F.col("_i") / rows))
-    done = spread.groupBy(*key, "_chunk").applyInPandas(chunk_run, schema).checkpoint()
+    done = settle(spread.groupBy(*key, "_chunk").applyInPandas(chunk_run, schema))
     while True:
         ends = done.where(F.col("_end").isNotNull()).select(*key, (F.col("_chunk") + 1).alias("_chunk"), F.col("_end").alias("_seed"))
         starts = done.where(F.col("_start").isNotNull()).select(*key, "_chunk", "_start")
@@ -219,13 +216,6 @@ def recursive(df: DataFrame, src: str, out: str, kernel: Callable, n: int, first
         if bad.isEmpty():
             break
         again = (own.join(bad, [*key, "_chunk"]).groupBy(*key, "_chunk").applyInPandas(chunk_run, schema))
-        done = done.join(bad.select(*key, "_chunk"), [*key, "_chunk"], "left_anti").unionByName(again).checkpoint()
+        done = settle(done.join(bad.select(*key, "_chunk"), [*key, "_chunk"], "left_anti").unionByName(again))
     return base.drop(out).join(done.select(*key, "_i", F.col("_y").alias(out)), [*key, "_i"], "left")
 
-
-def _shared_checkpoints(spark) -> None:
-    """Use the cluster's shared checkpoint folder; a fresh one only where the session names none."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))

@@ -94,8 +94,8 @@ def segments(df: DataFrame, signal: str, layout: Layout = BARS) -> DataFrame:
     """A +1 opens when none is open, the next -1 closes; unfinished segments are dropped."""
     s = F.col(signal)
     d = index_rows(df, layout)
-    d = running(d, layout, inclusive=False, _prev=("last", F.when(s != 0, s)))
-    d = running(d, layout, reverse=True, inclusive=False, _end=("last", F.when(s == -1, F.struct(F.col("_i"), F.col(layout.time)))))
+    d = running(d, layout, inclusive=False, _prev=("last", F.when(s != 0, s)),
+                _end=("last", F.when(s == -1, F.struct(F.col("_i"), F.col(layout.time))), {"reverse": True}))
     opens = (s == 1) & (F.coalesce("_prev", F.lit(-1)) == -1)
     return d.where(opens & F.col("_end").isNotNull()).select(
         *layout.key, F.col("_i").alias("start_idx"), F.col("_end._i").alias("end_idx"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -66,10 +67,13 @@ def main(argv):
     fails = 0
     for n in names:
         t = time.time()
+        stop = threading.Timer(float(os.environ.get("QUERY_LIMIT", "60")), spark.sparkContext.cancelAllJobs)
+        stop.start()
         try:
             ok, exact, rows, msg = compare(REGISTRY[n], spark, con, sf_dir)
         except Exception as e:  # report and go on
             ok, exact, rows, msg = False, False, -1, f"{type(e).__name__}: {str(e)[:900]}"
+        stop.cancel()
         fails += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {'=' if exact else '~'} {n:38s} rows={rows:<7d} {time.time() - t:5.1f}s {msg}", flush=True)
     print(f"{len(names) - fails}/{len(names)} ok")
