@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -85,7 +86,7 @@ def running(df: DataFrame, layout: Layout = BARS, *, order: tuple[str, ...] = ()
     keys = [*layout.key, "_span"]
     base = df.withColumn("_span", layout.span())
     names = [layout.time, *order]
-    stamp = F.struct(*names)
+    stamp = F.struct(*names) if order else F.col(layout.time)
     scans = {n: (s[0], s[1], *(({"reverse": reverse, "inclusive": inclusive} | (s[2] if len(s) > 2 else {})).values()))
              for n, s in specs.items()}
 
@@ -107,17 +108,23 @@ def running(df: DataFrame, layout: Layout = BARS, *, order: tuple[str, ...] = ()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and go on from there.
+    """Write an intermediate table to the shared checkpoint folder and go on from there.
 
     A scan reads its input twice (rows and span totals), so a chain of scans would
-    read its source exponentially often; deep operators settle between scans.
-    The folder is the one the session names; a fresh local one only where it names none.
+    read its source exponentially often; deep operators settle between scans.  The
+    table survives lost executors and is read back column by column.  The folder is
+    the one the session names; a fresh local one only where it names none.
     """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        defined = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = defined.get() if defined.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not defined.isDefined():
+            spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def index_rows(df: DataFrame, layout: Layout = BARS, name: str = "_i", order: tuple[str, ...] = ()) -> DataFrame:

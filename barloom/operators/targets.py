@@ -126,7 +126,8 @@ def fold_table(spark, rows: Column | int, count: DataFrame | None, folds: int, r
             .select("fold", (f * F.col("test_size")).alias("train_start"),
                     (f * F.col("test_size") + F.col("train_size")).alias("train_end"),
                     (f * F.col("test_size") + F.col("train_size")).alias("test_start"),
-                    F.least(F.col("n"), (f + 1) * F.col("test_size") + F.col("train_size")).alias("test_end")))
+                    ((f + 1) * F.col("test_size") + F.col("train_size")).alias("test_end"), "n")
+            .where(F.col("test_end") <= F.col("n")).drop("n"))
 
 
 def assign_folds(indexed: DataFrame, folds: DataFrame, idx: str = "row_idx") -> DataFrame:
