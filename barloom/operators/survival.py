@@ -35,7 +35,7 @@ def completed_stats(streaks: DataFrame, keys: list[str]) -> DataFrame:
     """Length statistics of whole runs.  Lengths are few, so counts per length carry the quantiles."""
     counts = streaks.where("completed").groupBy(*keys, "streak").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy(*keys).agg(F.sum("c").alias("runs"), (F.sum(F.col("streak") * F.col("c")) / F.sum("c")).alias("mean"),
-                                     *[F.percentile("streak", p, "c").alias(n) for n, p in
+                                     *[F.percentile("streak", p, F.col("c")).alias(n) for n, p in
                                        (("median", .5), ("p75", .75), ("p90", .9), ("p95", .95), ("p99", .99))], F.max("streak").alias("max"))
 
 
