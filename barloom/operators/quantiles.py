@@ -65,3 +65,12 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets:
     return r.withColumn(out, F.col("_before") + mean_rank).drop("_bucket", "_before")
 
 
+
+
+def row_positions(df: DataFrame, keys: list[str], value: str, tie: list[str], out: str, buckets: int = _BUCKETS) -> DataFrame:
+    """Zero-based sorted position of each row with a value, ties in ``tie`` order."""
+    b = _bucketed(df, keys, value, buckets)
+    ids = [*keys, "_bucket"]
+    w = Window.partitionBy(*ids).orderBy(value, *tie)
+    r = b.join(_offsets(b, keys).select(*ids, "_before"), ids)
+    return r.withColumn(out, F.col("_before") + F.row_number().over(w) - 1).drop("_bucket", "_before")

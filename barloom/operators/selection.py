@@ -128,10 +128,9 @@ def permuted(df: DataFrame, features: list[str], seeds: list[int], keys: list[st
     w = df.join(n, keys)
     reps = w.withColumn("repeat", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
         "permuted", F.explode(F.array(*[F.lit(f) for f in features])))
-    # a = 1 + multiple of n's radical would be ideal; a prime above any n is coprime to n
-    prime = F.lit(2_147_483_647)
+    step = F.when(F.col("_n") % 104_729 == 0, 104_723).otherwise(104_729)  # a prime that does not divide n
     shift = F.pmod(F.xxhash64("repeat", "permuted"), F.col("_n"))
-    reps = reps.withColumn("_src", F.pmod(F.pmod(F.col(idx) * F.pmod(prime, F.col("_n")), F.col("_n")) + shift, F.col("_n")))
+    reps = reps.withColumn("_src", F.pmod(F.col(idx) * step + shift, F.col("_n")))
     src = df.select(*keys, F.col(idx).alias("_src"), *[F.col(f).alias(f"p_{f}") for f in features])
     j = reps.join(src, [*keys, "_src"])
     return j.withColumns({f: F.when(F.col("permuted") == f, F.col(f"p_{f}")).otherwise(F.col(f)) for f in features}).drop(
