@@ -115,16 +115,20 @@ def settle(df: DataFrame) -> DataFrame:
     table survives lost executors and is read back column by column.  The folder is
     the one the session names; a fresh local one only where it names none.
     """
-    spark = df.sparkSession
+    path = shared_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark, label: str) -> str:
+    """A new folder under the session's checkpoint directory."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         defined = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = defined.get() if defined.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         if not defined.isDefined():
             spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def index_rows(df: DataFrame, layout: Layout = BARS, name: str = "_i", order: tuple[str, ...] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.operators import metrics as mt, targets as tg
 from barloom.operators.indicators import add_indicators
 from barloom.operators.ordered import BARS, Layout, index_rows, settle
+from barloom.operators.selection import geometric_grid, midpoints
 
 
 def pipeline(features: list[str], params: dict, label: str = "y", weight: str = "w") -> Pipeline:
@@ -160,3 +161,63 @@ def next_generation(scored: list[tuple[str, float]], candidates: list[dict], spa
         child[k] = rng.choice(space[k])
         out.append(child)
     return out
+
+
+def evaluate(contexts: dict[str, tuple[DataFrame, list[str]]], candidates: dict[str, dict], folds: int, ratio: float) -> DataFrame:
+    """Walk-forward log loss and Brier score for every context and candidate.
+
+    A candidate holds model parameters and optionally ``decision_weight``, the sample
+    weight of decision rows.  Fits are Spark jobs; the loop only walks the grid.
+    """
+    parts = None
+    for cname, (rows, features) in contexts.items():
+        base = settle(rows)
+        for kname, params in candidates.items():
+            p = dict(params)
+            dw = p.pop("decision_weight", None)
+            frame = base if dw is None else base.withColumn("w", F.when(F.col("decision"), dw).otherwise((1 - dw) / 4))
+            preds, _ = walk_forward(frame, features, folds, ratio, p)
+            m = mt.metrics_by(preds, ["fold"]).select(F.lit(cname).alias("context"), F.lit(kname).alias("candidate"), "fold", "rows", "log_loss", "brier", "w_log_loss")
+            parts = m if parts is None else parts.unionByName(m)
+    return settle(parts)
+
+
+def recheck(rows: DataFrame, features: list[str], top: dict[str, dict], seeds: list[int], folds: int, ratio: float) -> DataFrame:
+    """Top trials again over several seeds: mean and deviation per trial."""
+    grid = {f"{n}|{s}": {**p, "seed": s} for n, p in top.items() for s in seeds}
+    r = evaluate({"all": (rows, features)}, grid, folds, ratio)
+    r = r.withColumn("trial", F.split("candidate", r"\|")[0])
+    return mt.fold_summary(r, ["trial"], "log_loss", None, 0.0)
+
+
+def weight_grid(coarse: list[float]) -> dict[str, dict]:
+    return {f"w{v:g}": {"decision_weight": v} for v in coarse}
+
+
+def refine(coarse: list[float], best: float) -> list[float]:
+    """Midpoints around the best coarse value."""
+    s = sorted(coarse)
+    i = s.index(best)
+    return [(s[j] + best) / 2 for j in (i - 1, i + 1) if 0 <= j < len(s)]
+
+
+def weight_search(rows: DataFrame, features: list[str], coarse: list[float], params: dict, folds: int, ratio: float) -> DataFrame:
+    """Decision weight by grid, then around its best value."""
+    def run(values):
+        return evaluate({"all": (rows, features)}, {k: {**params, **v} for k, v in weight_grid(values).items()}, folds, ratio)
+    first = run(coarse)
+    best = mt.fold_summary(first, ["candidate"], "log_loss").orderBy("objective", "candidate").first()["candidate"]  # one row per candidate
+    return settle(first.unionByName(run(refine(coarse, float(best[1:])))))
+
+
+def size_sweep(rows: DataFrame, ranked: list[str], smallest: int, ratio: float, params: dict, folds: int, fold_ratio: float) -> DataFrame:
+    """Objective per top-k size: geometric sizes first, then midpoints next to the best."""
+    def run(sizes):
+        ctx = {str(k): (rows, ranked[:k]) for k in sizes}
+        return mt.fold_summary(evaluate(ctx, {"fixed": params}, folds, fold_ratio), ["context"], "log_loss").select(
+            F.col("context").cast("int").alias("k"), "objective")
+    sizes = geometric_grid(len(ranked), smallest, ratio)
+    first = settle(run(sizes))
+    best = first.orderBy("objective", "k").first()["k"]  # one row per size
+    more = midpoints(sizes, best)
+    return first if not more else settle(first.unionByName(run(more)))

@@ -1,12 +1,15 @@
 """Queries: feature selection, one-way diagnostics, audits, training."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from barloom.operators import audit, indicators as ind, metrics as mt, oneway as ow, selection as fs, targets as tg, training as tr
+from barloom.operators import audit, indicators as ind, metrics as mt, oneway as ow, profiles as pr, selection as fs, targets as tg, training as tr
 from barloom.operators.ordered import Layout, index_rows, settle
 from barloom.operators.quantiles import row_positions
 from barloom.plans.base import CTES, HOUR, HOURLY, query
 from barloom.plans.evaluation import folded, preds
+from barloom.plans.profile import RP
 from barloom.plans.trend import _CHANNELS
 
 CTES["feats"] = """SELECT h.symbol, h.ts, h.open, h.high, h.close, h.volume, h.close AS close_copy, 1.0 AS const, CASE WHEN hour(h.ts) = 0 THEN 1.0 ELSE 0.0 END AS nearly,
@@ -423,7 +426,7 @@ def candidate_pairs(t):
 
 @query("evaluation_contexts", "MDL11", "subset:s view_name:s profile:s names:s",
        """SELECT subset, vw AS view_name, profile, names FROM (SELECT *, row_number() OVER (PARTITION BY names, profile ORDER BY subset, vw) AS k FROM (
-          SELECT subset, vw, profile, list_aggregate(list_sort(list_distinct(list_filter(fs, x -> regexp_matches(x, pat)))), 'string_agg', ',') AS names FROM (SELECT event_type AS subset, list(DISTINCT 'f' || user_id % 9) AS fs FROM events GROUP BY 1),
+          SELECT subset, vw, profile, list_aggregate(list_sort(list_distinct(list_filter(fs, lambda x: regexp_matches(x, pat)))), 'string_agg', ',') AS names FROM (SELECT event_type AS subset, list(DISTINCT 'f' || user_id % 9) AS fs FROM events GROUP BY 1),
           (VALUES ('all', '.*'), ('small', '^f[0-3]$'), ('tiny', '^f[0-3]$')) v(vw, pat), (SELECT DISTINCT o_orderstatus AS profile FROM orders))) WHERE k = 1""")
 def evaluation_contexts(t):
     subsets = t.raw("events").groupBy(F.col("event_type").alias("subset")).agg(F.collect_set(F.concat(F.lit("f"), F.col("user_id") % 9)).alias("features"))
@@ -437,3 +440,40 @@ def indicator_search(t):
     bars = tg.forward_return(t.hourly, 1, "fwd", layout=HOURLY)
     cands = [{"ma_type": "SMA", "ma_period": n, "source": "close", "atr_ma_type": "SMA", "atr_period": 12} for n in (5, 10, 20)]
     return tr.indicator_search(bars, "KeltnerChannel", cands, "fwd", dict(segments=4, train_frac=0.6, gap=5, q_ext=0.2, q_mid=0.2, clip_q=0.01, min_bucket=10), HOURLY)
+
+
+FAST = {"kind": "logistic", "maxIter": 4}
+
+
+@query("size_sweep", "FSL12", "k:i objective:d4")
+def size_sweep(t):
+    return tr.size_sweep(_training_rows(t), ["close", "volume", "open", "high"], 1, 2.0, FAST, 2, 0.5)
+
+
+@query("seed_recheck", "MDL05", "trial:s mean:d4 std:d4")
+def seed_recheck(t):
+    top = {"a": {"kind": "gbt", "maxIter": 2, "maxDepth": 2, "subsamplingRate": 0.8}}
+    return tr.recheck(_training_rows(t), ["close", "volume"], top, [1, 2], 2, 0.5)
+
+
+@query("weight_search", "MDL06", "candidate:s fold:i log_loss:d4")
+def weight_search(t):
+    return tr.weight_search(_training_rows(t), ["close", "volume"], [0.3, 0.5], FAST, 2, 0.5)
+
+
+@query("profile_search", "MDL09", "context:s fold:i log_loss:d4")
+def profile_search(t):
+    rows = feats(t).drop("p")
+    ctx = {}
+    for name, cfg in (("narrow", RP), ("wide", replace(RP, neighbors=4.0))):
+        f = pr.reaction_profile_features(t.hourly, cfg, HOURLY)
+        cols = [c for c in f.columns if c.startswith("rp_") and "distance" not in c]
+        ctx[name] = (tg.global_index(settle(rows.join(f.select("symbol", "ts", *cols), ["symbol", "ts"]))), cols)
+    return tr.evaluate(ctx, {"fixed": FAST}, 2, 0.5)
+
+
+@query("strategy_evaluation", "MDL12", "candidate:s contexts:i mean_delta:d4 wins:i losses:i ties:i")
+def strategy_evaluation(t):
+    rows = _training_rows(t)
+    r = tr.evaluate({"price": (rows, ["close", "open"]), "flow": (rows, ["volume"])}, {"base": FAST, "ridge": {**FAST, "regParam": 0.5}}, 2, 0.5)
+    return mt.baseline_deltas(r, ["context", "fold"], "candidate", "base", "log_loss")
