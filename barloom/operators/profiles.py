@@ -21,6 +21,7 @@ from barloom.operators.ordered import BARS, Layout, decayed, index_rows, running
 
 HALF_LIVES = {"short": 1440, "medium": 10080, "long": 43200, "all": None}
 _SCALE_MIN = 1e-3
+_GONE = 1e-130  # a chunk decay this small leaves nothing of the carry in a double
 
 
 def decay_of(half_life) -> float:
@@ -185,7 +186,7 @@ def _carries(rows: DataFrame, half_lives: dict, layout: Layout) -> DataFrame:
     dense = grid.join(totals, [*key, "kind", "bin", "_chunk"], "left").fillna(0.0, list(half_lives))
     lay = Layout(key=(*key, "kind", "bin"), time="_t", base_seconds=1, rows=layout.rows)
     dense = settle(dense.withColumn("_i", F.col("_chunk")).withColumn("_t", F.timestamp_seconds("_chunk")))
-    ends = decayed(dense, {f"y_{n}": (F.col(n), decay_of(h) ** layout.rows) for n, h in half_lives.items()}, lay, max_lags=64)
+    ends = decayed(dense, {f"y_{n}": (F.col(n), max(decay_of(h) ** layout.rows, _GONE)) for n, h in half_lives.items()}, lay, max_lags=64)
     return ends.select(*key, "kind", "bin", (F.col("_chunk") + 1).alias("_chunk"), *[F.col(f"y_{n}").alias(n) for n in half_lives]).where(
         F.greatest(*[F.col(n) for n in half_lives], F.lit(0.0)) > 0)
 
