@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EPS = 1e-12
 
@@ -64,3 +64,8 @@ def any_of(conds) -> Column:
 def wavg(value, weight) -> Column:
     """Weighted mean as an aggregate."""
     return F.sum(col(value) * col(weight)) / F.sum(col(weight))
+
+
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the columns of a one-row frame (an aggregate without grouping), never more than one."""
+    return df.join(F.broadcast(one.limit(1)), F.lit(True))

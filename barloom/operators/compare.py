@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.functions.columns import epoch
+from barloom.functions.columns import attach_row, epoch
 from barloom.operators.quantiles import exact_quantiles
 
 PRICES = ("open", "high", "low", "close")
@@ -26,13 +26,13 @@ def compare_bars(candidates: DataFrame, reference: DataFrame, source: str, time:
     for c in PRICES:
         m = exact_quantiles(j, [source], f"d_{c}", [0.5]).select(source, F.col("quantile").alias(f"median_abs_{c}"))
         out = out.join(m, source, "left")
-    return out.crossJoin(F.broadcast(total)).withColumn("coverage", F.col("rows") / F.col("_n")).drop("_n")  # one row
+    return attach_row(out, total).withColumn("coverage", F.col("rows") / F.col("_n")).drop("_n")
 
 
 def rank_sources(wanted: DataFrame, stats: DataFrame, source: str, metric: str) -> DataFrame:
     """Wanted sources ranked by a metric, unknown ones last with a reason naming the known sources."""
     known = stats.agg(F.array_join(F.array_sort(F.collect_set(source)), ",").alias("_known"))  # one row per source
-    d = wanted.join(stats, source, "left").crossJoin(F.broadcast(known))
+    d = attach_row(wanted.join(stats, source, "left"), known)
     w = Window.orderBy(F.col(metric).asc_nulls_last(), F.col(source))  # one row per source
     return d.withColumn("rank", F.row_number().over(w)).withColumn(
         "status", F.when(F.col(metric).isNull(), F.concat(F.lit("inactive: known = "), "_known")).otherwise("ok")).drop("_known")

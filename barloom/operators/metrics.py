@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.columns import clip, col
+from barloom.functions.columns import attach_row, clip, col
 from barloom.operators.quantiles import quantile_columns
 
 LOWER_IS_BETTER = {"brier", "log_loss"}
@@ -113,7 +113,7 @@ def winsorised_mean(df: DataFrame, keys: list[str], value: str, clip_q: float) -
     """Mean after clipping to the ``clip_q`` and ``1 - clip_q`` quantiles of each group, with the median beside it."""
     cuts = quantile_columns(df, keys, value, {"_lo": clip_q, "_hi": 1 - clip_q, "median": 0.5})
     clipped = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
-    joined = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))  # one row
+    joined = df.join(cuts, keys) if keys else attach_row(df, cuts)
     return joined.groupBy(*keys).agg(F.avg(clipped).alias("winsorised_mean"), F.max("median").alias("median"))
 
 
@@ -126,7 +126,7 @@ def segment_scores(rows: DataFrame, x: str, y: str, *, segments: int, train_frac
     """
     keys = list(keys)
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    r = rows.join(n, keys) if keys else rows.crossJoin(F.broadcast(n))  # one row
+    r = rows.join(n, keys) if keys else attach_row(rows, n)
     i, total = F.col(idx), F.col("_n")
     # segment s holds rows [s*n // k, (s+1)*n // k)
     r = r.withColumn("segment", F.floor(((i + 1) * segments - 1) / total).cast("int"))

@@ -6,19 +6,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.functions.columns import attach_row
 from barloom.operators.quantiles import quantile_columns
 
 
 def recent_rows(df: DataFrame, days: int, decision: Column | None = None, time: str = "ts") -> DataFrame:
     top = df.agg(F.max(time).alias("_hi"))
-    d = df.crossJoin(F.broadcast(top)).where(F.unix_seconds(time) >= F.unix_seconds("_hi") - days * 86_400).drop("_hi")  # one row
+    d = attach_row(df, top).where(F.unix_seconds(time) >= F.unix_seconds("_hi") - days * 86_400).drop("_hi")
     return d if decision is None else d.where(decision)
 
 
 def uniform_sample(indexed: DataFrame, rows: int, idx: str = "row_idx") -> DataFrame:
     """Evenly spaced positions over all rows."""
     n = indexed.agg(F.count(F.lit(1)).alias("_n"))
-    d = indexed.crossJoin(F.broadcast(n))  # one row
+    d = attach_row(indexed, n)
     i = F.col(idx)
     pick = (F.col("_n") <= rows) | (F.floor((i + 1) * rows / F.col("_n")) > F.floor(i * rows / F.col("_n")))
     return d.where(pick).drop("_n")
@@ -132,7 +133,7 @@ def partial_dependence(rows: DataFrame, grid: DataFrame, features: list[str], sc
     values per feature and is attached as an array per job, not joined by key.
     """
     table = grid.agg(F.collect_list(F.struct("feature", "grid")).alias("_g"))  # features x grid points
-    d = rows.crossJoin(F.broadcast(table)).select("*", F.inline("_g")).drop("_g")  # one row
+    d = attach_row(rows, table).select("*", F.inline("_g")).drop("_g")
     d = d.withColumns({f: F.when(F.col("feature") == f, F.col("grid")).otherwise(F.col(f)) for f in features})
     s = score(d)
     return s.groupBy("feature", "grid").agg((F.sum(F.col("p") * F.col(weight)) / F.sum(weight)).alias("pd"))

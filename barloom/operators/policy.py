@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.columns import col
-from barloom.operators.ordered import Layout, running
+from barloom.operators.ordered import Layout, running, settle
 
 # Fixed values of the decision rules.
 EPS = 1e-12
@@ -247,7 +247,7 @@ def replay_trades(frame: DataFrame, fee: Fee, buffer, *, price_cap: float, price
 
 def replay_summary(trades: DataFrame, layout: Layout) -> DataFrame:
     """Profit, risk and objective per key of ``layout``; the drawdown runs over two-level scans."""
-    d = running(trades, layout, _cum=("sum", F.coalesce("pnl", F.lit(0.0))))
+    d = settle(running(settle(trades), layout, _cum=("sum", F.coalesce("pnl", F.lit(0.0)))))
     d = running(d, layout, _peak=("max", F.greatest(F.col("_cum"), F.lit(0.0))))
     done = F.col("skip") == ""
     down = F.sqrt(F.avg(F.when(done, F.pow(F.least(F.col("ret"), F.lit(0.0)), F.lit(2)))))

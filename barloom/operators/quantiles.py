@@ -9,17 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barloom.functions.columns import attach_row
+
 _BUCKETS = 256
+_STEP = 16
 
 
 def _bucketed(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
     rows = df.where(F.col(value).isNotNull())
     steps = [i / buckets for i in range(1, buckets)]
     edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, 1_000)).alias("_edges"))
-    joined = rows.join(edges, keys) if keys else rows.crossJoin(F.broadcast(edges))  # one row
-    # position among the sorted edges, by halving: O(log buckets) work is not needed for 256 entries
-    slot = F.aggregate("_edges", F.lit(0), lambda acc, e: acc + F.when(e <= F.col(value), 1).otherwise(0))
-    return joined.withColumn("_bucket", slot).drop("_edges")
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: (i + 1) % _STEP == 0))
+    joined = rows.join(edges, keys) if keys else attach_row(rows, edges)
+
+    def at_or_below(arr):
+        return F.aggregate(arr, F.lit(0), lambda acc, e: acc + F.when(e <= F.col(value), 1).otherwise(0))
+
+    # edges at or below the value: first among every 16th edge, then inside that stretch
+    joined = joined.withColumn("_c", at_or_below("_coarse") * _STEP)
+    return joined.withColumn("_bucket", F.col("_c") + at_or_below(F.slice("_edges", F.col("_c") + 1, F.lit(_STEP)))).drop("_edges", "_coarse", "_c")
 
 
 def _offsets(b: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.functions.columns import attach_row
 from barloom.operators.quantiles import average_ranks
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -171,7 +172,7 @@ def midpoints(done: list[int], best: int) -> list[int]:
 def plateau(sweep: DataFrame, tolerance: float, min_saving: float) -> DataFrame:
     """Smallest size whose objective stays within tolerance of the best and saves enough features."""
     best = sweep.agg(F.min_by("k", F.struct("objective", "k")).alias("best_k"), F.min("objective").alias("best"))
-    d = sweep.crossJoin(F.broadcast(best)).where(F.col("objective") <= F.col("best") * (1 + tolerance))  # one row
+    d = attach_row(sweep, best).where(F.col("objective") <= F.col("best") * (1 + tolerance))
     c = d.groupBy("best_k", "best").agg(F.min_by(F.struct("k", "objective"), "k").alias("c"))
     saves = 1 - F.col("c.k") / F.col("best_k") >= min_saving
     return c.select(F.when(saves, F.col("c.k")).otherwise(F.col("best_k")).alias("chosen_k"), "best_k", "best")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.functions.columns import epoch
+from barloom.functions.columns import attach_row, epoch
 from barloom.operators.clean import keep_last
 from barloom.operators.ordered import Layout, lagged, run_bounds
 
@@ -54,7 +54,7 @@ def survival(streaks: DataFrame, keys: list[str], weight: str | None = None) ->
 def with_recency(frame: DataFrame, half_lives: list[int]) -> DataFrame:
     """Each row once per half-life with weight 0.5^(age / half-life)."""
     newest = frame.agg(F.max("event_time").alias("_newest"))
-    f = frame.crossJoin(F.broadcast(newest))  # one row
+    f = attach_row(frame, newest)
     age = (epoch("_newest") - epoch("event_time")) / _DAY
     return f.select("*", F.explode(F.array(*[F.lit(h) for h in half_lives])).alias("half_life")).withColumn(
         "w", F.pow(F.lit(0.5), age / F.col("half_life"))).drop("_newest")
@@ -74,7 +74,7 @@ def max_steps(surv: DataFrame, keys: list[str], prob: str) -> DataFrame:
 def rolling(frame: DataFrame, days: list[int]) -> DataFrame:
     """Each row once per trailing window that contains it."""
     newest = frame.agg(F.max("event_time").alias("_newest"))
-    f = frame.crossJoin(F.broadcast(newest)).select("*", F.explode(F.array(*[F.lit(d) for d in days])).alias("window_days"))  # one row
+    f = attach_row(frame, newest).select("*", F.explode(F.array(*[F.lit(d) for d in days])).alias("window_days"))
     return f.where(epoch("event_time") >= epoch("_newest") - F.col("window_days") * _DAY).drop("_newest")
 
 
@@ -159,7 +159,7 @@ def scenario_aggregate(by_seed: DataFrame) -> DataFrame:
         F.min("total_pnl").alias("worst_total"), F.avg("losing_days").alias("losing_days"), F.avg("max_drawdown").alias("mean_drawdown"),
         (F.sum("reached") / F.sum("run_count")).alias("share_reached"), (F.sum("steps") / F.sum("run_count")).alias("steps_per_run"))
     best = a.agg(F.max("mean_total").alias("_best"))
-    a = a.crossJoin(F.broadcast(best))  # one row
+    a = attach_row(a, best)
     return a.withColumns({"best_fraction": F.when(F.col("_best") > 0, F.col("mean_total") / F.col("_best")).otherwise(0.0),
                           "score": F.col("mean_total") - F.col("mean_drawdown") * 0.25 - F.col("losing_days") * 20.0}).drop("_best")
 
@@ -188,7 +188,7 @@ def recommend_starts(summary: DataFrame, steps: int, fraction: float) -> DataFra
     """Fewest starts that reach a fraction of the best mean result at this step limit."""
     s = summary.where(F.col("max_steps") == steps)
     best = s.agg(F.max("mean_total").alias("_b"))
-    v = s.crossJoin(F.broadcast(best)).where((F.col("_b") <= 0) | (F.col("mean_total") >= F.col("_b") * fraction))  # one row
+    v = attach_row(s, best).where((F.col("_b") <= 0) | (F.col("mean_total") >= F.col("_b") * fraction))
     return v.orderBy("starts_per_day", "mean_drawdown", "losing_days", F.col("mean_total").desc()).limit(1).select("starts_per_day", "mean_total")
 
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.functions.columns import finite, shift
+from barloom.functions.columns import attach_row, finite, shift
 from barloom.operators.ordered import BARS, Layout, index_rows, lagged
 
 # Sample weight of decision rows and of all others.
@@ -27,7 +27,7 @@ def require_unique(df: DataFrame, key: tuple[str, ...] = ("symbol", "ts")) -> Da
     n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     bad = n.where("_n > 1").agg(F.count(F.lit(1)).alias("_dups"))
     checked = bad.select(F.assert_true(F.col("_dups") == 0, F.concat(F.lit("duplicate keys: "), F.col("_dups"))).alias("_ok"))
-    return df.crossJoin(F.broadcast(checked)).where(F.col("_ok").isNull()).drop("_ok")  # one row by construction
+    return attach_row(df, checked).where(F.col("_ok").isNull()).drop("_ok")
 
 
 def forward_return(df: DataFrame, rows: int, out: str, price: str = "close", layout: Layout = BARS) -> DataFrame:
@@ -60,7 +60,7 @@ def weight_summary(df: DataFrame, weight: str) -> DataFrame:
     per = df.groupBy(F.col(weight).alias("weight")).agg(F.count(F.lit(1)).alias("rows"))
     whole = df.agg(F.min(weight).alias("min_weight"), F.max(weight).alias("max_weight"),
                    F.avg(weight).alias("mean_weight"), F.sum(weight).alias("sum_weight"))
-    return per.crossJoin(F.broadcast(whole))  # one row
+    return attach_row(per, whole)
 
 
 def minimum_weight_counts(df: DataFrame, weight: str, minimum: float, target: str) -> DataFrame:
@@ -102,7 +102,7 @@ def training_frame(df: DataFrame, target: str, drop: tuple[str, ...] = (), keep:
 def class_distribution(df: DataFrame, target: str, weight: str) -> DataFrame:
     whole = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
     per = df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("weight"))
-    return per.crossJoin(F.broadcast(whole)).withColumns({  # one row
+    return attach_row(per, whole).withColumns({
         "share": F.col("rows") / F.col("_n"), "weight_share": F.col("weight") / F.col("_w")}).drop("_n", "_w")
 
 

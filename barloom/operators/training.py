@@ -11,6 +11,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barloom.functions.columns import attach_row
 from barloom.operators import metrics as mt, targets as tg
 from barloom.operators.indicators import add_indicators
 from barloom.operators.ordered import BARS, Layout, index_rows, settle
@@ -42,7 +43,7 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str =
 
 def usable(train: DataFrame, features: list[str]) -> list[str]:
     """Features with any value in the training rows."""
-    counts = train.agg(*[F.count(f).alias(f) for f in features]).first()  # one row
+    counts = train.agg(*[F.count(f).alias(f) for f in features]).first()
     return [f for f in features if counts[f] > 0]
 
 
@@ -72,7 +73,7 @@ def walk_forward(indexed: DataFrame, features: list[str], folds: int, ratio: flo
 
 def coverage(preds: DataFrame, rows: DataFrame) -> DataFrame:
     n = rows.agg(F.count(F.lit(1)).alias("rows"))
-    return preds.agg(F.count("p").alias("predicted"), F.count_distinct("fold").alias("folds")).crossJoin(F.broadcast(n)).withColumn(  # one row
+    return attach_row(preds.agg(F.count("p").alias("predicted"), F.count_distinct("fold").alias("folds")), n).withColumn(
         "coverage", F.col("predicted") / F.col("rows"))
 
 
@@ -101,7 +102,7 @@ def search(indexed: DataFrame, features: list[str], space: dict[str, list], n: i
         params = {k: v for k, v in t.items() if not k.startswith("weight_")}
         preds, _ = walk_forward(frame, features, folds, ratio, params)
         per = mt.metrics_by(preds, ["fold"])
-        s = mt.fold_summary(per, [], "w_log_loss", None, penalty).first()  # one row
+        s = mt.fold_summary(per, [], "w_log_loss", None, penalty).first()
         first = per.orderBy("fold").first()["w_log_loss"]
         pruned = len(firsts) >= 3 and first > sorted(firsts)[len(firsts) // 2]
         firsts.append(first)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.operators import candles, resample, targets
-from barloom.operators.ordered import asof
+from barloom.operators.ordered import asof, settle
 from barloom.plans.base import CTES, HOUR, HOURLY, query
 
 BAR = "symbol:s ts:t open:d high:d low:d close:d volume:d"
@@ -87,9 +87,9 @@ def _complete_sql():
 
 @query("complete_intervals", "RSP04 RSP08", "interval_label:s " + BAR + " close_ts:t", _complete_sql())
 def complete_intervals(t):
-    out = None
+    out, bars = None, settle(t.hourly)  # bars are built once for all intervals
     for label in resample.interval_rules(_LABELS):
-        part = resample.complete_bars(t.hourly, label, HOUR).withColumn("interval_label", F.lit(label))
+        part = resample.complete_bars(bars, label, HOUR).withColumn("interval_label", F.lit(label))
         out = part if out is None else out.unionByName(part)
     return out
 

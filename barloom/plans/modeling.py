@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import attach_row
 from barloom.operators import audit, indicators as ind, metrics as mt, oneway as ow, profiles as pr, selection as fs, targets as tg, training as tr
 from barloom.operators.ordered import Layout, index_rows, settle
 from barloom.operators.quantiles import row_positions
@@ -136,7 +137,7 @@ def tie_aware_groups(t):
 def equal_count_grid(t):
     d = row_positions(feats(t).withColumn("one", F.lit(1)), ["one"], "close", ["symbol", "ts"], "i")
     n = feats(t).agg(F.count(F.lit(1)).alias("n"))
-    pos = settle(d.crossJoin(F.broadcast(n)))  # one row
+    pos = settle(attach_row(d, n))
     return ow.grid_points(ow.equal_count_groups(pos, 7, "i", "n"), "close", [])
 
 
