@@ -82,10 +82,12 @@ CTES: dict[str, str] = {
 def with_ctes(body: str) -> str:
     """Prefix the shared CTEs that ``body`` mentions, dependencies first."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def need(text: str):
         for name, sql in CTES.items():
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 need(sql)
                 order.append(name)
 
