@@ -69,3 +69,8 @@ def wavg(value, weight) -> Column:
 def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Every row with the columns of a one-row frame (an aggregate without grouping), never more than one."""
     return df.join(F.broadcast(one.limit(1)), F.lit(True))
+
+
+def non_negative(c: Column) -> Column:
+    """Rounding below zero removed; NULL stays NULL."""
+    return F.when(c < 0, 0.0).otherwise(c)

@@ -12,10 +12,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.columns import EPS, total
-from barloom.operators.ordered import BARS, Layout, decayed, framed, index_rows, rolling_sums
+from barloom.functions.columns import EPS, non_negative, total
+from barloom.operators.ordered import BARS, Layout, decayed, framed, index_rows, rolling_sums, settle
 from barloom.operators.recursions import affine, recursive, KERNELS
 
 PRICE_SOURCES = ("open", "high", "low", "close", "hl2", "hlc3", "ohlc4", "hlcc4")
@@ -191,7 +191,10 @@ class Averages:
 
     def build(self) -> DataFrame:
         df = index_rows(self.df, self.layout)
-        for level in range(0, max((n.level for n in self.nodes.values()), default=0) + 1):
+        deepest = max((n.level for n in self.nodes.values()), default=0)
+        for level in range(0, deepest + 1):
+            if level and deepest > 1:               # a level reads its input twice; unsettled, reads would double with each
+                df = settle(df)
             todo = {k: n for k, n in self.nodes.items() if n.level == level}
             finite = {k: n for k, n in todo.items() if n.kind == "finite"}
             decay = {k: n for k, n in todo.items() if n.kind == "decay"}
@@ -213,6 +216,7 @@ class Averages:
     def _finite(self, df: DataFrame, nodes: dict[str, _Node]) -> DataFrame:
         volume = F.col(self.volume)
         back = max(n.n for n in nodes.values())
+        sources = list(dict.fromkeys(n.src for n in nodes.values()))
         positive = {n.src for n in nodes.values() if n.ma == "GMA"}
         if positive:  # the log form applies only when the whole series is positive
             lows = df.groupBy(*self.layout.key).agg(*[F.min(s).alias(f"_min_{s}") for s in positive])
@@ -222,49 +226,52 @@ class Averages:
             step = F.col("_i") - F.col("_chunk") * F.lit(self.layout.rows)
             sums: dict[str, tuple[Column, int]] = {}
             plain, out = {}, {}
+            # Levels cancel badly in long sums and squares: sums run on values less their chunk's mean.
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            f = f.select("*", *[F.avg(s).over(whole).alias(f"_mu_{s}") for s in sources])
             for k, n in nodes.items():
-                x, m = F.col(n.src), n.n
+                value, mu, m = F.col(n.src), F.col(f"_mu_{n.src}"), n.n
+                x = value - mu
                 if n.ma in FIR or n.ma == "CUSTOM":
                     ws = n.weights or tuple(FIR[n.ma](m))
-                    window = F.collect_list(F.coalesce(x, F.lit(0.0))).over(w.rowsBetween(-(m - 1), 0))
+                    window = F.collect_list(value).over(w.rowsBetween(-(m - 1), 0))
                     plain[f"_w_{k}"] = F.when(F.size(window) == m, window)
                     dot = F.aggregate(F.zip_with(F.col(f"_w_{k}"), F.array(*[F.lit(float(v)) for v in ws]), lambda a, b: a * b),
                                       F.lit(0.0), lambda acc, v: acc + v)
                     out[k] = dot
                 elif n.ma in ("MIN", "MAX"):
-                    plain[f"_w_{k}"] = (F.min if n.ma == "MIN" else F.max)(x).over(w.rowsBetween(-(m - 1), 0))
-                    out[k] = F.col(f"_w_{k}")
-                elif n.ma == "STD" and m <= 48:
-                    plain[f"_w_{k}"] = F.stddev_pop(x).over(w.rowsBetween(-(m - 1), 0))
+                    frame = w.rowsBetween(-(m - 1), 0)
+                    edge = (F.min if n.ma == "MIN" else F.max)(value).over(frame)
+                    plain[f"_w_{k}"] = F.when(F.count(value).over(frame) == m, edge)
                     out[k] = F.col(f"_w_{k}")
                 else:
                     sums[f"_s_{n.src}_{m}"] = (x, m)
                     s = F.col(f"_s_{n.src}_{m}")
                     if n.ma == "SMA":
-                        out[k] = s / m
+                        out[k] = mu + s / m
                     elif n.ma in ("WMA", "LINREG"):
                         sums[f"_x_{n.src}_{m}"] = (x * step, m)
                         # weight of a row is its age counted from the window's oldest row
                         ramp = F.col(f"_x_{n.src}_{m}") - (step - (m - 1)) * s
                         if n.ma == "WMA":
-                            out[k] = (ramp + s) * (2.0 / (m * (m + 1.0)))
+                            out[k] = mu + (ramp + s) * (2.0 / (m * (m + 1.0)))
                         else:
                             slope = (ramp - s * ((m - 1) / 2.0)) * (12.0 / (m * (m * m - 1.0)))
-                            out[k] = s / m + slope * ((m - 1) / 2.0)
+                            out[k] = mu + s / m + slope * ((m - 1) / 2.0)
                     elif n.ma == "VWMA":
                         sums[f"_v_{m}"] = (volume, m)
                         sums[f"_xv_{n.src}_{m}"] = (x * volume, m)
-                        out[k] = F.when(F.col(f"_v_{m}") > EPS, F.col(f"_xv_{n.src}_{m}") / F.col(f"_v_{m}"))
+                        out[k] = F.when(F.col(f"_v_{m}") > EPS, mu + F.col(f"_xv_{n.src}_{m}") / F.col(f"_v_{m}"))
                     elif n.ma == "GMA":
-                        sums[f"_ln_{n.src}_{m}"] = (F.ln(F.greatest(F.abs(x), F.lit(EPS))), m)
-                        out[k] = F.when(F.col(f"_min_{n.src}") <= 0, s / m).otherwise(F.exp(F.col(f"_ln_{n.src}_{m}") / m))
+                        sums[f"_ln_{n.src}_{m}"] = (F.when(value.isNotNull(), F.ln(F.greatest(F.abs(value), F.lit(EPS)))), m)
+                        out[k] = F.when(F.col(f"_min_{n.src}") <= 0, mu + s / m).otherwise(F.exp(F.col(f"_ln_{n.src}_{m}") / m))
                     elif n.ma == "STD":
                         sums[f"_q_{n.src}_{m}"] = (x * x, m)
-                        out[k] = F.sqrt(F.greatest(F.col(f"_q_{n.src}_{m}") / m - (s / m) * (s / m), F.lit(0.0)))
+                        out[k] = F.sqrt(non_negative(F.col(f"_q_{n.src}_{m}") / m - (s / m) * (s / m)))
             f = f.select("*", *[c.alias(a) for a, c in plain.items()])
             f = rolling_sums(f, w, sums)
             f = f.select("*", *[self._gate(c, nodes[k].lead).alias(k) for k, c in out.items()])
-            return f.drop(*plain, *sums)
+            return f.drop(*plain, *sums, *[f"_mu_{s}" for s in sources])
 
         return framed(df, build, self.layout, back=back).drop(*[f"_min_{s}" for s in positive])
 

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.functions.columns import EPS, safe_div
+from barloom.functions.columns import EPS, non_negative, safe_div
 from barloom.operators.ordered import BARS, Layout, framed, lagged, rolling_sums
+from barloom.operators.profiles import HALF_LIVES
 from barloom.operators.resample import align_to_base, complete_bars
 
 # ---- exchange sessions -----------------------------------------------------------------------
@@ -112,16 +113,16 @@ def volatility_features(df: DataFrame, windows=VOL_WINDOWS, layout: Layout = BAR
     def build(f, w):
         f = f.withColumn("_r", F.ln(F.col("close") / F.lag("close", 1).over(w)))
         r2 = F.col("_r") * F.col("_r")
-        parts = {"s": r2, "u": F.when(F.col("_r") > 0, r2).otherwise(0.0), "d": F.when(F.col("_r") < 0, r2).otherwise(0.0),
+        parts = {"s": r2, "u": F.when(F.col("_r") <= 0, 0.0).otherwise(r2), "d": F.when(F.col("_r") >= 0, 0.0).otherwise(r2),
                  "q": r2 * r2}
-        f = rolling_sums(f, w, {f"_{k}{n}": (c, n) for n in windows for k, c in parts.items()}, native_limit=16)
+        f = rolling_sums(f, w, {f"_{k}{n}": (c, n) for n in windows for k, c in parts.items()})
         out = []
         for n in windows:
             full = F.col("_i") >= n
-            m = {k: F.greatest(F.col(f"_{k}{n}") / n, F.lit(0.0)) for k in parts}
+            m = {k: non_negative(F.col(f"_{k}{n}") / n) for k in parts}
             out += [F.when(full, F.sqrt(m["s"])).alias(f"rv_{n}"), F.when(full, F.sqrt(m["u"])).alias(f"rv_up_{n}"),
                     F.when(full, F.sqrt(m["d"])).alias(f"rv_down_{n}"),
-                    F.when(full, F.sqrt(F.greatest(m["q"] - m["s"] * m["s"], F.lit(0.0))) / (m["s"] + eps)).alias(f"vov_{n}")]
+                    F.when(full, F.sqrt(non_negative(m["q"] - m["s"] * m["s"])) / (m["s"] + eps)).alias(f"vov_{n}")]
         return f.select("*", *out).drop("_r", *[f"_{k}{n}" for n in windows for k in parts])
 
     return framed(df, build, layout, back=max(windows) + 1)
@@ -177,6 +178,7 @@ def interval_basis(df: DataFrame, label: str, base_seconds: int, futures: str, i
 
 # ---- feature names -----------------------------------------------------------------------------
 
+_HORIZONS = "|".join(HALF_LIVES)
 # Fixed patterns: which family a feature name belongs to, first match wins.
 FAMILIES = [
     ("raw", r"^(open|high|low|close|volume)$"),
@@ -184,8 +186,8 @@ FAMILIES = [
     ("candle", r"^(\d+[a-z]+_)?(candle_|cdl_)"),
     ("session", r"^session_(flow|open_impulse|close_impulse)_"),
     ("volatility", r"^(rv|rv_up|rv_down|vov|rv_ratio)_\d"),
-    ("volume_profile", r"^vp_(all|short|mid|long)_"),
-    ("reaction_profile", r"^rp_(all|short|mid|long)_"),
+    ("volume_profile", rf"^vp_({_HORIZONS})_"),
+    ("reaction_profile", rf"^rp_({_HORIZONS})_"),
     ("basis", r"^(futures_index_)?basis_(rel|abs|change)"),
     ("indicator", r"_fit_"),
 ]

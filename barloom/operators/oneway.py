@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import attach_row
-from barloom.operators.quantiles import quantile_columns
+from barloom.operators.ordered import settle
+from barloom.operators.quantiles import bucketed, quantile_columns
+
+TIE_DIGITS = 10
 
 
 def recent_rows(df: DataFrame, days: int, decision: Column | None = None, time: str = "ts") -> DataFrame:
@@ -38,57 +40,64 @@ def distinct_counts(df: DataFrame, features: list[str], pred: str, target: str,
                                              F.sum(w * F.col(pred)).alias("wp"), F.sum(w * F.col(target)).alias("wy"))
 
 
-def bin_edges(counts: DataFrame, bins: int, min_rows: int, buckets: int = 2_048) -> DataFrame:
+def _cumulative(counts: DataFrame) -> DataFrame:
+    """Rows at or below each distinct value of a feature, as a scan inside value buckets on top of bucket totals."""
+    b = bucketed(counts, ["feature"], "value")
+    ids = ["feature", "_bucket"]
+    sizes = b.groupBy(*ids).agg(F.sum("rows").alias("_size"))
+    before = Window.partitionBy("feature").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a feature
+    sizes = sizes.select(*ids, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*ids).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return b.join(sizes, ids).select("feature", "value", "rows", (F.col("_before") + F.sum("rows").over(inside)).alias("upto"))
+
+
+def _merge_small(groups: list[list], min_rows: int) -> list[list]:
+    """``[left edge, right edge, rows]`` groups, small ones joined to the neighbour that is nearer in value."""
+    i = 0
+    while len(groups) > 1 and i < len(groups):
+        left, right, rows = groups[i]
+        if rows >= min_rows:
+            i += 1
+            continue
+        down = left - groups[i - 1][1] if i else np.inf
+        up = groups[i + 1][0] - right if i + 1 < len(groups) else np.inf
+        lo = i - 1 if down <= up else i
+        groups[lo:lo + 2] = [[groups[lo][0], groups[lo + 1][1], groups[lo][2] + groups[lo + 1][2]]]
+        i = 0
+    return groups
+
+
+def bin_edges(counts: DataFrame, bins: int, min_rows: int) -> DataFrame:
     """Tie-aware equal-count groups: equal values never split, each cut goes to the count closest to its target size.
 
-    The greedy cut runs on at most ``buckets`` weighted value ranges per feature;
-    with fewer distinct values than that the cut is exact to the value.
+    Exact for any number of distinct values: a cut is a lookup in the cumulative counts, for all features at once, so
+    there are ``bins`` small aggregates whatever the rows.
     """
-    few = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("_d"), F.sum("rows").alias("_n"))
-    dense = counts.join(few, "feature")
-    small = dense.where(F.col("_d") <= buckets).select("feature", "value", "rows")
-    edges = dense.where(F.col("_d") > buckets).groupBy("feature").agg(
-        F.array_distinct(F.percentile_approx("value", [i / buckets for i in range(1, buckets + 1)], 20_000)).alias("_e"))
-    big = dense.where(F.col("_d") > buckets).join(edges, "feature").withColumn(
-        "value", F.element_at(F.filter("_e", lambda e: e >= F.col("value")), 1)).groupBy("feature", "value").agg(F.sum("rows").alias("rows"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        v, c = pdf["value"].to_numpy(float), pdf["rows"].to_numpy(int)
-        groups, start, left_rows = [], 0, int(c.sum())
-        for g in range(bins):
-            if start >= len(v):
-                break
-            target, run, end = left_rows / (bins - g), 0, start
-            while end < len(v):
-                after = run + c[end]
-                if run and abs(after - target) > abs(run - target):
-                    break
-                run, end = after, end + 1
-                if run >= target:
-                    break
-            if g == bins - 1:
-                run, end = left_rows, len(v)
-            groups.append([start, end, run])
-            left_rows -= run
-            start = end
-        i = 0
-        while len(groups) > 1 and i < len(groups):  # a small group joins the neighbour that is nearer in value
-            if groups[i][2] >= min_rows:
-                i += 1
-                continue
-            a, b, n = groups[i]
-            down = v[a] - v[groups[i - 1][1] - 1] if i else np.inf
-            up = v[groups[i + 1][0]] - v[b - 1] if i + 1 < len(groups) else np.inf
-            j = i - 1 if down <= up else i + 1
-            lo, hi = min(i, j), max(i, j)
-            groups[lo] = [groups[lo][0], groups[hi][1], groups[lo][2] + groups[hi][2]]
-            del groups[hi]
-            i = 0
-        return pd.DataFrame({"feature": pdf["feature"].iloc[0], "bin": range(len(groups)), "left_edge": [v[a] for a, _, _ in groups],
-                             "right_edge": [v[b - 1] for _, b, _ in groups]})
-
-    return small.unionByName(big).groupBy("feature").applyInPandas(cut, "feature string, bin int, left_edge double, right_edge double")
+    sums = settle(_cumulative(counts))
+    spark = counts.sparkSession
+    total = {r["feature"]: r["n"] for r in sums.groupBy("feature").agg(F.max("upto").alias("n")).collect()}     # features
+    done = {f: 0 for f in total}
+    groups: dict[str, list[list]] = {f: [] for f in total}
+    for g in range(bins):
+        open_ = [(f, n, float(n + (total[f] - n) / (bins - g)) if g < bins - 1 else float(total[f])) for f, n in done.items() if n < total[f]]
+        if not open_:
+            break
+        d = sums.join(F.broadcast(spark.createDataFrame(open_, "feature string, _done bigint, _aim double")), "feature").where("upto > _done")
+        near = d.groupBy("feature").agg(F.min("value").alias("left"), F.max("_done").alias("done"), F.max("_aim").alias("aim"),
+                                        F.min(F.when(F.col("upto") >= F.col("_aim"), F.struct("upto", "value"))).alias("over"),
+                                        F.max(F.when(F.col("upto") < F.col("_aim"), F.struct("upto", "value"))).alias("under"))
+        for r in near.collect():                                                                               # features
+            over, under, aim = r["over"], r["under"], r["aim"]
+            end = under if over is None or under and abs(over["upto"] - aim) > abs(under["upto"] - aim) else over
+            groups[r["feature"]].append([r["left"], end["value"], end["upto"] - r["done"]])
+            done[r["feature"]] = end["upto"]
+    rows = [(f, i, float(a), float(b)) for f in sorted(groups) for i, (a, b, _) in enumerate(_merge_small(groups[f], min_rows))]
+    return spark.createDataFrame(rows, "feature string, bin int, left_edge double, right_edge double")
+
+
+def tied(rate: str) -> Column:
+    """A rate for comparisons: what differs by the order of summation alone is a tie."""
+    return F.round(rate, TIE_DIGITS)
 
 
 def observed_bins(counts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,7 +129,7 @@ def grid_points(groups: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def bin_summary(bins: DataFrame) -> DataFrame:
     return bins.groupBy("feature").agg(
         F.count(F.lit(1)).alias("bins"), F.sum("rows").alias("rows"),
-        *[f(F.col("center"), F.struct(F.col(c), F.col("bin"))).alias(n) for n, f, c in (
+        *[f(F.col("center"), F.struct(tied(c), F.col("bin"))).alias(n) for n, f, c in (
             ("min_pred_at", F.min_by, "pred_mean"), ("max_pred_at", F.max_by, "pred_mean"), ("min_target_at", F.min_by, "target_rate"),
             ("max_target_at", F.max_by, "target_rate"))],
         (F.max("pred_mean") - F.min("pred_mean")).alias("pred_range"), (F.max("target_rate") - F.min("target_rate")).alias("target_range"))
@@ -142,7 +151,7 @@ def partial_dependence(rows: DataFrame, grid: DataFrame, features: list[str], sc
 def curve_class(curve: DataFrame, keys: list[str], x: str, y: str, flat: float = 1e-6, mostly: float = 0.8) -> DataFrame:
     """Shape of a curve of a few points: flat, mostly increasing/decreasing, inverted_u, u_shape or mixed."""
     w = Window.partitionBy(*keys).orderBy(x)
-    d = curve.withColumns({"_d": F.col(y) - F.lag(y).over(w), "_k": F.row_number().over(w)})
+    d = curve.withColumn(y, tied(y)).withColumns({"_d": F.col(y) - F.lag(y).over(w), "_k": F.row_number().over(w)})
     a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(y) - F.min(y)).alias("range"), F.count_if(F.col("_d") > 0).alias("up"),
                              F.count_if(F.col("_d") < 0).alias("down"), F.max_by("_k", F.struct(F.col(y), -F.col("_k"))).alias("_top"),
                              F.min_by("_k", F.struct(F.col(y), F.col("_k"))).alias("_low"))
@@ -166,8 +175,8 @@ def scaled_slope(curve: DataFrame, keys: list[str], x: str, y: str, w: str) -> D
 
 
 def kendall_tau(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Tau-b with ties over the bins of a curve (a handful of rows per key)."""
-    pts = curve.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_p"))  # bins only
+    """Tau-b with ties over the bins of a curve (a handful of rows per key); rates equal to ``TIE_DIGITS`` digits tie."""
+    pts = curve.groupBy(*keys).agg(F.collect_list(F.struct(tied(x).alias("x"), tied(y).alias("y"))).alias("_p"))  # bins only
     sgn = lambda a, b: F.signum(a - b)
     d = pts.select(*keys, F.posexplode("_p").alias("_i", "_a"), "_p")
     cells = F.transform(F.filter(F.transform("_p", lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda q: q["i"] > F.col("_i")),

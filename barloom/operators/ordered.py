@@ -12,7 +12,10 @@ task, and what crosses a span boundary is either
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -112,23 +115,36 @@ def settle(df: DataFrame) -> DataFrame:
 
     A scan reads its input twice (rows and span totals), so a chain of scans would
     read its source exponentially often; deep operators settle between scans.  The
-    table survives lost executors and is read back column by column.  The folder is
-    the one the session names; a fresh local one only where it names none.
+    table survives lost executors and is read back column by column.
     """
     path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_path(spark, label: str) -> str:
-    """A new folder under the session's checkpoint directory."""
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    A single-process session that names none gets a fresh temporary one; a cluster must name it, since its
+    executors could not read what others write to a local folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        defined = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = defined.get() if defined.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not defined.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder}/{label}-{uuid.uuid4().hex}"
+    if folder:
+        return folder
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def shared_path(spark, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def index_rows(df: DataFrame, layout: Layout = BARS, name: str = "_i", order: tuple[str, ...] = ()) -> DataFrame:
@@ -158,18 +174,22 @@ def framed(df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame], l
     return build(spread, w).where(F.floor(F.col("_i") / n) == F.col("_chunk")).drop("_chunk")
 
 
-def rolling_sums(frame: DataFrame, w: WindowSpec, specs: dict[str, tuple[Column, int]],
-                 native_limit: int = 48) -> DataFrame:
-    """Trailing sums; long frames use differences of a chunk-local prefix sum (O(1) per row)."""
+def rolling_sums(frame: DataFrame, w: WindowSpec, specs: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Trailing sums over exactly ``n`` present values, NULL where one is missing.
+
+    One method for all lengths: differences of a chunk-local prefix sum and of a prefix
+    count of present values, O(1) per row.  A value much larger than its
+    neighbours costs the sums behind it in the same chunk that much precision, so callers centre large levels first.
+    """
     prefix = w.rowsBetween(Window.unboundedPreceding, 0)
-    long = {o: s for o, s in specs.items() if s[1] > native_limit}
-    out = frame.select("*", *[F.sum(c).over(w.rowsBetween(-(n - 1), 0)).alias(o)
-                              for o, (c, n) in specs.items() if n <= native_limit],
-                       *[F.sum(F.coalesce(c, F.lit(0.0))).over(prefix).alias(f"_p_{o}") for o, (c, _) in long.items()])
-    if long:
-        out = out.select("*", *[(F.col(f"_p_{o}") - F.coalesce(F.lag(f"_p_{o}", n).over(w), F.lit(0.0))).alias(o)
-                                for o, (_, n) in long.items()]).drop(*[f"_p_{o}" for o in long])
-    return out
+    out = frame.select("*", *[e.over(prefix).alias(f"_{p}_{o}") for o, (c, _) in specs.items()
+                              for p, e in (("p", F.sum(F.coalesce(c, F.lit(0.0)))), ("n", F.count(c)))])
+
+    def since(name: str, n: int) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, n).over(w), F.lit(0))
+
+    return out.select("*", *[F.when(since(f"_n_{o}", n) == n, since(f"_p_{o}", n)).alias(o) for o, (_, n) in specs.items()]).drop(
+        *[f"_{p}_{o}" for o in specs for p in "pn"])
 
 
 def run_bounds(df: DataFrame, starts: Column, layout: Layout = BARS) -> DataFrame:

@@ -13,7 +13,7 @@ from barloom.operators.ordered import Layout, running, settle
 EPS = 1e-12
 TICK_FALLBACK = 0.01
 STAKE_DECIMALS = 2
-ADJUST_STEPS = 100
+ADJUST_STEPS = 8
 DOWNSIDE_EPS = 1e-9
 NO_TRADE_OBJECTIVE = -1e9
 
@@ -167,17 +167,26 @@ def round_up(x, decimals: int) -> Column:
 
 
 def minimum_stake(price, fee: Fee, min_shares, decimals: int = STAKE_DECIMALS, steps: int = ADJUST_STEPS) -> Column:
-    """Smallest rounded stake that still buys the minimum shares after the fee."""
+    """Smallest rounded stake that still buys the minimum shares after the fee.
+
+    ``steps`` increments are tried; past them the next stake stands, which ``stake_met`` tells from a valid one.
+    """
     p, m = col(price), col(min_shares)
     share = fee.fraction(p)
     first = round_up(m * p / F.greatest(1 - share, F.lit(EPS)), decimals)
     inc = float(10 ** -decimals)
     tries = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: round_up(first + k * inc, decimals))
-    fits = F.filter(tries, lambda s: (s - fee.from_notional(s, p)) / p + EPS >= m)
+    fits = F.filter(F.slice(tries, 1, steps), lambda s: (s - fee.from_notional(s, p)) / p + EPS >= m)
     value = F.coalesce(F.try_element_at(fits, F.lit(1)), F.element_at(tries, -1))
     return F.when((p <= 0) | (p >= 1), None).when(m <= 0, 0.0).when(share < 1, value)
 
 
+def stake_met(stake, price, fee: Fee, min_shares) -> Column:
+    """Whether a stake buys the minimum shares after the fee; NULL without a stake."""
+    s, p = col(stake), col(price)
+    return F.when(s.isNotNull(), (s - fee.from_notional(s, p)) / p + EPS >= col(min_shares))
+
+
 def trade_intent(df: DataFrame, fee: Fee, *, bankroll, multiplier, min_shares, mode: str = "fixed", initial_bankroll=None,
                  balance=None, cap=None) -> DataFrame:
     """Side, price, stake, fee and shares of a decision, with the first rule that stops it as ``final_reason``."""

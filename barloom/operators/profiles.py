@@ -239,14 +239,23 @@ def _replay(steps: DataFrame, half_lives: dict, kinds: int, bins: int, cols: lis
     return kept.join(made.select(*key, "_i", *null_nan), [*key, "_i"])
 
 
+def volume_names(cfg: VolumeProfile) -> list[str]:
+    shifts = [s for s in range(-cfg.neighbors, cfg.neighbors + 1) if s]
+    parts = [f"log_density_ratio_to_current_bin_{'minus' if s < 0 else 'plus'}_{abs(s)}" for s in shifts]
+    parts += ["local_above_below_volume_log_ratio", "current_bin_volume_share_of_local_window", "current_bin_volume_share_of_local_peak"]
+    return [f"vp_{h}_{part}" for h in cfg.half_lives for part in parts]
+
+
+def reaction_names(cfg: ReactionProfile) -> list[str]:
+    parts = ["support_below", "resistance_above", "support_above", "resistance_below", "imbalance",
+             "support_center_distance", "resistance_center_distance"]
+    return [f"rp_{h}_{part}" for h in cfg.half_lives for part in parts]
+
+
 def volume_profile_features(bars: DataFrame, cfg: VolumeProfile, layout: Layout = BARS) -> DataFrame:
     """Log density ratios to the current bin, local above/below ratio, and shares of local window and peak."""
     shifts = [s for s in range(-cfg.neighbors, cfg.neighbors + 1) if s]
-    names = []
-    for h in cfg.half_lives:
-        names += [f"vp_{h}_log_density_ratio_to_current_bin_{'minus' if s < 0 else 'plus'}_{abs(s)}" for s in shifts]
-        names += [f"vp_{h}_{x}" for x in ("local_above_below_volume_log_ratio", "current_bin_volume_share_of_local_window",
-                                          "current_bin_volume_share_of_local_peak")]
+    names = volume_names(cfg)
 
     def read(mass, scale, row):
         b = min(max(int((0.5 * (row[0] + row[1]) - cfg.price_min) / cfg.step), 0), cfg.bins - 1)
@@ -264,9 +273,7 @@ def volume_profile_features(bars: DataFrame, cfg: VolumeProfile, layout: Layout
 
 def reaction_profile_features(bars: DataFrame, cfg: ReactionProfile, layout: Layout = BARS) -> DataFrame:
     """Distance-weighted support and resistance on both sides, their imbalance, and two centre distances."""
-    parts = ["support_below", "resistance_above", "support_above", "resistance_below", "imbalance",
-             "support_center_distance", "resistance_center_distance"]
-    names = [f"rp_{h}_{p}" for h in cfg.half_lives for p in parts]
+    names = reaction_names(cfg)
 
     def read(mass, scale, row):
         price = row[0]

@@ -15,7 +15,8 @@ _BUCKETS = 256
 _STEP = 16
 
 
-def _bucketed(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], value: str, buckets: int = _BUCKETS) -> DataFrame:
+    """Rows with a value and the ``_bucket`` of similar size that holds it."""
     rows = df.where(F.col(value).isNotNull())
     steps = [i / buckets for i in range(1, buckets)]
     edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, 1_000)).alias("_edges"))
@@ -40,7 +41,7 @@ def _offsets(b: DataFrame, keys: list[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = _BUCKETS) -> DataFrame:
     """``(keys, q, quantile)`` with linear interpolation between neighbouring order statistics."""
-    b = _bucketed(df, keys, value, buckets)
+    b = bucketed(df, keys, value, buckets)
     off = _offsets(b, keys)
     wanted = off.select(*keys, "_bucket", "_before", "_size", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     pos = F.col("q") * (F.col("_n") - 1)
@@ -64,7 +65,7 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = _BUCKETS) -> DataFrame:
     """Rank of each row with ties at their mean rank, NULL for NULL; exact for any group size."""
-    b = _bucketed(df, keys, value, buckets)
+    b = bucketed(df, keys, value, buckets)
     ids = [*keys, "_bucket"]
     w = Window.partitionBy(*ids).orderBy(value)
     ties = Window.partitionBy(*ids, value)
@@ -73,11 +74,9 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets:
     return r.withColumn(out, F.col("_before") + mean_rank).drop("_bucket", "_before")
 
 
-
-
 def row_positions(df: DataFrame, keys: list[str], value: str, tie: list[str], out: str, buckets: int = _BUCKETS) -> DataFrame:
     """Zero-based sorted position of each row with a value, ties in ``tie`` order."""
-    b = _bucketed(df, keys, value, buckets)
+    b = bucketed(df, keys, value, buckets)
     ids = [*keys, "_bucket"]
     w = Window.partitionBy(*ids).orderBy(value, *tie)
     r = b.join(_offsets(b, keys).select(*ids, "_before"), ids)

@@ -7,6 +7,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import attach_row
+from barloom.operators.ordered import settle
 from barloom.operators.quantiles import average_ranks
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -61,23 +62,47 @@ def rank_frame(df: DataFrame, features: list[str], ids: list[str]) -> DataFrame:
     return r.groupBy(*ids).agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in features])
 
 
-def correlation_pairs(df: DataFrame, features: list[str], spearman: bool = False, ids: list[str] = ()) -> DataFrame:
-    """``(left, right, corr)`` for every feature pair, from one pass of the distributed correlation matrix."""
-    d = rank_frame(df, features, list(ids)) if spearman else df
-    vec = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(d.select(*[F.col(f).cast("double") for f in features]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()  # features x features
-    rows = [(features[i], features[j], i, j, float(m[i, j])) for i in range(len(features)) for j in range(i + 1, len(features))]
+def _paired_ranks(df: DataFrame, pairs: list[tuple[str, str]], ids: list[str]) -> DataFrame:
+    """``(pair, x, y)`` average ranks of every pair over the rows where both are present."""
+    cells = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
+    long = settle(df.select(*ids, F.inline(cells)).where("x IS NOT NULL AND y IS NOT NULL"))
+    return average_ranks(average_ranks(long, ["pair"], "x", "rx"), ["pair"], "y", "ry").select("pair", F.col("rx").alias("x"), F.col("ry").alias("y"))
+
+
+def correlation_pairs(df: DataFrame, features: list[str], spearman: bool = False, ids: list[str] = (), least_rows: int = 3) -> DataFrame:
+    """``(left, right, i, j, corr)`` for every feature pair over the rows where both are present; NULL below ``least_rows``.
+
+    Pairs of columns without NULLs come from one pass of the distributed correlation matrix.  A pair with a
+    column that has NULLs ranks only its own rows, so such pairs cost a row each for each present row.
+    """
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(f).alias(f"_c_{f}") for f in features]).first()
+    whole = [f for f in features if counts[f"_c_{f}"] == counts["_n"]]
+    every = [(a, b) for x, a in enumerate(features) for b in features[x + 1:]]
+    sparse = [(a, b) for a, b in every if not (a in whole and b in whole)]
+    corr: dict[tuple[str, str], float | None] = {}
+    if len(whole) > 1 and counts["_n"] >= least_rows:
+        d = rank_frame(df, whole, list(ids)) if spearman else df
+        vec = VectorAssembler(inputCols=whole, outputCol="_v").transform(d.select(*[F.col(f).cast("double") for f in whole]))
+        m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()  # features x features
+        corr = {(a, b): float(m[x, y]) for x, a in enumerate(whole) for y, b in enumerate(whole)}
+    if sparse:
+        present = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in sparse])
+        long = _paired_ranks(df, sparse, list(ids)) if spearman else df.select(F.inline(present)).where("x IS NOT NULL AND y IS NOT NULL")
+        for r in long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("c")).collect():  # feature pairs
+            a, _, b = r["pair"].partition("|")
+            corr[a, b] = r["c"] if r["n"] >= least_rows else None
+    known = {k: v for k, v in corr.items() if v is not None and v == v}
+    rows = [(a, b, features.index(a), features.index(b), known.get((a, b))) for a, b in every]
     return df.sparkSession.createDataFrame(rows, "left string, right string, i int, j int, corr double")
 
 
-def drop_correlated(pairs: list[tuple[str, str, float]], features: list[str], threshold: float) -> list[tuple[str, str, float]]:
+def drop_correlated(pairs: list[tuple[str, str, float | None]], features: list[str], threshold: float) -> list[tuple[str, str, float]]:
     """``(dropped, kept, corr)``: a feature falls to the earliest kept one it correlates with."""
     kept: list[str] = []
-    table = {(a, b): c for a, b, c in pairs}
+    table = {frozenset((a, b)): c for a, b, c in pairs if c is not None}
     out = []
     for f in features:
-        hit = next(((k, table.get((k, f), table.get((f, k), 0.0))) for k in kept
-                    if abs(table.get((k, f), table.get((f, k), 0.0))) >= threshold), None)
+        hit = next(((k, table[frozenset((k, f))]) for k in kept if abs(table.get(frozenset((k, f)), 0.0)) >= threshold), None)
         if hit:
             out.append((f, *hit))
         else:
@@ -85,15 +110,15 @@ def drop_correlated(pairs: list[tuple[str, str, float]], features: list[str], th
     return out
 
 
-def screened_correlation(df: DataFrame, sample: DataFrame, features: list[str], threshold: float, slack: float, ids: list[str]) -> DataFrame:
-    """Sample correlations at a lowered threshold pick candidate pairs; survivors are computed on all rows."""
-    rough = correlation_pairs(sample, features, spearman=True, ids=ids).where(F.abs("corr") >= threshold - slack)
-    cand = [(r["left"], r["right"]) for r in rough.select("left", "right").collect()]  # feature pairs
-    need = [f for f in features if any(f in p for p in cand)]
-    if not need:
-        return rough.where("false")
-    exact = correlation_pairs(df, need, spearman=True, ids=ids)
-    return exact.join(rough.select("left", "right"), ["left", "right"], "left_semi").where(F.abs("corr") >= threshold)
+def correlation_drop(df: DataFrame, features: list[str], threshold: float, ids: list[str] = ()) -> DataFrame:
+    """``(dropped, kept, corr)`` of the greedy drop over pairwise-complete rank correlations, in feature order."""
+    pairs = [(r["left"], r["right"], r["corr"]) for r in correlation_pairs(df, features, True, ids).collect()]  # feature pairs
+    return df.sparkSession.createDataFrame(drop_correlated(pairs, features, threshold), "dropped string, kept string, corr double")
+
+
+def strong_correlations(df: DataFrame, features: list[str], threshold: float, ids: list[str]) -> DataFrame:
+    """Pairs at or above the threshold, exact on all rows: the whole matrix is one pass, so no sample screens it."""
+    return correlation_pairs(df, features, spearman=True, ids=ids).where(F.abs("corr") >= threshold)
 
 
 def prefilter_report(steps: dict[str, DataFrame]) -> DataFrame:

@@ -108,17 +108,18 @@ def _stake_sql(price, shares="5.0"):
     return g, s
 
 
-@query("minimum_stake", "POL09", "symbol:s ts:t stake:d4",
-       f"""SELECT symbol, ts, min(st) AS stake FROM (SELECT symbol, ts, ask_yes, ceil((g + s*0.01::DOUBLE)*100 - 1e-12)/100 AS st FROM (
-            SELECT symbol, ts, ask_yes, {_stake_sql('ask_yes')[0]} AS g FROM btframe), range(0, 101) r(s))
-          WHERE (st - {_fee('(st/ask_yes)', 'ask_yes')})/ask_yes + 1e-12 >= 5 GROUP BY 1, 2""")
+@query("minimum_stake", "POL09", "symbol:s ts:t stake:d4 met:i",
+       f"""SELECT symbol, ts, coalesce(min(st) FILTER (ok AND s < 8), max(st)) AS stake, bool_or(ok) AS met FROM (
+            SELECT *, (st - {_fee('(st/ask_yes)', 'ask_yes')})/ask_yes + 1e-12 >= 5 AS ok FROM (SELECT symbol, ts, ask_yes, s, ceil((g + s*0.01::DOUBLE)*100 - 1e-12)/100 AS st FROM (
+            SELECT symbol, ts, ask_yes, {_stake_sql('ask_yes')[0]} AS g FROM btframe), range(0, 9) r(s))) GROUP BY 1, 2""")
 def minimum_stake(t):
-    return _frame(t).withColumn("stake", po.minimum_stake("ask_yes", FEE, F.lit(5.0)))
+    d = _frame(t).withColumn("stake", po.minimum_stake("ask_yes", FEE, F.lit(5.0)))
+    return d.withColumn("met", po.stake_met("stake", "ask_yes", FEE, F.lit(5.0)))
 
 
-CTES["staked"] = f"""SELECT symbol, ts, any_value(decision) AS decision, any_value(reason) AS reason, any_value(e) AS e, min(CASE WHEN (st - {_fee('(st/e)', 'e')})/e + 1e-12 >= 5 THEN st END) AS req FROM (
+CTES["staked"] = f"""SELECT symbol, ts, any_value(decision) AS decision, any_value(reason) AS reason, any_value(e) AS e, coalesce(min(CASE WHEN s < 8 AND (st - {_fee('(st/e)', 'e')})/e + 1e-12 >= 5 THEN st END), max(st)) AS req FROM (
     SELECT *, ceil((g + s*0.01::DOUBLE)*100 - 1e-12)/100 AS st FROM (SELECT *, {_stake_sql('e')[0]} AS g FROM (
-      SELECT *, CASE decision WHEN 'buy_yes' THEN ask_yes WHEN 'buy_no' THEN ask_no END AS e FROM decided)), range(0, 101) r(s)) GROUP BY 1, 2"""
+      SELECT *, CASE decision WHEN 'buy_yes' THEN ask_yes WHEN 'buy_no' THEN ask_no END AS e FROM decided)), range(0, 9) r(s)) GROUP BY 1, 2"""
 
 
 @query("trade_intent", "POL10", "symbol:s ts:t decision:s trade_side:s bet:d4 final_reason:s",

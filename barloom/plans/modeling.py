@@ -47,22 +47,42 @@ def duplicate_features(t):
                                 "all_missing": fs.column_profile(d, FEATS).where("all_missing")})
 
 
-CTES["ranked"] = "SELECT symbol, ts, " + ", ".join(f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1)/2.0 AS {f}" for f in CORE) + " FROM feats"
-_PAIRS = [(a, b) for i, a in enumerate(CORE) for b in CORE[i + 1:]]
+def _rank_sql(f: str) -> str:
+    return f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1)/2.0"
 
 
-@query("spearman_pairs", "FSL06", "left_feature:s right_feature:s rho", "\nUNION ALL\n".join(f"SELECT '{a}' AS left_feature, '{b}' AS right_feature, corr({a}, {b}) AS rho FROM ranked" for a, b in _PAIRS))
+def _rho_sql(features: list[str]) -> str:
+    """Rank correlation of every pair over the rows where both are present."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    return "\nUNION ALL\n".join(f"SELECT '{a}' AS left_feature, '{b}' AS right_feature, CASE WHEN count(*) >= 3 THEN corr(x, y) END AS rho FROM ("
+                               f"SELECT {_rank_sql(a)} AS x, {_rank_sql(b)} AS y FROM feats WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in pairs)
+
+
+# A constant column has no correlation; one engine says NULL, the other not-a-number.
+CTES["rhos"] = f"SELECT left_feature, right_feature, CASE WHEN NOT isnan(rho) THEN rho END AS rho FROM ({_rho_sql(FEATS)})"
+
+
+@query("spearman_pairs", "FSL06", "left_feature:s right_feature:s rho", "SELECT * FROM rhos")
 def spearman_pairs(t):
-    return fs.correlation_pairs(settle(feats(t)), CORE, spearman=True, ids=["symbol", "ts"]).withColumnsRenamed(
+    return fs.correlation_pairs(settle(feats(t)), FEATS, spearman=True, ids=["symbol", "ts"]).withColumnsRenamed(
         {"left": "left_feature", "right": "right_feature", "corr": "rho"})
 
 
-@query("screened_correlation", "FSL07", "left_feature:s right_feature:s rho", "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS left_feature, '{b}' AS right_feature, corr({a}, {b}) AS rho FROM ranked" for a, b in _PAIRS) + ") WHERE abs(rho) >= 0.3")
+@query("screened_correlation", "FSL07", "left_feature:s right_feature:s rho", "SELECT * FROM rhos WHERE abs(rho) >= 0.3")
 def screened_correlation(t):
-    d = settle(feats(t))
-    tail = d.where(F.col("ts") >= "2024-01-10")
-    return fs.screened_correlation(d, tail, CORE, 0.3, 0.2, ["symbol", "ts"]).withColumnsRenamed({"left": "left_feature", "right": "right_feature", "corr": "rho"})
+    return fs.strong_correlations(settle(feats(t)), FEATS, 0.3, ["symbol", "ts"]).withColumnsRenamed({"left": "left_feature", "right": "right_feature", "corr": "rho"})
+
+
+_NAMES = "[" + ", ".join(f"'{f}'" for f in FEATS) + "]"
+
+
+@query("correlation_drop", "FSL06 FSL08", "dropped:s kept:s corr", f"""WITH RECURSIVE table_of AS (SELECT map_from_entries(list((left_feature || '|' || right_feature, rho))) AS m FROM rhos WHERE abs(rho) >= 0.3),
+    walk(i, kept, hit) AS (SELECT 1, [{_NAMES}[1]], CAST(NULL AS VARCHAR) UNION ALL
+      SELECT i + 1, CASE WHEN h IS NULL THEN list_append(kept, f) ELSE kept END, h FROM (
+        SELECT i, kept, {_NAMES}[i + 1] AS f, list_filter(kept, lambda k: map_contains(m, k || '|' || {_NAMES}[i + 1]))[1] AS h FROM walk, table_of WHERE i < {len(FEATS)}))
+    SELECT {_NAMES}[i] AS dropped, hit AS kept, m[hit || '|' || {_NAMES}[i]] AS corr FROM walk, table_of WHERE hit IS NOT NULL""")
+def correlation_drop(t):
+    return fs.correlation_drop(settle(feats(t)), FEATS, 0.3, ["symbol", "ts"])
 
 
 CTES["gains"] = "\nUNION ALL\n".join(f"SELECT fold, '{f}' AS feature, greatest(avg(f.{f}) - {c}, 0) AS gain, count(f.{f}) AS splits FROM feats f JOIN folded d ON f.row_idx = d.row_idx AND d.role = 'train' GROUP BY 1"
@@ -127,9 +147,22 @@ def recent_sample(t):
     return ow.uniform_sample(settle(tg.global_index(d)), 100)
 
 
-@query("tie_aware_groups", "OWA02", "feature:s bin:i left_edge right_edge")
+def _groups_sql(feature: str, bins: int) -> str:
+    """The greedy cut as a recursion over groups; each step looks its cut up in the cumulative counts."""
+    return f"""SELECT '{feature}' AS feature, g AS bin, l AS left_edge, r AS right_edge, n FROM (
+      WITH RECURSIVE c AS (SELECT v, sum(k) OVER (ORDER BY v) AS upto FROM (SELECT {feature} AS v, count(*) AS k FROM feats WHERE {feature} IS NOT NULL GROUP BY 1)),
+      s AS (SELECT list(v ORDER BY v) AS vs, list(upto ORDER BY v) AS us, max(upto) AS total FROM c),
+      cuts(g, start, done, l, r, n) AS (SELECT -1, 0::BIGINT, 0::HUGEINT, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0::HUGEINT UNION ALL
+        SELECT g + 1, e, us[e], vs[start + 1], vs[e], us[e] - done FROM (
+          SELECT g, start, done, vs, us, CASE WHEN hi IS NULL THEN len(us) WHEN hi - 1 > start AND abs(us[hi] - aim) > abs(us[hi - 1] - aim) THEN hi - 1 ELSE hi END AS e FROM (
+            SELECT *, start + list_position(list_transform(us[start + 1:], lambda u: u >= aim), true) AS hi FROM (
+              SELECT g, start, done, vs, us, CASE WHEN g = {bins - 2} THEN total::DOUBLE ELSE done + (total - done)/({bins - 1} - g)::DOUBLE END AS aim FROM cuts, s WHERE g < {bins - 1} AND done < total))))
+      SELECT * FROM cuts WHERE g >= 0)"""
+
+
+@query("tie_aware_groups", "OWA02", "feature:s bin:i left_edge right_edge", "\nUNION ALL\n".join(_groups_sql(f, 8) for f in ("close", "nearly", "volume")))
 def tie_aware_groups(t):
-    return ow.bin_edges(ow.distinct_counts(model(feats(t)), ["close", "nearly", "volume"], "p", "y", "w"), 8, 20)
+    return ow.bin_edges(settle(ow.distinct_counts(model(feats(t)), ["close", "nearly", "volume"], "p", "y", "w")), 8, 1)
 
 
 @query("equal_count_grid", "OWA03 OWA04", "grid", """SELECT DISTINCT quantile_cont(close, 0.5) AS grid FROM (SELECT close, CASE WHEN i < (n % 7)*(n//7+1) THEN i//(n//7+1) ELSE n % 7 + (i - (n % 7)*(n//7+1))//(n//7) END AS g
@@ -159,8 +192,8 @@ def observed_bins(t):
 
 
 @query("bin_summary", "OWA07", "feature:s bins:i rows:i min_pred_at max_pred_at min_target_at max_target_at pred_range",
-       """SELECT feature, count(*) AS bins, sum(rows) AS rows, first(center ORDER BY pred_mean, bin) AS min_pred_at, last(center ORDER BY pred_mean, bin) AS max_pred_at,
-          first(center ORDER BY target_rate, bin) AS min_target_at, last(center ORDER BY target_rate, bin) AS max_target_at, max(pred_mean)-min(pred_mean) AS pred_range FROM obins GROUP BY 1""")
+       """SELECT feature, count(*) AS bins, sum(rows) AS rows, first(center ORDER BY round(pred_mean, 10), bin) AS min_pred_at, last(center ORDER BY round(pred_mean, 10), bin) AS max_pred_at,
+          first(center ORDER BY round(target_rate, 10), bin) AS min_target_at, last(center ORDER BY round(target_rate, 10), bin) AS max_target_at, max(pred_mean)-min(pred_mean) AS pred_range FROM obins GROUP BY 1""")
 def bin_summary(t):
     return ow.bin_summary(_bins(t))
 
@@ -183,7 +216,7 @@ def partial_dependence(t):
        """SELECT feature, n, up, down, CASE WHEN rng <= 1e-6 THEN 'flat' WHEN up/greatest(up+down,1)::DOUBLE >= 0.8 THEN 'mostly_increasing' WHEN down/greatest(up+down,1)::DOUBLE >= 0.8 THEN 'mostly_decreasing'
           WHEN top > 1 AND top < n AND NOT (low > 1 AND low < n) THEN 'inverted_u' WHEN low > 1 AND low < n AND NOT (top > 1 AND top < n) THEN 'u_shape' ELSE 'mixed' END AS shape FROM (
           SELECT feature, count(*) AS n, count_if(d > 0) AS up, count_if(d < 0) AS down, max(target_rate)-min(target_rate) AS rng, first(k ORDER BY target_rate DESC, k) AS top, first(k ORDER BY target_rate, k) AS low FROM (
-            SELECT *, target_rate - lag(target_rate) OVER w AS d, row_number() OVER w AS k FROM obins WINDOW w AS (PARTITION BY feature ORDER BY center)) GROUP BY 1)""")
+            SELECT *, target_rate - lag(target_rate) OVER w AS d, row_number() OVER w AS k FROM (SELECT * REPLACE (round(target_rate, 10) AS target_rate) FROM obins) WINDOW w AS (PARTITION BY feature ORDER BY center)) GROUP BY 1)""")
 def curve_class(t):
     return ow.curve_class(_bins(t), ["feature"], "center", "target_rate")
 
@@ -195,7 +228,7 @@ def scaled_slope(t):
     return ow.scaled_slope(_bins(t), ["feature"], "center", "pred_mean", "weight")
 
 
-CTES["taus"] = """SELECT a.feature, sum(sign(b.center-a.center)*sign(b.{y}-a.{y}))/sqrt(count_if(b.center<>a.center)::DOUBLE*count_if(b.{y}<>a.{y})) AS tau FROM obins a JOIN obins b ON a.feature = b.feature AND a.bin < b.bin GROUP BY 1""".replace("{y}", "target_rate")
+CTES["taus"] = """SELECT a.feature, sum(sign(round(b.center, 10)-round(a.center, 10))*sign(round(b.{y}, 10)-round(a.{y}, 10)))/sqrt(count_if(round(b.center, 10)<>round(a.center, 10))::DOUBLE*count_if(round(b.{y}, 10)<>round(a.{y}, 10))) AS tau FROM obins a JOIN obins b ON a.feature = b.feature AND a.bin < b.bin GROUP BY 1""".replace("{y}", "target_rate")
 CTES["ptaus"] = CTES["taus"].replace("target_rate", "pred_mean")
 
 
@@ -360,7 +393,7 @@ def config_counts(t):
 
 
 @query("rows_to_inspect", "AUD11 AUD17", "symbol:s ts:t feature:s abs_diff",
-       "SELECT symbol, ts, feature, abs_diff FROM acells WHERE feature = 'close' AND abs_diff > 0 ORDER BY abs_diff DESC, ts LIMIT 0 + 25")
+       "SELECT symbol, ts, feature, abs_diff FROM acells WHERE feature = 'close' AND abs_diff > 0 ORDER BY abs_diff DESC, ts LIMIT 25")
 def rows_to_inspect(t):
     return audit.inspect_rows(_diff(t), ["close"], 25)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from barloom.operators import clean, features as fe
+from barloom.operators import clean, features as fe, profiles as pr
 from barloom.operators.ordered import settle
 from barloom.plans.base import CTES, HOUR, HOURLY, QUARTER, query
 from barloom.sources import decode, store
@@ -134,15 +134,13 @@ def prediction_sink_rows(t):
     return store.prediction_rows(d, "p", ["symbol", "ts", "close"])
 
 
-@query("keyed_upsert", "SRC20", "user_id:s event_type:s value:s",
-       """SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(arg_max(event_id, (event_id)) AS VARCHAR) AS value
+@query("keyed_upsert", "SRC20", "user_id:s event_type:s value:s note:s",
+       """SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(arg_max(value, (event_id % 3 = 0, ts, event_id)) AS VARCHAR) AS value, NULL AS note
           FROM events GROUP BY 1, 2""")
 def keyed_upsert(t):
-    e = t.raw("events").select("user_id", "event_type", F.col("event_id").alias("value"))
-    half = 10 ** 9
-    latest = e.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    old = e.groupBy("user_id", "event_type").agg(F.min("value").alias("value")).withColumn("unused", F.lit(half))
-    return store.upsert(old, latest, ["user_id", "event_type"], ["user_id", "event_type", "value", "note"])
+    e = t.raw("events").select("user_id", "event_type", "value", "event_id", F.struct("ts", "event_id").alias("seq"))
+    new = F.col("event_id") % 3 == 0
+    return store.upsert(e.where(~new), e.where(new), ["user_id", "event_type"], ["user_id", "event_type", "value", "note"], "seq")
 
 
 @query("record_export", "SRC21", "symbol:s ts:s close:s note:s",
@@ -451,7 +449,10 @@ def interval_basis(t):
 
 
 @query("feature_families", "FEA18", "feature:s family:s",
-       """SELECT feature, CASE WHEN feature IN ('open','close') THEN 'raw' WHEN feature LIKE 'rv_%' THEN 'volatility'
+       """WITH horizon AS (SELECT unnest(['short', 'medium', 'long', 'all']) AS h), own AS (
+          SELECT 'vp_' || h || '_' || unnest(['current_bin_volume_share_of_local_peak', 'log_density_ratio_to_current_bin_minus_1']) AS feature, 'volume_profile' AS family FROM horizon
+          UNION ALL SELECT 'rp_' || h || '_' || unnest(['support_below', 'imbalance']), 'reaction_profile' FROM horizon)
+          SELECT * FROM own UNION ALL SELECT feature, CASE WHEN feature IN ('open','close') THEN 'raw' WHEN feature LIKE 'rv_%' THEN 'volatility'
           WHEN feature LIKE 'session_%' THEN 'session' WHEN feature LIKE '%_fit_%' THEN 'indicator' ELSE 'unclassified' END AS family FROM (
           SELECT DISTINCT CASE event_id % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'close' WHEN 2 THEN 'rv_' || event_id % 61 WHEN 3 THEN 'session_flow_' || event_type
             WHEN 4 THEN 'MACD_fit_' || event_type ELSE 'other_' || event_type END AS feature FROM events)""")
@@ -460,6 +461,9 @@ def feature_families(t):
     name = (F.when(i == 0, "open").when(i == 1, "close").when(i == 2, F.concat(F.lit("rv_"), F.col("event_id") % 61))
             .when(i == 3, F.concat(F.lit("session_flow_"), "event_type")).when(i == 4, F.concat(F.lit("MACD_fit_"), "event_type"))
             .otherwise(F.concat(F.lit("other_"), "event_type")))
-    return fe.classify_features(t.raw("events").select(name.alias("feature")).distinct())
+    wanted = ("current_bin_volume_share_of_local_peak", "log_density_ratio_to_current_bin_minus_1", "support_below", "imbalance")
+    own = [n for n in pr.volume_names(pr.VolumeProfile()) + pr.reaction_names(pr.ReactionProfile()) if n.endswith(wanted)]
+    built = t.spark.createDataFrame([(n,) for n in own], "feature string")
+    return fe.classify_features(t.raw("events").select(name.alias("feature")).distinct().unionByName(built))
 
 

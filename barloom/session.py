@@ -21,11 +21,3 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
              .getOrCreate())
     return spark
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared folder of the cluster for cut lineage; ``fallback`` only where the session names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = fallback
-        spark.sparkContext.setCheckpointDir(known)
-    return known

@@ -115,12 +115,15 @@ def key_text(c) -> Column:
     return F.when(s.isNull() | F.lower(s).isin("nan", "none", "nat"), "").otherwise(s)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Existing and new records, last one per text-normalised key, missing columns as NULL."""
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], columns: list[str], sequence: str) -> DataFrame:
+    """Existing and new records, the last one per text-normalised key, missing columns as NULL.
+
+    New records replace existing ones; among either the greatest ``sequence`` wins, so the winner does not depend on partitions.
+    """
     def shaped(df, rank):
         have = set(df.columns)
         return df.select(*[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in columns],
-                         F.lit(rank).alias("_rank"), F.monotonically_increasing_id().alias("_row"))
+                         F.lit(rank).alias("_rank"), F.col(sequence).alias("_row"))
 
     both = shaped(existing, 0).unionByName(shaped(new, 1))
     both = both.withColumns({f"_k{i}": key_text(c) for i, c in enumerate(key)})

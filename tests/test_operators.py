@@ -262,10 +262,11 @@ def test_feature_list_files(spark, tmp_path):
 
 
 def test_upsert_normalises_keys(spark):
-    old = spark.createDataFrame([("1 ", "a", "x"), ("nan", "b", "y")], "k string, v string, extra string")
-    new = spark.createDataFrame([("1", "c"), (None, "d")], "k string, v string")
-    got = {(r["k"] or "").strip(): r["v"] for r in store.upsert(old, new, ["k"], ["k", "v"]).collect()}
-    assert sorted(got.values()) == ["c", "d"]
+    old = spark.createDataFrame([("1 ", "a", "x", 9), ("nan", "b", "y", 1)], "k string, v string, extra string, n int")
+    new = spark.createDataFrame([("1", "c", 2), (None, "d", 1), ("1", "z", 1)], "k string, v string, n int")
+    for parts in (1, 5):                               # the sequence decides, not the partition
+        both = store.upsert(old.repartition(parts), new.repartition(parts), ["k"], ["k", "v"], "n")
+        assert sorted(r["v"] for r in both.collect()) == ["c", "d"]
 
 
 def test_dataset_sink(spark, tmp_path):

@@ -1,13 +1,15 @@
 """Chunked kernels against plain loops, for several chunk sizes and shuffled input."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import averages as ma, recursions as rec
+from barloom.operators import averages as ma, features, ordered, recursions as rec
+from barloom.operators.averages import apply_averages
 from barloom.operators.ordered import Layout, asof, decayed, framed, index_rows, lagged, run_bounds, running
 
 SIZES = [5, 64, 4096]
@@ -144,3 +146,78 @@ def test_no_look_ahead(spark, bars):
 
     full, part = build(a), build(a[a["ts"] <= cut])
     pd.testing.assert_frame_equal(full[full["ts"] <= cut].reset_index(drop=True), part)
+
+
+@pytest.mark.parametrize("length", [15, 16, 17, 47, 48, 49, 50])
+def test_averages_one_rule_for_all_lengths(spark, length):
+    """Missing values give NULL and large levels keep their digits, whatever the length."""
+    rng = np.random.default_rng(length)
+    price = 1e8 + np.where(np.arange(220) % 2, 0.01, 0.0) + rng.normal(scale=1e-3, size=220)
+    pdf = pd.DataFrame({"symbol": "a", "ts": pd.Timestamp("2026-01-01") + pd.to_timedelta(np.arange(220), unit="min"), "close": price, "volume": 1.0 + np.arange(220) % 5})
+    pdf.loc[[30, 151], "close"] = None
+    wanted = {m: (m, "close", length) for m in ("SMA", "WMA", "LINREG", "STD", "VWMA", "GMA", "MIN", "ALMA")}
+    d = spark.createDataFrame(pdf).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    got = apply_averages(d, wanted, Layout(rows=64)).orderBy("ts").toPandas()
+    x = pdf["close"]
+    roll, v = x.rolling(length), pdf["volume"]
+    ramp = np.arange(1, length + 1)
+    want = {"SMA": roll.mean(), "STD": roll.apply(lambda w: np.std(w - w.mean()), raw=True), "MIN": roll.min(), "GMA": np.exp(np.log(x).rolling(length).mean()),
+            "WMA": roll.apply(lambda w: w[0] + ((w - w[0]) * ramp).sum() / ramp.sum(), raw=True),
+            "LINREG": roll.apply(lambda w: w[0] + np.polyval(np.polyfit(ramp, w - w[0], 1), length), raw=True),
+            "VWMA": 1e8 + ((x - 1e8) * v).rolling(length).sum() / v.where(x.notna()).rolling(length).sum()}
+    for name, series in want.items():
+        assert (got[name].isna().to_numpy() == series.isna().to_numpy()).all(), name
+        ok = series.notna().to_numpy()
+        assert np.allclose(got[name].to_numpy(float)[ok], series.to_numpy(float)[ok], rtol=3e-15 if name == "MIN" else 1e-13, atol=0 if name != "STD" else 2e-7), name
+    assert (got["ALMA"].isna() == want["SMA"].isna()).all()
+
+
+def test_volatility_with_a_gap(spark):
+    close = np.exp(np.random.default_rng(3).normal(scale=0.01, size=80).cumsum())
+    pdf = pd.DataFrame({"symbol": "a", "ts": pd.Timestamp("2026-01-01") + pd.to_timedelta(np.arange(80), unit="min"), "close": close})
+    d = spark.createDataFrame(pdf).withColumn("close", F.when(F.minute("ts") != 40, F.col("close")))
+    got = features.volatility_features(d, windows=(16, 17), layout=Layout(rows=32)).orderBy("ts").toPandas()
+    r = np.log(pdf["close"].where(np.arange(80) % 60 != 40)).diff()
+    for n in (16, 17):
+        want = np.sqrt((r * r).rolling(n).sum() / n)
+        assert np.allclose(got[f"rv_{n}"].to_numpy(float), want.to_numpy(), equal_nan=True, rtol=1e-9)
+
+
+def test_chained_averages_read_their_input_once_per_level(spark):
+    from barloom.plans import REGISTRY
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    for name in ("nested_exponential_averages", "adx_wilder"):
+        plan = REGISTRY[name].frame(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") <= 4, name
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        class getCheckpointDir:
+            @staticmethod
+            def isDefined():
+                return False
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            values = {}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.values.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ordered.shared_path(Session, "settled")
+    Session.conf.values["spark.checkpoint.dir"] = "hdfs://shared/folder"
+    assert ordered.shared_path(Session, "settled").startswith("hdfs://shared/folder/settled-")
