@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import attach_row, clip, col
+from barloom.operators.ordered import settle
 from barloom.operators.quantiles import quantile_columns
 
 LOWER_IS_BETTER = {"brier", "log_loss"}
@@ -133,17 +134,17 @@ def segment_scores(rows: DataFrame, x: str, y: str, *, segments: int, train_frac
     start, end = F.floor(F.col("segment") * total / segments), F.floor((F.col("segment") + 1) * total / segments)
     cut = start + F.floor(F.lit(train_frac) * (end - start))
     part = F.when(i < cut, "train").when((i >= cut + gap) & (i < end), "test")
-    r = r.withColumn("_part", part)
+    r = settle(r.withColumn("_part", part))
     ids = [*keys, "segment"]
     cuts = quantile_columns(r.where("_part = 'train'"), ids, x,
                             {"lo_ext": q_ext, "hi_ext": 1 - q_ext, "mid_lo": 0.5 - q_mid, "mid_hi": 0.5 + q_mid})
-    t = r.where("_part = 'test'").join(cuts.where("lo_ext < hi_ext AND mid_lo <= mid_hi"), ids)
+    t = r.where("_part = 'test'").join(settle(cuts).where("lo_ext < hi_ext AND mid_lo <= mid_hi"), ids)
     bucket = F.when(F.col(x) < F.col("lo_ext"), "bot").when(F.col(x) > F.col("hi_ext"), "top").when(
         F.col(x).between(F.col("mid_lo"), F.col("mid_hi")), "mid")
-    t = t.withColumn("bucket", bucket)
+    t = settle(t.withColumn("bucket", bucket))
     noise = t.groupBy(*ids).agg(F.stddev_pop(y).alias("_sd"))
     inside = t.where("bucket IS NOT NULL")
-    means = winsorised_mean(inside, [*ids, "bucket"], y, clip_q).withColumn(
+    means = settle(winsorised_mean(inside, [*ids, "bucket"], y, clip_q)).withColumn(
         "_mean", F.col("median") if stat == "median" else F.col("winsorised_mean"))
     sizes = inside.groupBy(*ids, "bucket").agg(F.count(F.lit(1)).alias("_rows"))
     wide = means.join(sizes, [*ids, "bucket"]).groupBy(*ids).agg(*[

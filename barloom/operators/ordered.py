@@ -24,6 +24,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barloom.functions.columns import epoch
+from barloom.operators.quantiles import bucketed
 
 _EXP_ROOM = 600.0   # largest exponent used inside a block; e^600 is well inside a double
 _NEGLIGIBLE = 80.0  # e^-80: what a decayed carry may lose without touching a double
@@ -37,6 +38,7 @@ class Layout:
     time: str = "ts"
     base_seconds: int = 60
     rows: int = 16_384
+    by_rows: bool = False   # spans of about ``rows`` rows instead of equal time, for rows that come in bursts
 
     @property
     def span_seconds(self) -> int:
@@ -52,6 +54,19 @@ class Layout:
 BARS = Layout()
 
 
+def spanned(df: DataFrame, layout: Layout) -> DataFrame:
+    """Adds ``_span``, later rows never in an earlier span.
+
+    Spans by rows are value buckets of the time, cut by approximate quantiles of each key: the approximation decides
+    balance, never a result, since whatever the cuts are, scans carry over them.  Rows of one time stay together.
+    """
+    if not layout.by_rows:
+        return df.withColumn("_span", layout.span())
+    most = df.groupBy(*layout.key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    timed = df.withColumn("_us", F.coalesce(F.unix_micros(layout.time), F.lit(-(1 << 62))))
+    return bucketed(timed, list(layout.key), "_us", max(1, -(-most // layout.rows))).withColumnRenamed("_bucket", "_span").drop("_us")
+
+
 def _total(kind: str, value: Column, order: Column, reverse: bool) -> Column:
     if kind == "last":
         pick = F.min_by if reverse else F.max_by
@@ -87,7 +102,7 @@ def running(df: DataFrame, layout: Layout = BARS, *, order: tuple[str, ...] = ()
     bulk rows are shuffled once.
     """
     keys = [*layout.key, "_span"]
-    base = df.withColumn("_span", layout.span())
+    base = spanned(df, layout)
     names = [layout.time, *order]
     stamp = F.struct(*names) if order else F.col(layout.time)
     scans = {n: (s[0], s[1], *(({"reverse": reverse, "inclusive": inclusive} | (s[2] if len(s) > 2 else {})).values()))

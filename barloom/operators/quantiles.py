@@ -19,7 +19,9 @@ def bucketed(df: DataFrame, keys: list[str], value: str, buckets: int = _BUCKETS
     """Rows with a value and the ``_bucket`` of similar size that holds it."""
     rows = df.where(F.col(value).isNotNull())
     steps = [i / buckets for i in range(1, buckets)]
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, 1_000)).alias("_edges"))
+    if not steps:
+        return rows.withColumn("_bucket", F.lit(0))
+    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, steps, max(1_000, 8 * buckets))).alias("_edges"))
     edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: (i + 1) % _STEP == 0))
     joined = rows.join(edges, keys) if keys else attach_row(rows, edges)
 

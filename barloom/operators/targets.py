@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.columns import attach_row, finite, shift
 from barloom.operators.ordered import BARS, Layout, index_rows, lagged
@@ -24,10 +24,9 @@ def exact_target(df: DataFrame, horizon_seconds: int, out: str, price: str = "cl
 
 def require_unique(df: DataFrame, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
     """Fail the job when a key occurs twice."""
-    n = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    bad = n.where("_n > 1").agg(F.count(F.lit(1)).alias("_dups"))
-    checked = bad.select(F.assert_true(F.col("_dups") == 0, F.concat(F.lit("duplicate keys: "), F.col("_dups"))).alias("_ok"))
-    return attach_row(df, checked).where(F.col("_ok").isNull()).drop("_ok")
+    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    message = F.concat_ws(" ", F.lit("duplicate keys:"), *[F.col(k).cast("string") for k in key])
+    return counted.where(F.assert_true(F.col("_n") == 1, message).isNull()).drop("_n")
 
 
 def forward_return(df: DataFrame, rows: int, out: str, price: str = "close", layout: Layout = BARS) -> DataFrame:
@@ -106,10 +105,10 @@ def class_distribution(df: DataFrame, target: str, weight: str) -> DataFrame:
         "share": F.col("rows") / F.col("_n"), "weight_share": F.col("weight") / F.col("_w")}).drop("_n", "_w")
 
 
-def global_index(df: DataFrame, time: str = "ts", tie: tuple[str, ...] = ("symbol",), span_seconds: int = 86_400,
+def global_index(df: DataFrame, time: str = "ts", tie: tuple[str, ...] = ("symbol",), rows: int = 65_536,
                  out: str = "row_idx") -> DataFrame:
-    """Position of every row in overall time order, without one task seeing all rows."""
-    lay = Layout(key=(), time=time, base_seconds=span_seconds, rows=1)
+    """Position of every row in overall time order; a task sees about ``rows`` of them, whatever the time they cover."""
+    lay = Layout(key=(), time=time, rows=rows, by_rows=True)
     if not tie:
         return index_rows(df, lay, out)
     return index_rows(df, lay, out, order=tie)

@@ -32,7 +32,7 @@ def indexed_preds(t):
           LEFT JOIN hourly b ON a.symbol = b.symbol AND b.ts = a.ts + INTERVAL 1 HOUR
           LEFT JOIN hourly c ON a.symbol = c.symbol AND c.ts = a.ts + INTERVAL 5 HOUR""")
 def exact_targets(t):
-    return tg.proxy_targets(tg.require_unique(t.hourly), [1, 5], HOUR, HOURLY)
+    return tg.proxy_targets(settle(tg.require_unique(t.hourly)), [1, 5], HOUR, HOURLY)
 
 
 @query("forward_returns", "TGT02", "symbol:s ts:t r3",

@@ -1,5 +1,7 @@
 """Queries: bars, resampling, alignment, candle features."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.operators import candles, resample, targets
@@ -109,7 +111,7 @@ def asof_backward(t):
 def ticks_asof_quotes(t):
     ev = resample.complete_bars(t.hourly, "4h", HOUR).select("symbol", F.col("close_ts").alias("ts"),
                                                            F.col("close").alias("bar_close"))
-    return asof(t.ticks.select("symbol", "ts", "event_id", "price"), ev, HOURLY)
+    return asof(t.ticks.select("symbol", "ts", "event_id", "price"), ev, replace(HOURLY, rows=4_096, by_rows=True))
 
 
 @query("latest_complete_bar", "RSP06", BAR + " close_ts:t",

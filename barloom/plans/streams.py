@@ -10,19 +10,24 @@ from barloom.plans.profile import RP
 from barloom.streaming import jobs
 
 
+BATCHES = 4
+
+
 def stream_events(t):
-    """The event file as a file stream."""
-    schema = t.spark.read.parquet(f"{t.path}/events.parquet").schema
-    e = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
-    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"),
-                    F.get_json_object("props", "$.k").cast("double").alias("size"))
+    """The events as a stream of several batches."""
+    return stream_table(t, t.ticks, "events")
 
 
 def stream_table(t, df, label):
-    """A derived table written once and read back as a file stream."""
-    path = shared_path(t.spark, label)
-    df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    """A table as a file stream of ``BATCHES`` or more micro-batches in time order, each symbol's rows in order too."""
+    path, rows = shared_path(t.spark, label), settle(df)
+    us = F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(us, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = rows.where((F.lit(low is None) | (us > F.lit(low))) & (F.lit(high is None) | (us <= F.lit(high))))
+        part.repartition(BATCHES, "symbol").write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", BATCHES).parquet(path)
 
 
 def _run(t, stream):
@@ -35,15 +40,15 @@ def stream_tick_bars(t):
     return _run(t, jobs.tick_bars(stream_events(t), "1 hour", "2 hours"))
 
 
-@query("stream_pairing", "STR02 STR03", "ts:t open close volume receive_delay_ms:i event_skew_ms:i receive_skew_ms:i",
-       """SELECT ts, open, close, volume, greatest(CAST(floor(open) AS BIGINT), CAST(floor(um_open) AS BIGINT) + 5) AS receive_delay_ms, abs(CAST(floor(open) AS BIGINT) - CAST(floor(um_open) AS BIGINT)) * 0 AS event_skew_ms,
-          abs(CAST(floor(open) AS BIGINT) - CAST(floor(um_open) AS BIGINT) - 5) AS receive_skew_ms FROM hybrid""")
+@query("stream_pairing", "STR02 STR03", "symbol:s ts:t open close volume receive_delay_ms:i event_skew_ms:i receive_skew_ms:i",
+       """SELECT symbol, ts, open, close, volume, greatest(o, c + 12) - 7 AS receive_delay_ms, 7 AS event_skew_ms, abs(o - c - 12) AS receive_skew_ms
+          FROM (SELECT *, CAST(floor(open) AS BIGINT) AS o, CAST(floor(close) AS BIGINT) AS c FROM hourly)""")
 def stream_pairing(t):
-    def side(symbol, lag):
-        d = t.hourly.where(F.col("symbol") == symbol).withColumn("symbol", F.lit("pair"))
-        ev = F.col("ts") + F.expr("INTERVAL 1 HOUR")
-        return d.withColumns({"event_at": ev, "received_at": F.timestamp_millis(F.unix_millis(ev) + F.floor("open") + lag)})
-    return _run(t, jobs.pair_sources(stream_table(t, side("view", 0), "price"), stream_table(t, side("purchase", 5), "volume"), "40 days"))
+    def side(late_ms, wait):
+        ev = F.timestamp_millis(F.unix_millis("ts") + HOUR * 1000 + late_ms)
+        return t.hourly.withColumns({"event_at": ev, "received_at": F.timestamp_millis(F.unix_millis(ev) + wait)})
+    price, volume = side(0, F.floor("open")), side(7, F.floor("close") + 5)
+    return _run(t, jobs.pair_sources(stream_table(t, price, "price"), stream_table(t, volume, "volume"), "40 days"))
 
 
 @query("stream_decision_rows", "STR09", "symbol:s ts:t bucket:t", "SELECT symbol, ts, time_bucket(INTERVAL 4 HOUR, ts) AS bucket FROM hourly WHERE hour(ts) % 4 = 3")

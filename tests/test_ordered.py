@@ -221,3 +221,20 @@ def test_shared_folder_must_be_named_on_a_cluster():
         ordered.shared_path(Session, "settled")
     Session.conf.values["spark.checkpoint.dir"] = "hdfs://shared/folder"
     assert ordered.shared_path(Session, "settled").startswith("hdfs://shared/folder/settled-")
+
+
+def test_a_burst_is_split_by_rows(spark):
+    """All rows within one hour: several spans hold them, and the as-of join and the index stay exact."""
+    rng = np.random.default_rng(9)
+    ticks = pd.DataFrame({"symbol": "a", "ts": pd.Timestamp("2026-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 3_600_000, 900)), unit="ms"), "n": range(900)})
+    quotes = pd.DataFrame({"symbol": "a", "ts": pd.Timestamp("2026-01-01") + pd.to_timedelta(np.sort(rng.choice(3_600_000, 40, replace=False)), unit="ms"), "q": np.arange(40.0)})
+    burst = Layout(rows=100, by_rows=True)
+    left, right = spark.createDataFrame(ticks.sample(frac=1, random_state=2)), spark.createDataFrame(quotes)
+    sizes = [r["count"] for r in ordered.spanned(left, burst).groupBy("_span").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 250
+    got = asof(left, right, burst).toPandas().sort_values("n")
+    want = pd.merge_asof(ticks, quotes, on="ts", by="symbol")
+    assert np.allclose(got["q"].to_numpy(float), want["q"].to_numpy(), equal_nan=True)
+    from barloom.operators.targets import global_index
+    index = global_index(left, tie=("n",), rows=100).orderBy("ts", "n").toPandas()["row_idx"]
+    assert index.tolist() == list(range(900))
