@@ -136,9 +136,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     NULL and empty texts are scored by their statistics alone; repeated rows and NULL ids stay, an empty table gives none, and
     other columns are left out.  A row's score depends on its text only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)           # (2**14 + 9) x (1 + rank) numbers
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weight, machine.factor))   # (2**14 + 9) x (1 + rank) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Machine(*shared.value)
         for batch in batches:
             buckets, stats = batch.column("buckets"), batch.column("stats")
             ends = np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(0, int)
@@ -146,7 +147,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             while begin < len(batch):
                 done = ends[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_WORDS, side="right")))
-                out.append(shared.value.score(_matrix(buckets.slice(begin, end - begin), stats.slice(begin, end - begin))))
+                out.append(known.score(_matrix(buckets.slice(begin, end - begin), stats.slice(begin, end - begin))))
                 begin = end
             found = np.concatenate([np.zeros(0), *out])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found),
