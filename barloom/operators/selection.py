@@ -88,7 +88,7 @@ def correlation_pairs(df: DataFrame, features: list[str], spearman: bool = False
     if sparse:
         present = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in sparse])
         long = _paired_ranks(df, sparse, list(ids)) if spearman else df.select(F.inline(present)).where("x IS NOT NULL AND y IS NOT NULL")
-        for r in long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("c")).collect():  # feature pairs
+        for r in long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("c")).collect():  # feature pairs
             a, _, b = r["pair"].partition("|")
             corr[a, b] = r["c"] if r["n"] >= least_rows else None
     known = {k: v for k, v in corr.items() if v is not None and v == v}

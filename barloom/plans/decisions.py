@@ -295,7 +295,18 @@ def record_reconciliation(t):
     return rc.reconcile(base, closed, opened)
 
 
-@query("redeem_candidates", "LIV10", "position_id:i reason:s action:s")
+@query("redeem_candidates", "LIV10", "position_id:i reason:s action:s", """WITH pos AS (SELECT event_id AS position_id, event_id % 400 AS c, event_id % 41 = 0 AS unnamed, event_id % 800 AS asset,
+      event_id % 7 <> 0 AS redeemable, event_id % 31 = 0 AS negative FROM ticks WHERE event_id % 5 <> 0),
+    rec AS (SELECT event_id % 400 AS c, event_id % 800 AS asset, event_id % 3 <> 0 AS resolved, event_id % 4 = 0 AS won, event_id % 11 = 0 AS submitted FROM ticks WHERE event_id % 2 = 0),
+    cond AS (SELECT c, bool_or(resolved) AS resolved, bool_or(won) AS won FROM rec GROUP BY 1), hit AS (SELECT c, asset, bool_or(submitted) AS submitted FROM rec WHERE won GROUP BY 1, 2),
+    coded AS (SELECT p.*, CASE WHEN unnamed THEN 'missing_condition_id' WHEN negative THEN 'negative_risk_unsupported' WHEN cond.c IS NULL THEN 'untracked_condition' WHEN NOT cond.resolved THEN 'unresolved_local_state'
+        WHEN NOT cond.won THEN 'local_outcome_not_winning' WHEN hit.c IS NULL THEN 'position_asset_not_winning_record' WHEN hit.submitted THEN 'already_redeem_submitted'
+        WHEN NOT redeemable THEN 'not_redeemable' ELSE 'eligible' END AS why FROM pos p LEFT JOIN cond ON cond.c = p.c AND NOT unnamed LEFT JOIN hit ON hit.c = p.c AND hit.asset = p.asset AND NOT unnamed),
+    ends AS (SELECT CASE WHEN unnamed THEN -1 ELSE c END AS g, min(position_id) AS first_id, arg_min(why = 'eligible', position_id) AS accepted FROM coded
+        WHERE why IN ('eligible', 'negative_risk_unsupported', 'local_outcome_not_winning', 'already_redeem_submitted') GROUP BY 1),
+    final AS (SELECT position_id, CASE WHEN why <> 'missing_condition_id' AND position_id > first_id THEN CASE WHEN accepted THEN 'duplicate_condition_id' ELSE 'condition_already_blocked' END ELSE why END AS reason
+        FROM coded LEFT JOIN ends ON g = CASE WHEN unnamed THEN -1 ELSE c END)
+    SELECT position_id, reason, CASE WHEN reason = 'eligible' THEN 'candidate' ELSE 'skip' END AS action FROM final""")
 def redeem_candidates(t):
     e = t.ticks
     k = F.col("event_id")

@@ -237,7 +237,15 @@ def kendall_tau(t):
     return ow.kendall_tau(_bins(t), ["feature"], "center", "target_rate")
 
 
-@query("local_regression", "OWA12", "feature:s center fit lower upper")
+@query("local_regression", "OWA12", "feature:s center fit lower upper", """SELECT feature, x0 AS center, fit, fit - half AS lower, fit + half AS upper FROM (
+    SELECT *, 1.96*sqrt(greatest(syy/s - 2*(fit*sy + b1*sxy)/s + fit*fit + 2*fit*b1*sx/s + b1*b1*sxx/s, 0)*suu)/s AS half FROM (
+      SELECT *, CASE WHEN line THEN (sxx*sy - sx*sxy)/(s*sxx - sx*sx) ELSE sy/s END AS fit, CASE WHEN line THEN (s*sxy - sx*sy)/(s*sxx - sx*sx) ELSE 0 END AS b1 FROM (
+        SELECT feature, x0, sum(u) AS s, sum(u*dx) AS sx, sum(u*y) AS sy, sum(u*dx*dx) AS sxx, sum(u*dx*y) AS sxy, sum(u*y*y) AS syy, sum(u*u) AS suu,
+          abs(sum(u)*sum(u*dx*dx) - sum(u*dx)*sum(u*dx)) > 1e-12 AS line FROM (
+          SELECT a.feature, a.center AS x0, b.center - a.center AS dx, b.target_rate AS y, b.weight*pow(greatest(1 - pow(abs(b.center - a.center)/h, 3), 0), 3) AS u FROM (
+            SELECT feature, center, greatest(list_sort(list(d))[greatest(ceil(count(*)*0.6), 2)::INT], 1e-12) AS h FROM (
+              SELECT p.feature, p.center, abs(q.center - p.center) AS d FROM obins p JOIN obins q ON p.feature = q.feature) GROUP BY 1, 2) a JOIN obins b ON a.feature = b.feature)
+        WHERE u > 0 GROUP BY 1, 2)))""")
 def local_regression(t):
     return ow.local_regression(_bins(t), ["feature"], "center", "target_rate", "weight")
 
@@ -412,7 +420,7 @@ def audit_window(t):
     return audit.audit_window(preds(t).where("decision"), 2 * 86_400, ["symbol"]).withColumnsRenamed({"start": "start_ts", "end": "end_ts"})
 
 
-@query("anchor_values", "AUD16", "symbol:s ts:t boll kelt")
+@query("anchor_values", "AUD16", "symbol:s ts:t boll kelt", "SELECT symbol, ts, boll, kelt FROM channels WHERE i >= 100 AND i % 100 = 0")
 def anchor_values(t):
     n = t.hourly.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     at = n.select("symbol", F.explode(F.sequence(F.lit(100).cast("bigint"), F.col("n") - 1, F.lit(100).cast("bigint"))).alias("position"))

@@ -115,7 +115,23 @@ def nested_exponential_averages(t):
                                         "fba8": ("FBA", "close", 8), "ehma9": ("EHMA", "close", 9)}, HOURLY)
 
 
-@query("adaptive_averages", "MAV17", "symbol:s ts:t kama10 vidya9")
+def _moves_sql(n: int) -> str:
+    over = f"OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"sum(greatest(d, 0)) {over} AS up{n}, sum(greatest(-d, 0)) {over} AS down{n}"
+
+
+_ADAPTIVE = f"""WITH RECURSIVE steps AS (SELECT symbol, ts, i, close, CASE WHEN up10 + down10 <= abs(close - far) OR up10 + down10 < 1e-14 THEN 1 ELSE abs(close - far)/(up10 + down10) END AS er,
+        CASE WHEN up9 + down9 < 1e-14 THEN 0 ELSE abs(up9 - down9)/(up9 + down9) END * 0.2::DOUBLE AS va FROM (
+          SELECT *, {_moves_sql(10)}, {_moves_sql(9)}, lag(close, 10) OVER (PARTITION BY symbol ORDER BY i) AS far FROM (
+            SELECT symbol, ts, i, close, close - lag(close) OVER (PARTITION BY symbol ORDER BY i) AS d FROM rets))),
+      paced AS (SELECT *, pow(er*(2/3.0::DOUBLE - 2/31.0::DOUBLE) + 2/31.0::DOUBLE, 2) AS ka FROM steps),
+      walk AS (SELECT symbol, ts, i, 0::DOUBLE AS k, 0::DOUBLE AS v FROM paced WHERE i = 0 UNION ALL
+        SELECT p.symbol, p.ts, p.i, CASE WHEN p.i < 9 THEN 0 WHEN p.i = 9 THEN p.close ELSE (1 - ka)*k + ka*p.close END,
+          CASE WHEN p.i < 8 THEN 0 WHEN p.i = 8 THEN p.close ELSE (1 - va)*v + va*p.close END FROM walk w JOIN paced p ON p.symbol = w.symbol AND p.i = w.i + 1)
+      SELECT symbol, ts, CASE WHEN i >= 10 THEN k END AS kama10, CASE WHEN i >= 9 THEN v END AS vidya9 FROM walk"""
+
+
+@query("adaptive_averages", "MAV17", "symbol:s ts:t kama10 vidya9", _ADAPTIVE)
 def adaptive_averages(t):
     return ma.apply_averages(t.hourly, {"kama10": ("KAMA", "close", 10), "vidya9": ("VIDYA", "close", 9)}, HOURLY)
 
@@ -165,11 +181,13 @@ _CHANNELS = [
 ]
 
 
-@query("channel_scores", "IND04 IND05 IND09", "symbol:s ts:t boll kelt",
-       f"""SELECT symbol, ts, CASE WHEN sd = 0 THEN CASE WHEN sma10 = close THEN 0 END ELSE (sma10-close)/sd END AS boll,
+CTES["channels"] = f"""SELECT symbol, ts, i, CASE WHEN sd = 0 THEN CASE WHEN sma10 = close THEN 0 END ELSE (sma10-close)/sd END AS boll,
          CASE WHEN atr = 0 THEN CASE WHEN sma10 = close THEN 0 END ELSE (sma10-close)/atr END AS kelt
        FROM (SELECT *, sqrt({fir('sq', 7, wma(7), 9)}) AS sd FROM (SELECT *, pow(hlc3 - sma10, 2) AS sq FROM (
-         SELECT *, {win('avg(close)', 10)} AS sma10, {win('avg(tr)', 12, 1)} AS atr FROM ranged)))""")
+         SELECT *, {win('avg(close)', 10)} AS sma10, {win('avg(tr)', 12, 1)} AS atr FROM ranged)))"""
+
+
+@query("channel_scores", "IND04 IND05 IND09", "symbol:s ts:t boll kelt", "SELECT symbol, ts, boll, kelt FROM channels")
 def channel_scores(t):
     return ind.add_indicators(t.hourly, _CHANNELS, HOURLY)
 
