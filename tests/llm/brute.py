@@ -91,7 +91,8 @@ def pii(texts, context=64, support=3, disclosure=0.9):
         found = []
         for s in base:
             for t, a, b in terms(text):
-                inside = a >= s[1] - context and b <= s[2] + context and (b <= s[1] or a >= s[2])
+                left, right = max(s[1] - context, 0), min(s[2] + context, len(text))
+                inside = left <= a and b <= right and (a > left or left == 0) and (b < right or right == len(text)) and (b <= s[1] or a >= s[2])
                 if inside and not any(a < x[2] and b > x[1] for x in base):
                     found.append((name(s), t, a, b))
         spans.append(base)
