@@ -70,16 +70,23 @@ def reaction_snapshot_features(t):
     return pr.reaction_snapshot_features(t.hourly, RP, HOURLY)
 
 
-@query("reaction_profile_features", "PRF07 PRF08", "symbol:s horizon:s " + _RP7, "SELECT * FROM reaction_last")
+CTES["reaction_sides"] = """SELECT h.symbol, h.ts, h.horizon, coalesce(sum(CASE WHEN kind=0 AND d<0 THEN v END),0) AS sb, coalesce(sum(CASE WHEN kind=1 AND d>0 THEN v END),0) AS ra,
+      coalesce(sum(CASE WHEN kind=0 AND d>0 THEN v END),0) AS sa, coalesce(sum(CASE WHEN kind=1 AND d<0 THEN v END),0) AS rb,
+      coalesce(sum(CASE WHEN kind=0 AND d<0 THEN v*abs(d) END),0) AS sn, coalesce(sum(CASE WHEN kind=1 AND d>0 THEN v*abs(d) END),0) AS rn
+    FROM (SELECT symbol, ts, unnest(['short', 'medium', 'all']) AS horizon FROM hourly) h LEFT JOIN (
+      SELECT r.symbol, r.ts, g.horizon, m.kind, m.bin - floor(r.close) AS d, m.mass*pow(g.decay, r.s - m.s)/(1 + abs(m.bin - floor(r.close))) AS v
+      FROM reacted r JOIN reaction_mass m ON m.symbol = r.symbol AND m.s <= r.s AND abs(m.bin - floor(r.close)) <= 20 AND m.bin <> floor(r.close), horizons g
+      WHERE r.close BETWEEN 0 AND 100 AND floor(r.close) < 100) x ON h.symbol = x.symbol AND h.ts = x.ts AND h.horizon = x.horizon GROUP BY ALL"""
+CTES["horizons"] = "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {pr.decay_of(x)!r}::DOUBLE)" for h, x in HL.items()) + ") v(horizon, decay)"
+
+
+@query("reaction_profile_features", "PRF07 PRF08", "symbol:s ts:t horizon:s " + _RP7, """SELECT symbol, ts, horizon, sb AS support_below, ra AS resistance_above, sa AS support_above, rb AS resistance_below,
+    sb+rb-ra-sa AS imbalance, CASE WHEN sb > 0 THEN sn/sb END AS support_center_distance, CASE WHEN ra > 0 THEN rn/ra END AS resistance_center_distance FROM reaction_sides""")
 def reaction_profile_features(t):
-    """Per-row features, last row of each series compared with the snapshot form."""
+    """Features of every row, one row per horizon, from a single replay."""
     rows = pr.reaction_profile_features(t.hourly, RP, SMALL)
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in rows.columns if c.startswith("rp_")]), "ts").alias("r")).select("symbol", "r.*")
-    out = None
-    for h in RP.half_lives:
-        part = last.select("symbol", F.lit(h).alias("horizon"), *[F.col(f"rp_{h}_{c}").alias(c) for c in _RP7.split()])
-        out = part if out is None else out.unionByName(part)
-    return out
+    cells = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"rp_{h}_{c}").alias(c) for c in _RP7.split()]) for h in RP.half_lives])
+    return rows.select("symbol", "ts", F.inline(cells))
 
 
 @query("profile_consistency", "PRF10", "is_match:i max_abs_diff:d4", "SELECT 1 AS is_match, 0.0 AS max_abs_diff FROM (SELECT count(*) FROM events)")

@@ -66,7 +66,8 @@ def stream_closed_bars(t):
 
 
 @query("stream_reaction_profile", "STR06", "symbol:s ts:t support_below_short resistance_above_short support_below_all resistance_above_all",
-       None)
+       """SELECT symbol, ts, max(sb) FILTER (horizon = 'short') AS support_below_short, max(ra) FILTER (horizon = 'short') AS resistance_above_short,
+          max(sb) FILTER (horizon = 'all') AS support_below_all, max(ra) FILTER (horizon = 'all') AS resistance_above_all FROM reaction_sides GROUP BY 1, 2""")
 def stream_reaction_profile(t):
     return _run(t, jobs.reaction_state(stream_table(t, t.hourly, "bars"), RP))
 
