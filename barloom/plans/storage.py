@@ -4,19 +4,19 @@ from pyspark.sql import functions as F
 
 from barloom.operators import profiles as pr
 from barloom.operators.ordered import shared_path
-from barloom.plans.base import HOURLY, query
+from barloom.plans.base import CTES, HOURLY, query
 from barloom.plans.profile import RP
 from barloom.sources import store
 
 BAR = "symbol:s ts:t open:d high:d low:d close:d volume:d"
 
 
-@query("csv_scan", "SRC01", BAR, "SELECT 'view' AS symbol, ts, open, high, low, close, volume FROM hourly WHERE symbol = 'view'")
+@query("csv_scan", "SRC01", BAR, "SELECT * FROM hourly")
 def csv_scan(t):
     path = shared_path(t.spark, "csv")
-    d = t.hourly.where("symbol = 'view'")
-    d.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Opened"), *[F.col(c).alias(c.title()) for c in store.BAR_COLS]).write.option("header", True).csv(path)
-    return store.scan_bars_csv(t.spark, path).withColumn("symbol", F.lit("view"))
+    d = t.hourly.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Opened"), *[F.col(c).alias(c.title()) for c in store.BAR_COLS])
+    d.write.partitionBy("symbol").option("header", True).csv(path)
+    return store.scan_bars_csv(t.spark, f"{path}/*/").withColumn("symbol", F.regexp_extract("source_file", r"symbol=([^/]+)/", 1))
 
 
 @query("archive_scan", "SRC02", BAR, "SELECT symbol, ts, open, high, low, close, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN volume + 1 ELSE volume END AS volume FROM hourly")
@@ -29,12 +29,12 @@ def archive_scan(t):
     return store.scan_archives(t.spark, [f"{path}/a_monthly/*/", f"{path}/b_daily/*/"], r"symbol=([^/]+)/")
 
 
-@query("mixed_csv_scan", "SRC15", "ts:t ask_yes ask_no", """SELECT ts, open AS ask_yes, close AS ask_no FROM hourly WHERE symbol = 'view' UNION ALL SELECT ts, open, NULL FROM hourly WHERE symbol = 'click'""")
+@query("mixed_csv_scan", "SRC15", "ts:t ask_yes ask_no", "SELECT ts, open AS ask_yes, CASE WHEN symbol < 'f' THEN close END AS ask_no FROM hourly")
 def mixed_csv_scan(t):
     path, stamp = shared_path(t.spark, "mixed"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("bucket")
     h = t.hourly
-    sets = {"a": h.where("symbol = 'view'").select(stamp, F.col("open").alias("ask_yes"), F.col("close").alias("ask_no")),
-            "b": h.where("symbol = 'click'").select(F.col("open").alias("ask_yes"), stamp), "c": h.select(F.col("open").alias("ask_yes")), "d": h.select(stamp)}
+    sets = {"a": h.where("symbol < 'f'").select(stamp, F.col("open").alias("ask_yes"), F.col("close").alias("ask_no")),
+            "b": h.where("symbol >= 'f'").select(F.col("open").alias("ask_yes"), stamp), "c": h.select(F.col("open").alias("ask_yes")), "d": h.select(stamp)}
     files = []
     for n, d in sets.items():
         d.coalesce(1).write.option("header", True).csv(f"{path}/{n}")  # one small file per header shape
@@ -57,3 +57,31 @@ def profile_state(t):
     sig = store.save_state(snap, path, cfg)
     pr.validate_profile_features(["rp_short_imbalance"], [f"rp_{h}_imbalance" for h in RP.half_lives], sig, store.config_hash(cfg))
     return store.load_state(t.spark, path, cfg)
+
+
+CTES["fits"] = """SELECT CASE l_returnflag WHEN 'A' THEN 'MACD' WHEN 'N' THEN 'ADX' ELSE 'Chaikin' END AS indicator, (5 * (1 + l_linenumber % 3)) || 'm' AS horizon,
+    CASE l_linestatus WHEN 'O' THEN 'candle_up' ELSE 'ahead_ret' END AS target_mode, CAST(max(l_quantity) AS INT) AS fast, CAST(min(l_suppkey) AS INT) AS pop
+    FROM lineitem GROUP BY 1, 2, 3"""
+
+
+@query("fit_result_scan", "SRC16", "feature:s indicator:s horizon_minutes:i target_mode:s pop_size:i files:i",
+       """SELECT indicator || '_fit_' || horizon || CASE target_mode WHEN 'candle_up' THEN '_candle_up' ELSE '' END || '_pop' || pop || '_fasper' || fast AS feature,
+          indicator, CAST(replace(horizon, 'm', '') AS INT) AS horizon_minutes, target_mode, pop AS pop_size, 1 AS files FROM fits""")
+def fit_result_scan(t):
+    """Fit results of lineitem groups, one JSON file each, with another file beside them."""
+    path = shared_path(t.spark, "fits")
+    indicator = F.when(F.col("l_returnflag") == "A", "MACD").when(F.col("l_returnflag") == "N", "ADX").otherwise("Chaikin")
+    mode = F.when(F.col("l_linestatus") == "O", "candle_up").otherwise("ahead_ret")
+    fits = t.raw("lineitem").groupBy(indicator.alias("indicator"), (5 * (1 + F.col("l_linenumber") % 3)).alias("minutes"), mode.alias("mode")).agg(
+        F.max("l_quantity").cast("int").alias("fast"), F.min("l_suppkey").cast("int").alias("pop"))
+    name = F.concat("indicator", F.lit("_target_"), "minutes", F.lit("m_"), "mode", F.lit("_pop"), "pop", F.lit("_q.json"))
+    rows = fits.select(name.alias("name"), F.create_map(F.lit("fast_period"), F.col("fast").cast("string")).alias("params")).coalesce(1)
+    rows.unionByName(t.spark.createDataFrame([("notes.json", {"x": "1"})], "name string, params map<string,string>")).write.partitionBy("name").json(path)
+    jvm = t.spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    files = root.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(root):                           # a file for each fitted indicator
+        label = folder.getPath().getName().partition("=")[2]
+        for part in files.listStatus(folder.getPath()) if label else []:
+            files.rename(part.getPath(), jvm.Path(root, label))
+    return store.scan_fit_results(t.spark, path)
