@@ -40,7 +40,12 @@ def constant_features(t):
     return fs.constant_features(fs.value_counts(feats(t), FEATS), 0.9).withColumnRenamed("distinct", "distinct_values")
 
 
-@query("duplicate_features", "FSL05 FSL08", "step:s feature:s", "SELECT 'duplicate' AS step, 'close_copy' AS feature FROM (SELECT count(*) FROM feats) UNION ALL SELECT 'all_missing', 'gone'")
+_SAME = " UNION ALL ".join(f"SELECT '{b}' AS feature, bool_and({a}::DOUBLE IS NOT DISTINCT FROM {b}::DOUBLE) AS same FROM feats"
+                         for i, a in enumerate(FEATS) for b in FEATS[i + 1:])
+
+
+@query("duplicate_features", "FSL05 FSL08", "step:s feature:s", f"SELECT DISTINCT 'duplicate' AS step, feature FROM ({_SAME}) WHERE same UNION ALL "
+       + " UNION ALL ".join(f"SELECT 'all_missing', '{f}' FROM feats HAVING count({f}) = 0" for f in FEATS))
 def duplicate_features(t):
     d = settle(feats(t))
     return fs.prefilter_report({"duplicate": fs.duplicate_features(d, FEATS, ["symbol", "ts"]),
