@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.llm.common import SPACE, let, packed, unpacked, words
+from barloom.llm.common import SPACE, let, words
 
 WINDOW = 8                          # words of a repeated passage
 SAMPLE_ROWS = 256                   # rows that the order of the rules is estimated on; never the verdicts
@@ -52,14 +52,14 @@ def line_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "")).cast("long")
 
 
-#: A metric of the text; NULL texts are read as empty.
-METRICS: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.size(words(t)).cast("long"),
-    "word_chars": lambda t: F.length(F.array_join(words(t), "")).cast("long"),
-    "n_symbols": lambda t: F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-    "n_dup_lines": dup_lines,
-    "n_lines": line_count,
-    "n_repeat_words": lambda t: repeat_words(words(t)),
+#: A metric of a text and its words; NULL texts are read as empty.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda t, w: F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+    "n_dup_lines": lambda t, w: dup_lines(t),
+    "n_lines": lambda t, w: line_count(t),
+    "n_repeat_words": lambda t, w: repeat_words(w),
 }
 
 
@@ -83,8 +83,12 @@ RULES = (
 )
 
 
-def _on_text(rule: Rule, text: Column) -> Column:
-    return rule.fails(*[METRICS[m](text) for m in rule.needs])
+def _on_text(rule: Rule, text: Column, tokens: Column) -> Column:
+    return rule.fails(*[METRICS[m](text, tokens) for m in rule.needs])
+
+
+def _alone(rule: Rule, text: Column) -> Column:
+    return let(words(text), lambda w: _on_text(rule, text, w))
 
 
 @dataclass(frozen=True)
@@ -113,17 +117,17 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     reading = timed(F.length("text") < 0)[1]
     found = []
     for rule in rules:
-        share, seconds = timed(_on_text(rule, F.col("text")))
+        share, seconds = timed(_alone(rule, F.col("text")))
         found.append(Estimate(rule, share, max(seconds - reading, 1e-4)))
     return sorted(found, key=lambda e: (-e.rejects / e.seconds, e.seconds))
 
 
 def cascade(order: list[Rule], fails: Callable[[Rule], Column]) -> Column:
     """True when no rule fails; later rules are evaluated only for what earlier ones pass."""
-    verdict = F
-    for rule in order:
-        verdict = verdict.when(fails(rule), F.lit(False))
-    return verdict.otherwise(F.lit(True))
+    verdict = F.lit(True)
+    for rule in reversed(order):
+        verdict = F.when(fails(rule), F.lit(False)).otherwise(verdict)
+    return verdict
 
 
 def measure(docs: DataFrame, order: list[Rule]) -> DataFrame:
@@ -133,16 +137,17 @@ def measure(docs: DataFrame, order: list[Rule]) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), words(text).alias("w"))
-    named = {"n_words": F.size("w").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"),
-             "n_repeat_words": repeat_words(F.col("w"))}
-    rows = rows.select("doc_id", *[named.get(m, f(F.col("text"))).alias(m) for m, f in METRICS.items()])
+    rows = rows.select("doc_id", *[f(F.col("text"), F.col("w")).alias(m) for m, f in METRICS.items()])
     base_failed = ~cascade([r for r in order if r in BASE], lambda r: r.fails(*[F.col(m) for m in r.needs]))
     kept = cascade(order, lambda r: r.fails(*[F.col(m) for m in r.needs]))
     return rows.select("doc_id", *METRICS, base_failed.alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The input rows that no rule rejects, with their columns; NULL and short texts go."""
+    """The input rows that no rule rejects, with their columns; NULL and short texts go.
+
+    Words are split once for all rules; a metric is computed only when the cascade reaches a rule that needs it.
+    """
     order = [e.rule for e in estimate(docs, rules)]
     text = F.coalesce("text", F.lit(""))
-    return docs.filter(cascade(order, lambda r: _on_text(r, text)))
+    return docs.filter(let(words(text), lambda w: cascade(order, lambda r: _on_text(r, text, w))))
