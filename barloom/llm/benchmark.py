@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,22 +51,36 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts ``data[bounds[i]:bounds[i + 1]]``, and the number of words of each text."""
+def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word; a word also ends where a text begins (``breaks``)."""
     low = _LOWER[data]
     inside = _IN_WORD[low]
-    before = np.concatenate(([False], inside[:-1])) if len(inside) else inside.copy()
-    edges = bounds[:-1][bounds[:-1] < len(low)]
-    before[edges] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.concatenate((inside[1:], [False])) if len(inside) else inside.copy()
-    last = bounds[1:][bounds[1:] > 0] - 1
-    after[last] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    weighted = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(low)), dtype=np.uint64)))
-    sums = (weighted[ends] - weighted[starts]) * _powers(_BACK, len(low) + 1)[starts]
-    counts = np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
-    return _mix(sums), counts
+    before, after = np.roll(inside, 1), np.roll(inside, -1)
+    before[:1] = after[-1:] = False
+    before[breaks] = after[breaks - 1] = False
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    weighted = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, len(low)), dtype=np.uint64, out=weighted[1:])
+    return _mix((weighted[ends] - weighted[starts]) * _powers(_BACK, len(low) + 1)[starts]), starts, ends
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, piece: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of the texts ``data[bounds[i]:bounds[i + 1]]``, and the words of each text.
+
+    Data are hashed in pieces of about ``piece`` bytes cut between words, so a very long text costs memory by
+    its words alone.
+    """
+    out, begin, piece = [], 0, piece or SLICE_BYTES
+    while begin < len(data):
+        end = min(begin + piece, len(data))
+        while end < len(data) and _IN_WORD[_LOWER[data[end]]]:
+            end += 1
+        hashes, starts, ends = _hash_piece(data[begin:end], bounds[(bounds > begin) & (bounds < end)] - begin)
+        out.append((hashes, starts + begin, ends + begin))
+        begin = end
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(none, *out))
+    return hashes, starts, ends, np.searchsorted(starts, bounds[1:]) - np.searchsorted(starts, bounds[:-1])
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -89,7 +102,7 @@ class Block:
     def add(self, item: str, words: list[bytes]) -> None:
         self.words += len(words) * (min(WINDOW, len(words)))
         data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-        hashes, _ = word_hashes(data, np.array([0, len(data)]))
+        hashes = word_hashes(data, np.array([0, len(data)]))[0]
         size = min(WINDOW, len(words))
         for h, window in zip(window_hashes(hashes, size).tolist() if size else (), windows_of(words)):
             self.items[size][h].setdefault(window, set()).add(item)
@@ -117,11 +130,10 @@ def blocks_of(bench: DataFrame, block_words: int) -> Iterator[list]:
     yield block.frozen()
 
 
-def _scan(data: np.ndarray, bounds: np.ndarray, block: list) -> list[tuple[int, int, int, set[str]]]:
-    """Verified hits of a slice as (text, first word, words, items)."""
-    words, counts = word_hashes(data, bounds)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    found, own = [], {}
+def _scan(data: np.ndarray, bounds: np.ndarray, block: list) -> tuple[list[tuple[int, int, int, set[str]]], np.ndarray]:
+    """Verified hits of a slice as (text, first word, words, items), and the number of words of each text."""
+    words, starts, ends, counts = word_hashes(data, bounds)
+    first, found = np.concatenate(([0], np.cumsum(counts))), []
     for size, keys, bits, by_hash in block:
         hashes = window_hashes(words, size)
         at = np.flatnonzero(bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)])
@@ -130,12 +142,10 @@ def _scan(data: np.ndarray, bounds: np.ndarray, block: list) -> list[tuple[int,
         text = np.searchsorted(first, at, side="right") - 1
         fits = at + size <= first[text + 1]
         for i, t in zip(at[fits].tolist(), text[fits].tolist()):
-            if t not in own:
-                own[t] = WORD.findall(data[bounds[t]:bounds[t + 1]].tobytes().lower())
-            j = i - int(first[t])
-            items = by_hash[int(hashes[i])].get(tuple(own[t][j:j + size]))
+            window = tuple(data[starts[k]:ends[k]].tobytes().lower() for k in range(i, i + size))
+            items = by_hash[int(hashes[i])].get(window)
             if items:
-                found.append((t, j, size, items))
+                found.append((t, i - int(first[t]), size, items))
     return found, counts
 
 

@@ -116,6 +116,16 @@ def test_decontamination_slices(monkeypatch, spark, docs):
     assert outs[0] == outs[1] == outs[2] and outs[0][1]
 
 
+def test_long_text_in_pieces():
+    text = ("Ünder ALPHA beta-gamma 42 " * 50 + "\n\n").encode()
+    data, bounds = np.frombuffer(text + text, np.uint8), np.array([0, 0, len(text), 2 * len(text) - 7, 2 * len(text)])
+    whole = benchmark.word_hashes(data, bounds)
+    words = [text.lower()[a:b] for a, b in zip(whole[1], whole[2]) if b <= len(text)]
+    assert words == benchmark.tokens(text.decode()) and len({h for h in whole[0].tolist()}) == 7      # "gamma" of the last text is cut in two
+    for piece in (1, 7, 100):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, benchmark.word_hashes(data, bounds, piece)))
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_mixing(which, request):
     df = request.getfixturevalue(which)
