@@ -14,6 +14,7 @@ from barloom.llm.common import words
 BUCKETS = 1 << 14                   # hashed words
 RANK = 8                            # of the interactions
 TRAIN_ROWS = 8192                   # labelled rows that the model is fitted on at most
+TRAIN_WORDS = 20_000                # words of such a row at most; scoring has no such bound
 SLICE_WORDS = 1 << 20               # words that are scored at a time
 STATS = ("log_words", "word_length", "symbols", "capitals", "digits", "marks", "lines", "repeats", "log_chars")
 
@@ -111,13 +112,14 @@ def fit_machine(x: Rows, y: np.ndarray, epochs: int = 60, rate: float = 0.1, dec
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, label: str = "quality") -> Machine:
     """The model of at most ``train_rows`` labelled rows that are not held out, those with the smallest id hashes.
 
+    Of these, rows of more than ``TRAIN_WORDS`` words are left out, so the sample that the driver fits is bounded in bytes too.
     Ids with several labels take the greatest, NULL ids and labels are passed over.  Without rows of both labels the model is
     the constant 0.5 plus untrained, near-zero terms.
     """
     chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")                   # ``train_rows`` rows at most
-    sample = features(rows).join(F.broadcast(chosen), "doc_id").select("doc_id", "buckets", "stats", "y").toArrow()
+    sample = features(rows).filter(F.size("buckets") <= TRAIN_WORDS).join(F.broadcast(chosen), "doc_id").select("doc_id", "buckets", "stats", "y").toArrow()
     sample = sample.sort_by([("doc_id", "ascending")])
     y = sample["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
