@@ -49,11 +49,11 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every input row as ``row`` with ``source``, ``size``, ``source_size``, ``target`` and ``copies``.
 
-    Within a source rows are ordered by size, then by a hash of the id; every row expects the same number of
-    copies, ``target / source_size``, and the row gets one copy for each integer that the prefix sum of expected copies, moved by
-    the source's offset, crosses in it.  As neighbours have like sizes, the words taken miss the target by about one
-    long document at most.  Prefix sums have two levels: counts of (source, size, part), and the order inside a
-    part; a size that many rows share is split into parts by the id's hash, so no task orders a whole source.
+    Within a source rows are ordered by size, then by a hash of the id.  Every row expects ``target / source_size``
+    copies and gets one for each integer that the prefix sum of expected copies, moved by the source's
+    offset, crosses in it.  As neighbours have like sizes, the words taken miss the target by about one long
+    document at most.  Prefix sums have two levels: counts of (source, size, part), and the order inside a part;
+    a size that many rows share is split into parts by the id's hash, so no task orders a whole source.
 
     NULL and blank texts have size 0 and take no words; NULL is a source, the last; NULL ids come first in their
     size; repeated rows count each; an empty table gives none; other columns pass in ``row``.
@@ -83,7 +83,8 @@ def _part(rows: Column, draw: Column, chunk_rows: int) -> Column:
 def _copies(rows: DataFrame, thin: DataFrame, seed: int, chunk_rows: int) -> DataFrame:
     named = lambda df: df.withColumn("known", F.col("source").isNotNull()).withColumn("name", F.coalesce("source", F.lit("")))
     key = ["known", "name", "size"]
-    classes = named(thin).groupBy(*key).agg(F.count("*").alias("class_rows"))
+    # Written tables, so that joins of rows with them are of plain exchanges and a hot size class can be split.
+    classes = settle(named(thin).groupBy(*key).agg(F.count("*").alias("class_rows")))
     totals = classes.groupBy("known", "name").agg(F.sum(F.col("size") * F.col("class_rows")).alias("source_size"))
     source = F.when(F.col("known"), F.col("name"))
     targets = named(water_fill(totals.select(source.alias("source"), "source_size"))).drop("source")
@@ -92,7 +93,7 @@ def _copies(rows: DataFrame, thin: DataFrame, seed: int, chunk_rows: int) -> Dat
              .groupBy(*key, "part").agg(F.count("*").alias("n")))
     whole = classes.filter(F.col("class_rows") <= chunk_rows).select(*key, F.lit(0).alias("part"), F.col("class_rows").alias("n"))
     ahead = Window.partitionBy("known", "name").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = whole.unionByName(parts).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    starts = settle(whole.unionByName(parts).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n"))
     placed = named(rows).join(classes, key).withColumn("part", _part(F.col("class_rows"), F.col("draw"), chunk_rows))
     placed = placed.join(starts, [*key, "part"])
     inside = Window.partitionBy(*key, "part").orderBy("draw", F.col("id").asc_nulls_first())
