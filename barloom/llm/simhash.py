@@ -182,10 +182,13 @@ def classes(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
     prints = settle(fingerprints(docs))
     named = components(links(prints, radius, tile_rows))
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    rooted = ids.join(named, ids["fp"] == named["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_print = rooted.join(least, "root").select("fp", "component_id", "root")
-    return prints.join(per_print, "fp").select("doc_id", "key", "fp", "component_id", "root")
+    members = named.select(F.col("node").alias("fp"), "root").unionByName(named.select(F.col("root").alias("fp"), "root").distinct())
+    # Written tables, so that the joins below are of plain exchanges and a hot class can be split.
+    linked = settle(members.join(ids, "fp"))
+    least = settle(linked.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    known = settle(linked.join(least, "root").select("fp", "component_id", "root"))
+    per_print = ids.join(known, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(settle(per_print), "fp").select("doc_id", "key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
