@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.llm.common import LOWER, UPPER, packed, tasks
 
 ABOVE = bytearray(b"\xff")          # sorts after every UTF-8 byte
-RULES = "rule string, host string, path string, verdict string"
 
 
 def host_of(url: Column) -> Column:
@@ -21,10 +20,11 @@ def path_of(url: Column) -> Column:
 
 
 def parse_rules(spark, rules: list[tuple[str, str]]) -> DataFrame:
-    """Rules from ``(verdict, "host/path")`` pairs; the last of equal rules counts."""
+    """Rules from ``(verdict, "host/path")`` pairs; the last of equal rules counts.  Long lists are better given as a table."""
     latest = {text: verdict for verdict, text in rules}
-    rows = [(t, t.partition("/")[0].lower(), f"/{t.partition('/')[2]}", v) for t, v in latest.items()]
-    return spark.createDataFrame(rows, RULES)
+    rows = [F.struct(F.lit(t).alias("rule"), F.lit(t.partition("/")[0].lower()).alias("host"), F.lit(f"/{t.partition('/')[2]}").alias("path"),
+                     F.lit(v).alias("verdict")) for t, v in latest.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _key(labels: Column, path: Column) -> Column:
