@@ -17,13 +17,18 @@ LONGEST = 256                       # characters of a value that are segmented e
 _SECRET = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _PATTERNS = {"assign": re.compile(_SECRET, re.ASCII), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
 _LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Contexts that the patterns above do not cover.
+#: An identifier with a sign or "is" after it, or "bearer", before a value; identifiers are taken whole, so a text is read once.
 _CONTEXT = re.compile(
-    r"""(?i:\b(?:(?:pass|pwd|passphrase|pin|credentials?|auth(?:orization)?|client[_-]?id|access[_-]?key|private[_-]?key|login|session[_-]?id)"""
-    r"""["']?\x20*(?:[:=]|\bis\b)|bearer)\x20*["']?)([^\s"'<>,;]{6,})""", re.ASCII)
+    r"""(?<![A-Za-z0-9_.-])(?:((?:(?i:api|access|auth|client|pass|private|secret|session)\x20(?=(?i:code|id|key|phrase|word)\b))?[A-Za-z0-9_.-]++)"""
+    r"""["']?[\x20\t]*(?:[:=]++>?|(?i:is)\b[\x20\t]*[:=]*+)|(?i:bearer)\b)[\x20\t]*["']?(?=[^\s"'<>,;])""", re.ASCII)
+_GIVEN = re.compile(r"""[^\s"'<>,;]+""", re.ASCII)
+#: What the identifier of a credential contains, whatever stands before and after it; short words stand alone in it.
+_WORD = re.compile(
+    r"(?i:passw|pass[ _.-]?(?:phrase|code|word)|pwd|secret(?!ar)|token(?!i[sz])|credential|api[ _.-]?key|client[ _.-]?id|session[ _.-]?id|(?:access|auth|private)[ _.-]?key|authorization)"
+    r"|(?:(?<![A-Za-z])(?i:pass|pin|auth|login|bearer|creds?)|(?<=[a-z])(?:Pass|Pin|Auth|Login|Creds?))(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))", re.ASCII)
 #: What a text with any match contains; NULL and other texts are not sent to Python.
-MAY = (r"(?i:passw|secret|token|api_?key|pass|pwd|\bpin\b|credential|auth|bearer|client[_-]?id|access[_-]?key|private[_-]?key|login|session[_-]?id)"
-       r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+MAY = (r"(?i:pass|pwd|secret|token|credential|\bcreds?|_creds?|auth|bearer|login|api[ _.-]?key|client[ _.-]?id|session[ _.-]?id|(?:access|private)[ _.-]?key)"
+       r"|(?<![A-Za-z])(?i:pin)(?![a-z])|[a-z](?:Pin|Cred)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
 
 # Frequent passwords and words in order of frequency; the rank is the guess count.
 COMMON = ("password 123456 qwerty admin welcome letmein monkey dragon master login abc123 iloveyou secret shadow sunshine princess "
@@ -106,12 +111,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[str, int, int]], least: float = LEAST_LOG10) -> list[tuple[str, int, int]]:
-    """Values in further credential contexts whose guess cost is ``least`` or more and that no base span touches."""
-    out = []
+    """Values in credential contexts whose guess cost is ``least`` or more and that no base span touches; of nested contexts the first counts."""
+    out, done = [], 0
     for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(a < end and b > start for _, start, end in base) and guess_cost(m[1]) >= least:
-            out.append(("guess", a, b))
+        if m.end() < done or m[1] and not _WORD.search(m[1]):
+            continue
+        a, done = _GIVEN.match(text, m.end()).span()
+        if done - a >= 6 and not any(a < end and done > start for _, start, end in base) and guess_cost(text[a:done]) >= least:
+            out.append(("guess", a, done))
     return out
 
 

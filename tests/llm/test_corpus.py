@@ -279,6 +279,19 @@ def test_guess_cost():
     assert [s[0] for s in spans] == ["guess", "guess"] and spans[0][1:] == (7, 19)
 
 
+def test_secret_contexts(spark):
+    """Every credential word, with parts of identifiers around it, is a context of the guess-cost method."""
+    texts = ["password: P@ssw0rd!x9Qv7", 'password = "Tr7!vQ9zLm##4"', "the password is x9Qv7kLp2wTz", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+             "secret_key: x9Qv7kLp2wTz88", "DB_PWD=x9Qv7#kLp2!w", "dbPass := x9Qv7#kLp2!w", "Authorization: Bearer x9Qv7#kLp2!w", '"client_secret": "x9Qv7#kLp2!w"']
+    values = ["P@ssw0rd!x9Qv7", "Tr7!vQ9zLm##4", "x9Qv7kLp2wTz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x9Qv7kLp2wTz88", *["x9Qv7#kLp2!w"] * 4]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"guess:{t.index(v)}:{t.index(v) + len(v)}" for t, v in zip(texts, values)]
+    for plain in ("secretary: Anna-Lindqvist", "compass: x9Qv7#kLp2!w", "pwd: password1!", "it is x9Qv7#kLp2!w"):
+        assert secret_scan.spans_of(plain) == []
+    assert [s[0] for s in secret_scan.spans_of("password: hunter22")] == ["assign"]
+
+
 def test_licences(spark, odd):
     rows = [("r/LICENSE", "Released under the MIT License."), ("r/a/x.txt", "some prose"), ("r/a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."),
             ("r/a/b/c/y.txt", "prose"), ("r/a/b/z.txt", "prose " * 90 + "\nLicensed under the Apache License, Version 2.0."), ("q/y.txt", "no notice, but a license word"), ("q/y.txt", None),
