@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_LOG10 = 10.0                  # guesses from which a value counts as a secret
-LONGEST = 256                       # characters of a value that are segmented exactly; longer ones by blocks of that length
 
 _SECRET = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _PATTERNS = {"assign": re.compile(_SECRET, re.ASCII), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
@@ -50,52 +49,96 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+class _Starts:
+    """Starts ``(i, b)`` of a run's segments; the cheapest end in ``j`` costs ``b + times * log10(j - i)``.
+
+    Starts come in order.  A later start is passed by an earlier, cheaper one at most once, so the starts that may still be
+    cheapest form a stack whose top is the cheapest now, and all work is linear in the number of starts.
+    """
+
+    def __init__(self, times: int):
+        self.times, self.kept = times, []
+
+    def add(self, i: int, b: float) -> None:
+        kept = self.kept
+        while kept and kept[-1][1] >= b:
+            kept.pop()
+        if kept and b - kept[-1][1] > 20 * self.times:              # no value has 10^20 characters
+            return
+        while len(kept) > 1 and self._passed(kept[-2], kept[-1]) <= self._passed(kept[-1], (i, b)):
+            kept.pop()
+        kept.append((i, b))
+
+    def _passed(self, early: tuple[int, float], late: tuple[int, float]) -> float:
+        """From which end on ``early`` is cheaper."""
+        ratio = 10 ** min((late[1] - early[1]) / self.times, 300)
+        return (ratio * late[0] - early[0]) / (ratio - 1) if ratio > 1 else math.inf
+
+    def _cost(self, start: tuple[int, float], j: int) -> float:
+        return start[1] + self.times * math.log10(j - start[0])
+
+    def cost(self, j: int) -> float:
+        kept = self.kept
+        while len(kept) > 1 and self._cost(kept[-2], j) <= self._cost(kept[-1], j):
+            kept.pop()
+        return self._cost(kept[-1], j) if kept else math.inf
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation into words, dates, repeats, keyboard walks and brute-force spans.
 
     ``best[i]`` is the least sum of segment costs for the first ``i`` characters; each further segment multiplies the
-    guesses by its own count and by the number of places a segment may take.  Values over ``LONGEST`` characters are the sum over
-    blocks of that length.
+    guesses by its own count and by the number of places a segment may take.  Time is linear in the length: words and dates
+    are bounded, and of each run of repeats, neighbouring keys or consecutive characters only the cheapest start is asked.
     """
-    if len(value) > LONGEST:
-        return sum(guess_cost(value[i:i + LONGEST]) for i in range(0, len(value), LONGEST))
     n, low, join = len(value), value.lower(), math.log10(2)
     best = [0.0] + [math.inf] * n
-    dates = [[] for _ in range(n)]
-    for i in range(n):
-        m = _DATE.match(value, i)
-        if m:
-            dates[i].append(m.end())
-    for i in range(n):
-        here = best[i] + (join if i else 0.0)
-
-        def reach(j: int, cost: float) -> None:
-            if here + cost < best[j]:
-                best[j] = here + cost
-
-        reach(i + 1, _brute(value[i]))
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j])
+    brute = [_brute(c) for c in value]
+    here = [0.0] * (n + 1)                                          # the cost of the characters before a segment
+    same, walk, order, step = [0] * 5, 1, 1, 0                      # lengths of the runs that end here
+    units = [[_Starts(1) for _ in range(w)] for w in range(5)]      # by width, then by start modulo width
+    walks, orders = _Starts(2), _Starts(1)
+    for j in range(n + 1):
+        for w in (1, 2, 3, 4) if j > 1 else ():                     # a unit, repeated
+            if j > w and value[j - 1] == value[j - 1 - w]:
+                same[w] += 1
+                if same[w] >= w:
+                    starts = units[w][j % w]
+                    starts.add(j - 2 * w, here[j - 2 * w])
+                    best[j] = min(best[j], starts.cost(j) + sum(brute[j - w:j]) - math.log10(w))
+            elif same[w]:
+                same[w], units[w] = 0, [_Starts(1) for _ in range(w)]
+        if j > 1:
+            if (low[j - 2], low[j - 1]) in _NEXT:                     # a walk over neighbouring keys
+                walk += 1
+                if walk >= 3:
+                    walks.add(j - 3, here[j - 3])
+                    best[j] = min(best[j], walks.cost(j) + math.log10(len(ROWS) * 10))
+            elif walk > 1:
+                walk, walks = 1, _Starts(2)
+            last, step = step, ord(value[j - 1]) - ord(value[j - 2])
+            if abs(step) != 1:
+                order = 1
+            elif step == last:                                      # a sequence such as abcd or 4321
+                order += 1
+                if order == 3:
+                    orders = _Starts(1)
+                orders.add(j - 3, here[j - 3])
+                best[j] = min(best[j], orders.cost(j) + math.log10(36 * 2))
+            else:
+                order = 2
+        if j == n:
+            break
+        here[j] = best[j] + (join if j else 0.0)
+        best[j + 1] = min(best[j + 1], here[j] + brute[j])
+        for k in range(j + 3, min(n, j + _LONGEST_WORD) + 1):
+            rank = RANK.get(low[j:k])
             if rank:
-                capitals = sum(a != b for a, b in zip(value[i:j], low[i:j]))
-                reach(j, math.log10(rank) + math.log10(1 + capitals) * 2)
-        for j in dates[i]:
-            reach(j, math.log10(365 * 120) if j - i > 4 else math.log10(120))
-        for width in (1, 2, 3, 4):                                # a unit, repeated
-            unit, j = value[i:i + width], i + width
-            while len(unit) == width and value.startswith(unit, j):
-                j += width
-                reach(j, sum(map(_brute, unit)) + math.log10((j - i) // width))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:              # a walk over neighbouring keys
-            j += 1
-            if j - i >= 3:
-                reach(j, math.log10(len(ROWS) * 10) + math.log10(4) * math.log2(j - i))
-        j = i + 1
-        while j < n and abs(ord(value[j]) - ord(value[j - 1])) == 1 and (j == i + 1 or ord(value[j]) - ord(value[j - 1]) == ord(value[i + 1]) - ord(value[i])):
-            j += 1                                                 # a sequence such as abcd or 4321
-            if j - i >= 3:
-                reach(j, math.log10(36 * 2) + math.log10(j - i))
+                capitals = sum(a != b for a, b in zip(value[j:k], low[j:k]))
+                best[k] = min(best[k], here[j] + (math.log10(rank) + math.log10(1 + capitals) * 2))
+        m = _DATE.match(value, j)
+        if m:
+            best[m.end()] = min(best[m.end()], here[j] + (math.log10(365 * 120) if m.end() - j > 4 else math.log10(120)))
     return best[n]
 
 

@@ -119,6 +119,33 @@ def secrets_base(text):
     return [f"{name}:{a}:{b}" for a, _, name, b in sorted(found)]
 
 
+def guess_cost(value):
+    """Least cost over all segmentations: every start with every end that a segment may have."""
+    from barloom.llm.secret_scan import RANK, _DATE, _NEXT, _brute
+    n, low, log = len(value), value.lower(), math.log10
+    best = [0.0] + [math.inf] * n
+    for i in range(n):
+        ends = {i + 1: [_brute(value[i])]}
+        put = lambda j, c: ends.setdefault(j, []).append(c)
+        for j in range(i + 2, n + 1):
+            part = value[i:j]
+            if low[i:j] in RANK and j - i >= 3:
+                put(j, log(RANK[low[i:j]]) + 2 * log(1 + sum(a != b for a, b in zip(part, low[i:j]))))
+            for w in (1, 2, 3, 4):
+                if (j - i) % w == 0 and j - i > w and part == part[:w] * ((j - i) // w):
+                    put(j, sum(map(_brute, part[:w])) + log((j - i) // w))
+            if j - i >= 3 and all(p in _NEXT for p in zip(low[i:j], low[i + 1:j])):
+                put(j, log(40) + log(4) * math.log2(j - i))
+            if j - i >= 3 and {ord(b) - ord(a) for a, b in zip(part, part[1:])} in ({1}, {-1}):
+                put(j, log(72) + log(j - i))
+        m = _DATE.match(value, i)
+        if m:
+            put(m.end(), log(365 * 120) if m.end() - i > 4 else log(120))
+        for j, costs in ends.items():
+            best[j] = min(best[j], best[i] + (log(2) if i else 0.0) + min(costs))
+    return best[n]
+
+
 def benchmark_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
 

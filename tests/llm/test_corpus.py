@@ -279,6 +279,17 @@ def test_guess_cost():
     assert [s[0] for s in spans] == ["guess", "guess"] and spans[0][1:] == (7, 19)
 
 
+def test_guess_cost_of_long_values():
+    """The cost is the least over all segmentations, at any length; lengths of 600 and 250 are judged alike."""
+    rng, words = random.Random(6), ["password", "Dragon", "2024-01-31", "qwerty", "asdsa", "abcdef", "9876", "ababab", "xyzxyz", "aaaa", "0101", "1212", "Test", "q7#"]
+    cases = ["".join(rng.choices(words, k=rng.randrange(1, 12)))[rng.randrange(3):] for _ in range(150)] + ["".join(rng.choices(s, k=rng.randrange(1, 70))) for s in ("ab", "abc", "qwas", "0123", "aB1#") for _ in range(40)]
+    cases += [c * 7 for c in cases[:10]] + ["=" * 260, "password" * 33, "ab1" * 45 + "x" + "ab1" * 45]
+    for value in cases:
+        assert secret_scan.guess_cost(value) == pytest.approx(brute.guess_cost(value), abs=1e-9), value
+    assert secret_scan.spans_of("login: " + "=" * 250) == secret_scan.spans_of("login: " + "=" * 600) == []
+    assert secret_scan.guess_cost("ab#" * 100_000) < 12
+
+
 def test_secret_contexts(spark):
     """Every credential word, with parts of identifiers around it, is a context of the guess-cost method."""
     texts = ["password: P@ssw0rd!x9Qv7", 'password = "Tr7!vQ9zLm##4"', "the password is x9Qv7kLp2wTz", "aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
