@@ -83,6 +83,12 @@ def test_sanitise_rows(odd):
     assert all("@" in t for t in left) and not any("kim@mail" in t for t in left)
 
 
+def test_overlapping_spans_are_masked(spark):
+    rows = [(1, "call +1 555 123 4567 42kim@x.org now"), (2, "4111 1111 1111 1111@x.org"), (3, "to +1 555 123 4567, kim@x.org"), (4, "at 10.1.2.3@x.org.")]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "call <phone><email> now", 2: "<card><email>", 3: "to <phone>, <email>", 4: "at <email>."}
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_decontamination(which, request, spark):
     df = request.getfixturevalue(which)
