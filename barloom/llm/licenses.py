@@ -38,44 +38,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def weights(docs: DataFrame, templates: dict[str, str]) -> tuple[DataFrame, float]:
-    """``(template, token, weight, idf)`` of unit-length templates, and the idf of words that no template has.
-
-    Document frequencies of the templates' words come from all documents; the collected table has a row for each of those words.
-    """
-    spark = docs.sparkSession
-    texts = spark.createDataFrame([(licence_of(k) + "\t" + k, v) for k, v in templates.items()], "template string, text string")
-    terms = texts.select("template", F.explode(tokens(F.col("text"))).alias("token")).groupBy("template", "token").agg(F.count("*").alias("tf"))
-    counts = [tuple(r) for r in terms.collect()]                       # bounded by the templates
-    vocabulary = sorted({t for _, t, _ in counts})
-    seen = F.array_intersect(F.array_distinct(tokens(F.col("text"))), F.array(*[F.lit(t) for t in vocabulary]))
-    known = dict(docs.select(F.explode(seen).alias("token")).groupBy("token").count().collect())
-    total = docs.count()
-    idf = {t: math.log((1 + total) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
-    norm: dict[str, float] = {}
-    for template, token, tf in counts:
-        norm[template] = norm.get(template, 0.0) + (tf * idf[token]) ** 2
-    rows = [(k, t, tf * idf[t] / math.sqrt(norm[k]), idf[t]) for k, t, tf in sorted(counts)]
-    return spark.createDataFrame(rows, "template string, token string, weight double, idf double"), math.log(1 + total) + 1
+def frequencies(docs: DataFrame, terms: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, dict[str, int], int]:
+    """Documents of each token of ``terms`` and of all, over whole texts; those of ``vocabulary`` are collected too."""
+    wanted = terms.select("token").distinct()
+    counts = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    known = settle(counts.join(wanted.unionByName(docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")).distinct(), "token", "left_semi"))
+    return known, dict(known.filter(F.col("token").isin(vocabulary)).collect()), docs.count()
 
 
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """``path``, ``licence`` and ``score`` of the best notice of each file that has one.
 
-    Notices are the sentences and lines of whole texts with a licence word; equal ones are compared once.
+    Notices are the sentences and lines of texts with a licence word; equal ones are compared once.
+    Notices and templates are weighed by the document frequencies of all their words, so scores do not depend on
+    the size of the corpus.
     """
-    table, rare = weights(files.select("text"), templates)
     pieces = F.filter(F.split("text", r"\n+|(?<=[.!?])\s+"), lambda p: p.rlike(NOTICE))
     notices = files.filter(F.col("text").rlike(NOTICE)).select("path", F.explode(F.array_distinct(pieces)).alias("notice"))
-    notices = settle(notices)
-    terms = notices.select("notice").distinct().select("notice", F.explode(tokens(F.col("notice"))).alias("token")).groupBy("notice", "token").agg(F.count("*").alias("tf"))
-    idfs = F.broadcast(table.select("token", "idf").distinct())         # a row for each word of the templates
-    terms = terms.join(idfs, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = terms.groupBy("notice").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = terms.join(F.broadcast(table.select("template", "token", "weight")), "token").groupBy("notice", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    best = (dots.join(norms, "notice").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
-            .groupBy("notice").agg(F.max(F.struct("score", "template")).alias("b")))
-    return (notices.join(best, "notice").groupBy("path").agg(F.max("b").alias("b"))
+    notices = settle(notices.select("path", F.md5(F.col("notice").cast("binary")).alias("id"), "notice"))
+    once = notices.groupBy("id").agg(F.any_value("notice").alias("notice"))
+    # Written tables, so that the join by token is of plain exchanges and a hot word can be split.
+    terms = settle(once.select("id", F.explode(tokens(F.col("notice"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")))
+    texts = files.sparkSession.createDataFrame([(licence_of(k) + "\t" + k, v) for k, v in templates.items()], "template string, text string")
+    words_of = [tuple(r) for r in texts.select("template", F.explode(tokens(F.col("text"))).alias("token")).groupBy("template", "token").agg(F.count("*").alias("tf")).collect()]
+    vocabulary = sorted({t for _, t, _ in words_of})                 # bounded by the templates
+    known, counted, total = frequencies(files, terms, vocabulary)
+    idf = {t: math.log((1 + total) / (1 + counted.get(t, 0))) + 1 for t in vocabulary}
+    norm: dict[str, float] = {}
+    for template, token, tf in words_of:
+        norm[template] = norm.get(template, 0.0) + (tf * idf[token]) ** 2
+    table = files.sparkSession.createDataFrame([(k, t, tf * idf[t] / math.sqrt(norm[k])) for k, t, tf in sorted(words_of)], "template string, token string, weight double")
+    weighed = terms.join(known, "token", "left").select("id", "token", (F.col("tf") * (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("x"))
+    weighed = settle(weighed)
+    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(F.broadcast(table), "token").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    best = (dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
+            .groupBy("id").agg(F.max(F.struct("score", "template")).alias("b")))
+    return (notices.join(best, "id").groupBy("path").agg(F.max("b").alias("b"))
             .select("path", F.substring_index("b.template", "\t", 1).alias("licence"), "b.score"))
 
 

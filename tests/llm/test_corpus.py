@@ -321,6 +321,17 @@ def test_licences(spark, odd):
     same([tuple(r) for r in got], [(p, t, *want[p]) for p, t in rows])
 
 
+def test_notice_scores_do_not_depend_on_corpus_size(spark):
+    notices = [("n/a.txt", "It was licensed under the Apache License, Version 2.0."), ("n/b.txt", "It was released here under the MIT License.")]
+    filler = [f"it was here {i % 7} and the work of version {i % 5} under them" if i % 2 else f"some other text {i % 3}" for i in range(100)]
+    scores = []
+    for times in (1, 40):
+        rows = [(f"{p}{k}", t) for k in range(times) for p, t in notices] + [(f"f/{i}-{k}", t) for k in range(times) for i, t in enumerate(filler)]
+        got = {r.path: r.score for r in licenses.own_licences(spark.createDataFrame(rows, "path string, text string").repartition(4)).collect()}
+        scores.append([got.get("n/a.txt0"), got.get("n/b.txt0")])
+    assert all(s and s >= licenses.COSINE for s in scores[0]) and scores[1] == pytest.approx(scores[0], abs=0.01)
+
+
 def test_empty_tables(spark):
     none = edges.empty(spark)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
