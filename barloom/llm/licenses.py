@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,12 +28,44 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Headers as they stand in source files, and heads of licence files.
+TEMPLATES |= {
+    "MIT-head": "The MIT License (MIT)",
+    "Apache-2.0-block": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+                        "You may obtain a copy of the License at",
+    "Apache-2.0-head": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                      "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-head": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-block": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-head": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                       "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                       "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-head": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+                       "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-head": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "BSD-3-Clause-head": "BSD 3-Clause License",
+    "BSD-2-Clause-head": "BSD 2-Clause License",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                      "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0-head": "Mozilla Public License Version 2.0",
+}
+#: Whole licence texts.
+TEMPLATES |= {f.name.removesuffix(".txt") + "-file": f.read_text("utf-8") for f in sorted(resources.files("barloom.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name)}
 NOTICE = r"(?i)licen[cs]e|copyright|copyleft|spdx|public domain|redistribut|free of charge|all rights reserved"
+BLANK = r"\n[^\p{L}\p{N}\n]*\n"      # between blocks: a line without letters and digits, also inside a comment
+WRAP = r"[^\S\n]*\n[^\p{L}\p{N}\n]*"  # between the lines of a block, with the marks of a comment
+SPDX = r"(?i:SPDX-License-Identifier:)[ \t]*(\(*[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*(?:[ \t]+(?:OR|AND|WITH)[ \t]+\(*[A-Za-z0-9.+-]*[A-Za-z0-9+]\)*)*)"
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}.+-]*[\p{L}\p{N}]|[\p{L}\p{N}]"
 
 
 def licence_of(template: str) -> str:
-    return template.removesuffix("-line").removesuffix("-header")
+    return re.sub("-(line|header|block|head|file)$", "", template)
 
 
 def tokens(text: Column) -> Column:
@@ -49,12 +83,19 @@ def frequencies(docs: DataFrame, terms: DataFrame, vocabulary: list[str]) -> tup
 def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
     """``path``, ``licence`` and ``score`` of the best notice of each file that has one.
 
-    Notices are the sentences and lines of texts with a licence word; equal ones are compared once.
+    Notices are the parts of texts that have a licence word: sentences and lines, blocks between blank lines with their wrapped
+    lines joined, the sentences of those, and the whole text; equal ones are compared once.  An SPDX identifier names its licence
+    outright, an expression as it is written, without ``-only`` and ``-or-later``.
     Notices and templates are weighed by the document frequencies of all their words, so scores do not depend on
     the size of the corpus.
     """
-    pieces = F.filter(F.split("text", r"\n+|(?<=[.!?])\s+"), lambda p: p.rlike(NOTICE))
-    notices = files.filter(F.col("text").rlike(NOTICE)).select("path", F.explode(F.array_distinct(pieces)).alias("notice"))
+    blocks = F.transform(F.filter(F.split("text", BLANK), lambda p: p.rlike(NOTICE)), lambda p: F.regexp_replace(p, WRAP, " "))
+    sentences = F.flatten(F.transform(blocks, lambda p: F.split(p, r"(?<=[.!?])\s+")))
+    pieces = F.filter(F.concat(F.split("text", r"\n+|(?<=[.!?])\s+"), blocks, sentences, F.array("text")), lambda p: p.rlike(NOTICE))
+    marked = files.filter(F.col("text").rlike(NOTICE))
+    notices = marked.select("path", F.explode(F.array_distinct(pieces)).alias("notice"))
+    named = marked.select("path", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("licence"))
+    named = named.select("path", F.struct(F.lit(1.0).alias("score"), F.concat(F.regexp_replace("licence", "-(only|or-later)(?![A-Za-z0-9.+-])", ""), F.lit("\tSPDX")).alias("template")).alias("b"))
     notices = settle(notices.select("path", F.md5(F.col("notice").cast("binary")).alias("id"), "notice"))
     once = notices.groupBy("id").agg(F.any_value("notice").alias("notice"))
     # Written tables, so that the join by token is of plain exchanges and a hot word can be split.
@@ -74,7 +115,7 @@ def own_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine
     dots = weighed.join(F.broadcast(table), "token").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     best = (dots.join(norms, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= cosine)
             .groupBy("id").agg(F.max(F.struct("score", "template")).alias("b")))
-    return (notices.join(best, "id").groupBy("path").agg(F.max("b").alias("b"))
+    return (notices.join(best, "id").select("path", "b").unionByName(named).groupBy("path").agg(F.max("b").alias("b"))
             .select("path", F.substring_index("b.template", "\t", 1).alias("licence"), "b.score"))
 
 

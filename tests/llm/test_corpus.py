@@ -332,6 +332,24 @@ def test_notice_scores_do_not_depend_on_corpus_size(spark):
     assert all(s and s >= licenses.COSINE for s in scores[0]) and scores[1] == pytest.approx(scores[0], abs=0.01)
 
 
+def test_licence_headers_and_files(spark):
+    wrap = lambda mark, lines: "\n".join(f"{mark} {x}".rstrip() for x in lines) + "\n\nprint(1)\nsome code of this file\n"
+    mpl = wrap("#", ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at http://mozilla.org/MPL/2.0/."])
+    apache = wrap(" *", ["Copyright 2020 Some One", "", 'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.",
+                         "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"])
+    gpl = wrap("//", ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or",
+                      "(at your option) any later version."])
+    whole = {k: licenses.TEMPLATES[f"{k}-file"] for k in ("Apache-2.0", "GPL-3.0", "MIT", "MPL-2.0", "BSD-3-Clause")}
+    rows = [("mpl", "MPL-2.0", mpl), ("apache", "Apache-2.0", apache), ("gpl", "GPL-3.0", gpl), ("spdx1", "Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nx = 1"),
+            ("spdx2", "MIT", "/* SPDX-License-Identifier: MIT */"), ("spdx3", "MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0"), ("spdx4", "GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+            ("head1", "Apache-2.0", whole["Apache-2.0"][:190]), ("head2", "GPL-3.0", whole["GPL-3.0"][:90])]
+    rows += [(f"whole/{k}", k, "\n".join(["Some Project, (c) 2021 Some One", t])) for k, t in whole.items()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.concat(F.lit("d/"), "doc_id").alias("path"), "text")
+    df = spark.createDataFrame([(p, t) for p, _, t in rows], "path string, text string").unionByName(docs)
+    got = {r.path: r.licence for r in licenses.own_licences(df).collect()}
+    assert {p: got.get(p) for p, _, _ in rows} == {p: k for p, k, _ in rows}
+
+
 def test_empty_tables(spark):
     none = edges.empty(spark)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
