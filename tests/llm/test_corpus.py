@@ -83,6 +83,17 @@ def test_sanitise_rows(odd):
     assert all("@" in t for t in left) and not any("kim@mail" in t for t in left)
 
 
+def test_rare_and_far_terms_are_masked(spark):
+    """A value of one document and one of two, a name far from its value, a short name, and its places without the value."""
+    filler = "the work of all that was here and more of it " * 8
+    rows = [(0, f"Zed {filler} mail one@example.org"), (1, f"Kim wrote {filler} two@example.org"), (2, f"Kim {filler} two@example.org again"), (3, f"Kim said {filler}")]
+    rows += [(i, f"wrote said mail again {filler}") for i in range(4, 400)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == f"<term> {filler} mail <email>"
+    assert got[1].startswith("K<term> wrote the") and got[2].startswith("K<term> the") and got[3] == f"K<term> said {filler}"
+    assert all(got[i] == t for i, t in rows[4:])
+
+
 def test_overlapping_spans_are_masked(spark):
     rows = [(1, "call +1 555 123 4567 42kim@x.org now"), (2, "4111 1111 1111 1111@x.org"), (3, "to +1 555 123 4567, kim@x.org"), (4, "at 10.1.2.3@x.org.")]
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
