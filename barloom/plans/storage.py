@@ -35,11 +35,9 @@ def mixed_csv_scan(t):
     h = t.hourly
     sets = {"a": h.where("symbol < 'f'").select(stamp, F.col("open").alias("ask_yes"), F.col("close").alias("ask_no")),
             "b": h.where("symbol >= 'f'").select(F.col("open").alias("ask_yes"), stamp), "c": h.select(F.col("open").alias("ask_yes")), "d": h.select(stamp)}
-    files = []
     for n, d in sets.items():
-        d.coalesce(1).write.option("header", True).csv(f"{path}/{n}")  # one small file per header shape
-        files += t.spark.read.csv(f"{path}/{n}").inputFiles()
-    rows, skipped = store.scan_mixed_csv(t.spark, files, "bucket", ["ask_yes", "ask_no"])
+        d.write.option("header", True).csv(f"{path}/{n}")             # a folder of files for each header shape
+    rows, skipped = store.scan_mixed_csv(t.spark, [f"{path}/{n}" for n in sets], "bucket", ["ask_yes", "ask_no"])
     return rows.withColumn("ts", F.col("bucket"))
 
 

@@ -28,3 +28,16 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.entry(spark).columns) > 5
+
+
+def test_mixed_scan_writes_in_parts(spark, con):
+    """No header shape goes through one task."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        files = REGISTRY["mixed_csv_scan"].frame(spark, SF).inputFiles()
+        assert all(sum(f"/{n}/" in f for f in files) > 1 for n in "ab")
+        ok, _, _, message = compare(REGISTRY["mixed_csv_scan"], spark, con, SF)
+        assert ok, message
+    finally:
+        spark.conf.unset(key)
