@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import benchmark, classifier, licenses, mixing, pii, quality, secret_scan, simhash, urls, warc
+from barloom.llm import benchmark, classifier, divergence, exact_dedup, licenses, mixing, phrases, pii, quality, secret_scan, simhash, urls, warc
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -64,9 +64,22 @@ def op10(spark: SparkSession, path: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11(spark: SparkSession, path: str) -> DataFrame:
+    return divergence.audit(table(spark, path, "documents"))
+
+
+def op12(spark: SparkSession, path: str) -> DataFrame:
+    return exact_dedup.digest(table(spark, path, "documents"))
+
+
+def op13(spark: SparkSession, path: str) -> DataFrame:
+    return phrases.mine(table(spark, path, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1, "op2_quality_rules": op2, "op3_warc_archive": op3, "op4_pii_sanitise": op4, "op5_quality_classifier": op5,
     "op6_licence_scan": op6, "op7_secret_scan": op7, "op8_decontaminate": op8, "op9_source_mix": op9, "op10_simhash_dedup": op10,
+    "op11_source_divergence": op11, "op12_exact_dedup": op12, "op13_phrase_mining": op13,
 }
 
 _TERM = r"[\p{L}\p{N}]{4,}"
@@ -168,4 +181,46 @@ k AS (SELECT doc_id, d.source, size, source_size, target, row_number() OVER (PAR
     CAST('0x' || substr(md5('42:' || coalesce(d.source, '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS shift
     FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(each * rank + shift) - floor(each * (rank - 1) + shift) AS BIGINT) AS taken FROM k""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+per_doc AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM per_doc GROUP BY ALL HAVING count(*) >= 3),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+own AS (SELECT lang, source, term, CAST(sum(x.n) AS HUGEINT) AS n FROM per_doc x JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, 1 + 1000000000 * (coalesce(own.n, 0) + 1) // (g.total + v) AS p
+    FROM groups g JOIN kept k USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 1) // (total + v) AS q FROM kept JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM ranked
+QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_exact_dedup": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT *, count(*) OVER (PARTITION BY text) AS group_size, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST, r DESC) AS place,
+    max(doc_id) OVER (PARTITION BY text) AS keep_id FROM t)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(text) AS text_sha256 FROM g""",
+    "op13_phrase_mining": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, size, words, count(*) AS f FROM (SELECT lang, size, list_slice(words, i, i + size - 1) AS words
+    FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size))) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.size, c.words, c.f AS a, k, x.f AS l, y.f AS r, n.n, CAST(CAST(1000 AS HUGEINT) * c.f * n.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c JOIN n USING (lang)
+    JOIN f x ON x.lang = c.lang AND x.size = k AND x.words = list_slice(c.words, 1, k)
+    JOIN f y ON y.lang = c.lang AND y.size = c.size - k AND y.words = list_slice(c.words, k + 1, c.size)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inside AS (SELECT lang, words, max(f) AS f FROM (SELECT lang, f, list_slice(words, i, i + part - 1) AS words FROM (SELECT lang, words, f, size, part, unnest(range(1, size - part + 2)) AS i
+    FROM f, (SELECT unnest(range(2, 5)) AS part) WHERE size > part)) GROUP BY ALL),
+named AS (SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, n, score FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.words = b.words WHERE s.f IS NULL OR s.f < a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS BIGINT) AS rank, phrase, a, l, r, n, score FROM named
+QUALIFY rank <= 2000""",
 }
