@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import let, unpacked
+from barloom.llm.exact_dedup import marked, marks
 from barloom.operators.ordered import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SPAN = "struct<kind:int,start:int,end:int,value:string>"
-CONTEXT = 64                        # code points on each side of a value in which terms are weighed
-SUPPORT = 3                         # documents in which a term stands beside a value, at least
 DISCLOSURE = 0.9                    # share of a value's information content that a term may give away
 REMOVAL = 0.99                      # from this share on a term is removed, below it is generalised
-TERM = r"[\p{L}\p{N}]{4,}"
-ANY_TERM = r"[\p{L}\p{N}]+"
-CHANCE = 0.01                       # bound on the probability that a term meets a value's documents as often by chance
+TERM = r"[\p{L}\p{N}]+"
+CHANCE = 0.01                       # bound on the probability that any term meets any value's documents as often by chance
+CELLS = 1 << 16                     # bytes of the table by which a scan passes over terms that are surely not telling
 
 # The contract's patterns in forms that Java matches without recursion or repeated scans.
 EMAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-]"
@@ -91,80 +91,109 @@ def value_name(span: Column) -> Column:
                     F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _side(text: Column, begin: Column, end: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms in ``text[begin:end]`` with positions in the text; one that touches an edge inside the text is left out, as it may be cut."""
-    part = F.substring(text, begin + 1, end - begin)
-    terms = let(part, lambda p: matches(p, len(KINDS) - 1, TERM, lambda v: F.lit(True)))
-    whole = F.filter(terms, lambda s: ~(cut_left & (s["start"] == 0)) & ~(cut_right & (s["end"] == end - begin)))
-    return F.transform(whole, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + begin).alias("start"),
-                                                 (s["end"] + begin).alias("end")))
-
-
-def beside(text: Column, spans: Column) -> Column:
-    """Terms near each protected value as ``(value, term, start, end)``; parts of values are no terms."""
-    length = F.length(text)
-
-    def near(span: Column) -> Column:
-        left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        right = F.least(span["end"] + CONTEXT, length)
-        terms = F.concat(_side(text, left, span["start"], left > 0, F.lit(False)),
-                         _side(text, span["end"], right, F.lit(False), right < length))
-        free = F.filter(terms, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-        return F.transform(free, lambda t: F.struct(value_name(span).alias("value"), t["term"].alias("term"),
-                                                    t["start"].alias("start"), t["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, near))
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text: maximal runs of letters and digits in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(value, term, share)``: terms that give away at least ``disclosure`` of a value's information content.
+def telling(once: DataFrame, terms: DataFrame, total: int) -> DataFrame:
+    """``(term, share)``: terms of any length that give away ``DISCLOSURE`` of a value's content, counted over whole documents.
 
-    With document counts n(t), n(v), n(t, v) and N over all documents, the share is the pointwise mutual
-    information log(N n(t,v) / n(t) n(v)) over the content log(N / n(v)).  Only pairs that stand within ``CONTEXT``
-    of each other are counted, so rows grow with the values found and never with pairs of a document.
+    ``once`` has the distinct texts with values, their copies ``m``, ``spans`` and ``terms``; ``terms`` has those of all documents,
+    ``total`` in number.  With document counts n(t), n(v), n(t, v) and N the share is the pointwise mutual information
+    log(N n(t, v) / n(t) n(v)) over the value's content log(N / n(v)).  A pair also has to be surer than chance: by Chernoff's
+    bound on a Poisson count of mean n(t) n(v) / N, as many different texts hold both by chance with probability ``CHANCE`` at
+    most, divided by the number of pairs that could be found so, all terms times all values.  Copies of a text are no new
+    evidence.  Values of the same texts have the same counts and are one ``sign``.  As n(t, v) is at most n(v), terms with
+    n(t) > n(v) (N / n(v))^(1 - DISCLOSURE) cannot reach the share, and where the bound asks for two texts, terms and values of
+    one text cannot meet it; both are left out before pairs are formed.
     """
-    total = texts.count()
-    pairs = (found.select(F.explode(F.array_distinct(F.transform("near", lambda o: F.struct(o["value"].alias("value"), o["term"].alias("term"))))).alias("p"))
-             .groupBy("p.value", "p.term").agg(F.count("*").alias("both")).filter(F.col("both") >= support))
-    values = (found.select(F.explode(F.array_distinct(F.transform("spans", value_name))).alias("value"))
-              .groupBy("value").agg(F.count("*").alias("n_value")))
-    terms = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-             .groupBy("term").agg(F.count("*").alias("n_term")))
     n = F.lit(float(max(total, 1)))
-    share = F.log(n * F.col("both") / (F.col("n_term").cast("double") * F.col("n_value"))) / F.log(n / F.col("n_value"))
-    return (pairs.join(values, "value").join(terms, "term").filter(F.col("n_value") < total)
-            .select("value", "term", share.alias("share")).filter(F.col("share") >= disclosure))
+    held = settle(once.select("key", "m", F.explode(F.array_distinct(F.transform("spans", value_name))).alias("value")))
+    mark = lambda seed: F.sum(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)))
+    values = settle(held.groupBy("value").agg(F.sum("m").alias("n_value"), F.count("*").alias("texts"), F.concat_ws(":", F.sum("m"), mark(1), mark(2)).alias("sign")))
+    counts = settle(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    tests = float(max(values.count() * counts.count(), 1))
+    least = 1 if math.e / max(total, 1) <= CHANCE / tests else 2
+    values = values.filter((F.col("n_value") < total) & (F.col("texts") >= least))
+    signs = settle(held.join(values, "value").select("key", "sign", "n_value").distinct())
+    reach = F.col("n_value") * F.pow(n / F.col("n_value"), F.lit(1 - DISCLOSURE)) * 1.000001
+    most = values.agg(F.max(reach)).first()[0] or 0.0
+    own = once.select("key", "m", F.explode("terms").alias("term"))
+    often = own.groupBy("term").count().filter(F.col("count") >= least).select("term")
+    own = settle(own.join(counts.filter(F.col("n_term") <= most), "term").join(often, "term", "left_semi"))
+    pairs = own.join(signs, "key").filter(F.col("n_term") <= reach).groupBy("sign", "term").agg(
+        F.sum("m").alias("both"), F.count("*").alias("texts"), F.any_value("n_term").alias("n_term"), F.any_value("n_value").alias("n_value"))
+    mean, x = F.col("n_term").cast("double") * F.col("n_value") / n, F.col("texts").cast("double")
+    sure = (x > mean) & (x - mean + x * F.log(mean / x) <= math.log(CHANCE / tests))
+    share = F.log(F.col("both") / mean) / F.log(n / F.col("n_value"))
+    return pairs.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"))
+
 
+def _cell(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(CELLS)).cast("int")
 
-def annotate(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, carried: list[str] | None = None) -> DataFrame:
-    """Every input row as ``row`` (all columns, or those ``carried``) with its ``spans``, ordered by kind, then start.
 
-    A term's span has the share that it discloses.  NULL and empty texts have no spans.  Repeated rows and copies of a
-    text get the same spans; the text's digest joins them, so ids may repeat or be NULL.  An empty table gives none, and
-    other columns pass in ``row``.
+def _told(terms: DataFrame, told: DataFrame) -> DataFrame:
+    """``key`` and ``told`` (term to share) of the texts that hold a telling term.
+
+    A scan sees by a table of ``CELLS`` bytes which terms can be telling; the others are never exploded.
+    """
+    cells = bytearray(CELLS)
+    for (cell,) in told.select(_cell(F.col("term"))).distinct().collect():         # CELLS numbers at most
+        cells[cell] = 1
+    table = F.lit(bytes(cells))
+    maybe = F.filter("terms", lambda t: F.substring(table, _cell(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+    found = terms.select("key", F.explode(maybe).alias("term")).join(told, "term")
+    return found.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told"))
+
+
+def _places(text: Column, spans: Column, told: Column) -> Column:
+    """Spans of the telling terms of a text, outside its other spans, in order."""
+    gaps = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))),
+                       F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out")),
+                       lambda acc, s: F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.when(
+                           s["a"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), s["a"].alias("b"))))).otherwise(acc["out"]).alias("out")),
+                       lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.length(text).alias("b")))))
+
+    def terms(gap: Column) -> Column:
+        found = let(F.substring(text, gap["a"] + 1, gap["b"] - gap["a"]), lambda p: matches(p, len(KINDS) - 1, TERM, lambda v: F.map_contains_key(told, F.lower(v))))
+        return F.transform(found, lambda t: F.struct(t["kind"].alias("kind"), (t["start"] + gap["a"]).alias("start"), (t["end"] + gap["a"]).alias("end"),
+                                                     t["value"].alias("value"), F.element_at(told, F.lower(t["value"])).alias("share")))
+
+    return F.flatten(F.transform(gaps, terms))
+
+
+def annotate(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """Every input row as ``row`` (all columns, or those ``carried``) with its ``spans``: values by kind, then start, then terms.
+
+    Terms that disclose a value (``telling``) are spans at every place outside values, also in documents without the
+    value; ``share`` is what they disclose.  NULL and empty texts have no spans.  Repeated rows and copies of a text get the
+    same spans; the text's digest joins them, so ids may repeat or be NULL.  An empty table gives none, and other columns pass
+    in ``row``.
     """
     text = F.col("text")
-    key = F.sha2(text.cast("binary"), 256).alias("key")
+    key = F.md5(text.cast("binary")).alias("key")
     possible = F.coalesce(reduce(or_, [may(text) for _, _, may, _ in FINDERS]), F.lit(False))
-    seen = docs.filter(possible).select(key, text).withColumn("spans", base_spans(text)).filter(F.size("spans") > 0)
-    found = settle(seen.select("key", "spans", beside(text, F.col("spans")).alias("near")))
-    pairs = disclosing(found, docs.select("text"), support, disclosure)
-    once = found.groupBy("key").agg(F.any_value("spans").alias("spans"), F.any_value("near").alias("near"))
-    hits = (once.select("key", F.explode("near").alias("o")).select("key", "o.*").join(pairs, ["value", "term"])
-            .groupBy("key", "start", "end").agg(F.max("share").alias("share"), F.any_value("term").alias("term"))
-            .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "term", "share"))).alias("terms")))
-    extra = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string,share:double>>")), lambda t: F.struct(
-        F.lit(len(KINDS) - 1).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("value"), t["share"].alias("share")))
+    seen = docs.filter(possible).select(key, "text").groupBy("key").agg(F.count("*").alias("m"), F.any_value("text").alias("text"))
+    seen = seen.withColumn("spans", base_spans(text)).filter(F.size("spans") > 0)
+    once = settle(seen.select("key", "m", "spans", terms_of(_gaps(text, F.col("spans"), lambda p: p, lambda s: F.lit(" "))).alias("terms")))
+    terms = settle(docs.filter("text IS NOT NULL").select(key, terms_of(text).alias("terms")))
+    told = settle(_told(terms, settle(telling(once, terms, docs.count()))))
     plain = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                                                     s["value"].alias("value"), F.lit(None).cast("double").alias("share")))
     # A written table, so that the join below is of plain exchanges and a hot text can be split.
-    known = settle(once.join(hits, "key", "left").select("key", F.concat(plain, extra).alias("spans")))
+    known = settle(once.select("key", plain.alias("spans")).join(told, "key", "full"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string,share:double>>")
     row = F.struct(*[F.col(f"`{c}`") for c in carried or docs.columns]).alias("row")
-    # Texts that the cheap tests clear are not moved at all.
-    clear = docs.filter(~possible).select(row, none.alias("spans"))
-    marked = docs.filter(possible).select(row, key).join(known, "key", "left").select("row", F.coalesce("spans", none).alias("spans"))
-    return clear.unionByName(marked)
+    rows = docs.select(row, text, key, possible.alias("possible"))
+    rows = marked(rows, settle(marks(told, F.col("key"))), "touched", F.col("key"))
+    # Texts that the cheap tests clear, and that hold no telling term, are not moved at all.
+    moved = F.col("possible") | F.col("touched")
+    found = (rows.filter(moved).select("row", "key", F.when(F.col("touched"), text).alias("text")).join(known, "key", "left")
+             .select("row", F.coalesce("spans", none).alias("spans"), F.when(F.col("told").isNotNull(), F.col("text")).alias("text"), "told"))
+    found = found.select("row", F.when(F.col("told").isNull(), F.col("spans")).otherwise(F.concat("spans", _places(F.col("text"), F.col("spans"), F.col("told")))).alias("spans"))
+    return rows.filter(~moved).select("row", none.alias("spans")).unionByName(found)
 
 
 def listed(spans: Column) -> Column:
@@ -173,10 +202,11 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _gaps(text: Column, spans: Column, gap, label) -> Column:
+def _gaps(text: Column, spans: Column, gap, label, shared: bool = False) -> Column:
     """The text with ``label`` of the union of its spans and ``gap`` of what lies between; a span inside an earlier one adds nothing."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (-s["end"]).alias("before"), s["kind"].alias("kind"), s["value"].alias("value"))))
+        s["start"].alias("start"), (-s["end"]).alias("before"), s["kind"].alias("kind"), s["value"].alias("value"),
+        *([s["share"].alias("share")] if shared else []))))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(gap(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))), label(s))
@@ -188,78 +218,23 @@ def _gaps(text: Column, spans: Column, gap, label) -> Column:
         text, acc["at"] + 1, F.length(text)))))
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ANY_TERM), F.lit(0)), F.lower))
-
-
-def telling(once: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(term, share)``: terms of any length that give away ``DISCLOSURE`` of a value's content, counted over whole documents.
-
-    ``once`` has the distinct texts with values, their copies ``m``, ``spans`` and ``terms``.  A pair also has to be surer than
-    chance: by Chernoff's bound on a Poisson count of mean n(t) n(v) / N, documents that hold both are as many by chance with
-    probability ``CHANCE`` at most.  So values of one or two documents are judged as well, as far as the corpus allows.
-    Values of the same documents have the same counts and are one ``sign``.  As n(t, v) is at most n(v), terms with
-    n(t) > n(v) (N / n(v))^(1 - DISCLOSURE) cannot reach the share and are left out before pairs are formed.
-    """
-    total = texts.count()
-    n = F.lit(float(max(total, 1)))
-    held = settle(once.select("key", "m", F.explode(F.array_distinct(F.transform("spans", value_name))).alias("value")))
-    mark = lambda seed: F.sum(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)))
-    values = settle(held.groupBy("value").agg(F.sum("m").alias("n_value"), F.concat_ws(":", F.sum("m"), mark(1), mark(2)).alias("sign")))
-    signs = held.join(values.filter(F.col("n_value") < total), "value").select("key", "sign", "n_value").distinct()
-    counts = settle(texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
-    own = settle(once.select("key", "m", F.explode("terms").alias("term"))).join(counts, "term")
-    few = F.col("n_term") <= 1.000001 * F.col("n_value") * F.pow(n / F.col("n_value"), F.lit(1 - DISCLOSURE))
-    most = values.filter(F.col("n_value") < total).agg(F.max(F.col("n_value") * F.pow(n / F.col("n_value"), F.lit(1 - DISCLOSURE)))).first()[0] or 0.0
-    own = settle(own.filter(F.col("n_term") <= 1.000001 * most))
-    pairs = own.join(settle(signs), "key").filter(few).groupBy("sign", "term").agg(F.sum("m").alias("both"), F.any_value("n_term").alias("n_term"), F.any_value("n_value").alias("n_value"))
-    mean = F.col("n_term").cast("double") * F.col("n_value") / n
-    share = F.log(F.col("both") / mean) / F.log(n / F.col("n_value"))
-    chance = F.col("both") - mean + F.col("both") * F.log(mean / F.col("both"))
-    return (pairs.filter((F.col("both") > mean) & (chance <= F.log(F.lit(CHANCE)))).select("term", share.alias("share"))
-            .filter(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share")))
-
-
-def masked(text: Column, spans: Column, told: Column) -> Column:
-    """The text with the union of its spans, in the order of start, then length, and the terms of ``told`` replaced.
+def masked(text: Column, spans: Column) -> Column:
+    """The text with the union of its spans, in the order of start, then length, replaced.
 
     A span that ends after an earlier one it overlaps adds its own label; one inside an earlier span adds nothing.
-    Values become the name of their kind; a term, wherever it stands outside them, becomes ``<term>`` or, between the two
-    thresholds, its initial and ``<term>``.
+    Values become the name of their kind; a term becomes ``<term>`` or, between the two thresholds, its initial and ``<term>``.
     """
-    def one(part: Column) -> Column:
-        share = F.try_element_at(told, F.lower(part))
-        return F.when(share.isNull(), part).when(share < REMOVAL, F.concat(F.substring(part, 1, 1), F.lit("<term>"))).otherwise("<term>")
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
-    def gap(piece: Column) -> Column:
-        parts = F.regexp_extract_all(piece, F.lit(ANY_TERM + r"|[^\p{L}\p{N}]+"), F.lit(0))
-        return F.when(told.isNull(), piece).otherwise(F.array_join(F.transform(parts, one), ""))
+    def label(s: Column) -> Column:
+        return F.concat(F.when(s["share"] < REMOVAL, F.substring(s["value"], 1, 1)).otherwise(""), F.get(names, s["kind"]))
 
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    done = _gaps(text, F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), gap, lambda s: F.get(names, s["kind"]))
-    return F.when(spans.isNotNull() | told.isNotNull(), done).otherwise(text)
+    return F.when(F.size(spans) > 0, _gaps(text, spans, lambda p: p, label, True)).otherwise(text)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The input rows with personal data replaced in ``text`` (and ``n_chars`` brought in line); NULL texts stay.
-
-    Terms that disclose a value are found over whole documents (``telling``) and replaced at every place of every document,
-    also of those without the value.
-    """
-    text = F.col("text")
-    key = F.md5(text.cast("binary")).alias("key")
-    possible = F.coalesce(reduce(or_, [may(text) for _, _, may, _ in FINDERS]), F.lit(False))
-    seen = docs.filter(possible).select(key, "text").groupBy("key").agg(F.count("*").alias("m"), F.any_value("text").alias("text"))
-    seen = seen.withColumn("spans", base_spans(text)).filter(F.size("spans") > 0)
-    once = settle(seen.select("key", "m", "spans", terms_of(_gaps(text, F.col("spans"), lambda p: p, lambda s: F.lit(" "))).alias("terms")))
-    told = settle(telling(once, docs.select("text")))
-    hits = (docs.select(key, F.explode(terms_of(text)).alias("term")).join(told, "term").groupBy("key")
-            .agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told")))
-    marks = (once.select("key", "spans", F.lit(None).cast("map<string,double>").alias("told")).unionByName(hits.select("key", F.lit(None).cast(f"array<{SPAN}>").alias("spans"), "told"))
-             .groupBy("key").agg(F.any_value("spans", F.lit(True)).alias("spans"), F.any_value("told", F.lit(True)).alias("told")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, key).join(settle(marks), "key", "left").select("row", masked(F.col("row.text"), F.col("spans"), F.col("told")).alias("text"),
-                                                                         (F.col("spans").isNotNull() | F.col("told").isNotNull()).alias("any"))
+    """The input rows with personal data and disclosing terms replaced in ``text`` (and ``n_chars`` brought in line); NULL texts stay."""
+    rows = annotate(docs).select("row", masked(F.col("row.text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("any"))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("any"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -82,7 +82,7 @@ QUERIES = {
     "op11_source_divergence": op11, "op12_exact_dedup": op12, "op13_phrase_mining": op13,
 }
 
-_TERM = r"[\p{L}\p{N}]{4,}"
+_TERM = r"[\p{L}\p{N}]+"
 _FITS = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
 
 SQL = {
@@ -121,7 +121,7 @@ r AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND f
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN again THEN first_id END AS refers_to FROM r""",
     "op4_pii_sanitise": rf"""
-WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT *, min(r) OVER (PARTITION BY text) AS k FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)),
 found AS ({" UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM t" for k, p in enumerate((
     "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "[0-9](?:[ -]?[0-9])+", "[+][0-9][ ().0-9-]+[0-9]")))}),
 flat AS (SELECT r, kind, unnest(m) AS v, unnest(p[1:len(m)]) AS gap, unnest(range(len(m))) AS j FROM found WHERE len(m) > 0),
@@ -131,18 +131,22 @@ base AS (SELECT r, kind, v, e - length(v) AS s, e, kind || ':' || CASE WHEN kind
     WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''),
         lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) > 4 THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0
     WHEN 3 THEN length(digits) BETWEEN 8 AND 15 ELSE true END),
-cut AS (SELECT r, length(text) AS n, regexp_extract_all(text, '{_TERM}') AS m, string_split_regex(text, '{_TERM}') AS p FROM t WHERE r IN (SELECT r FROM base)),
-terms AS (SELECT r, n, lower(v) AS term, CAST(sum(length(gap) + length(v)) OVER (PARTITION BY r ORDER BY j) AS BIGINT) AS e, length(v) AS size
-    FROM (SELECT r, n, unnest(m) AS v, unnest(p[1:len(m)]) AS gap, unnest(range(len(m))) AS j FROM cut WHERE len(m) > 0)),
-sided AS (SELECT b.r, b.name, term, x.e - size AS s, x.e, greatest(b.s - 64, 0) AS low, least(b.e + 64, n) AS high, n, b.s AS bs, b.e AS be FROM base b JOIN terms x ON b.r = x.r),
-near AS (SELECT DISTINCT r, name, term, s, e FROM sided x WHERE s >= low AND e <= high AND (s > low OR low = 0) AND (e < high OR high = n) AND (e <= bs OR s >= be)
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND x.s < b.e AND x.e > b.s)),
-pairs AS (SELECT name, term, count(DISTINCT r) AS n_both FROM near GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
-n_value AS (SELECT name, count(DISTINCT r) AS n_value FROM base GROUP BY 1),
-n_term AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM t) GROUP BY 1),
-telling AS (SELECT name, term FROM pairs JOIN n_value USING (name) JOIN n_term USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM t)
-    WHERE n_value < n AND ln(n * n_both / (n_term * n_value)) / ln(n / n_value) >= 0.9),
-spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT DISTINCT r, 4, s, e FROM near JOIN telling USING (name, term)),
+copies AS (SELECT k, count(*) AS m FROM t GROUP BY k),
+held AS (SELECT DISTINCT k, name FROM base JOIN t USING (r)),
+n_value AS (SELECT name, sum(m) AS n_value FROM held JOIN copies USING (k) GROUP BY name),
+n_term AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT r, lower(unnest(regexp_extract_all(text, '{_TERM}'))) AS term FROM t) GROUP BY term),
+gaps AS (SELECT r, a, b FROM (
+    SELECT r, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, s AS b FROM base
+    UNION ALL SELECT r, coalesce(max(e), 0), any_value(length(text)) FROM t LEFT JOIN base USING (r) GROUP BY r) WHERE a < b),
+cut AS (SELECT r, a, regexp_extract_all(piece, '{_TERM}') AS m, string_split_regex(piece, '{_TERM}') AS p FROM (SELECT r, a, substring(text, a + 1, b - a) AS piece FROM gaps JOIN t USING (r))),
+places AS (SELECT r, lower(v) AS term, e - length(v) AS s, e FROM (SELECT r, v, a + CAST(sum(length(gap) + length(v)) OVER (PARTITION BY r, a ORDER BY j) AS BIGINT) AS e
+    FROM (SELECT r, a, unnest(m) AS v, unnest(p[1:len(m)]) AS gap, unnest(range(len(m))) AS j FROM cut WHERE len(m) > 0))),
+own AS (SELECT DISTINCT k, term FROM places JOIN t USING (r) WHERE r IN (SELECT r FROM base)),
+pairs AS (SELECT name, term, sum(m) AS n_both, CAST(count(*) AS DOUBLE) AS x FROM held JOIN own USING (k) JOIN copies USING (k) GROUP BY 1, 2),
+weighed AS (SELECT *, n_term * n_value / n AS mean FROM pairs JOIN n_value USING (name) JOIN n_term USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM t),
+    (SELECT CAST((SELECT count(*) FROM n_value) * (SELECT count(*) FROM n_term) AS DOUBLE) AS tests)),
+telling AS (SELECT DISTINCT term FROM weighed WHERE n_value < n AND x > mean AND x - mean + x * ln(mean / x) <= ln(0.01 / tests) AND ln(n_both / mean) / ln(n / n_value) >= 0.9),
+spans AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, 4, s, e FROM places JOIN telling USING (term)),
 listed AS (SELECT r, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
     string_agg(label, ',' ORDER BY kind, s) FILTER (kind < 4) AS base_list, string_agg(label, ',' ORDER BY kind, s) AS span_list
     FROM (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e AS label FROM spans) GROUP BY r)

@@ -68,7 +68,7 @@ def pii_base(text):
 
 
 def terms(text):
-    """Maximal runs of four or more letters and digits, with positions; Unicode letters and decimal or other numbers."""
+    """Maximal runs of letters and digits, with positions; Unicode letters and decimal or other numbers."""
     import unicodedata
     out, start = [], None
     for i, c in enumerate(text + " "):
@@ -76,38 +76,68 @@ def terms(text):
         if inside and start is None:
             start = i
         if not inside and start is not None:
-            if i - start >= 4:
-                out.append((text[start:i].lower(), start, i))
+            out.append((text[start:i].lower(), start, i))
             start = None
     return out
 
 
-def pii(texts, context=64, support=3, disclosure=0.9):
-    total, spans, near, n_value, n_term, both = len(texts), [], [], Counter(), Counter(), Counter()
-    for text in texts:
-        text = text or ""
+def outside(text, base):
+    """Terms of the pieces between the spans of ``base``, with their positions in the text."""
+    covered = {i for s in base for i in range(s[1], s[2])}
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and j not in covered:
+            j += 1
+        out += [(t, a + i, b + i) for t, a, b in terms(text[i:j])]
+        i = max(j, i + 1)
+    return out
+
+
+def disclosing(texts, chance=0.01, disclosure=0.9):
+    """Greatest share of each term that gives away a protected value."""
+    total, n_value, n_term, both, kinds = len(texts), Counter(), Counter(), Counter(), Counter()
+    for text, m in Counter(t or "" for t in texts).items():
         base = pii_base(text)
-        name = lambda s: (s[0], re.sub("[^0-9]", "", s[3]) if s[0] in ("card", "phone") else s[3].lower())
-        found = []
-        for s in base:
-            for t, a, b in terms(text):
-                left, right = max(s[1] - context, 0), min(s[2] + context, len(text))
-                inside = left <= a and b <= right and (a > left or left == 0) and (b < right or right == len(text)) and (b <= s[1] or a >= s[2])
-                if inside and not any(a < x[2] and b > x[1] for x in base):
-                    found.append((name(s), t, a, b))
-        spans.append(base)
-        near.append(found)
-        n_value.update({name(s) for s in base})
-        n_term.update({t for t, _, _ in terms(text.lower())})
-        both.update({(v, t) for v, t, _, _ in found})
-    share = {}
+        names = {(s[0], re.sub("[^0-9]", "", s[3]) if s[0] in ("card", "phone") else s[3].lower()) for s in base}
+        own = {t for t, _, _ in outside(text, base)}
+        n_term.update({t: m for t, _, _ in terms(text)})
+        n_value.update({v: m for v in names})
+        both.update({(v, t): m for v in names for t in own})
+        kinds.update({(v, t): 1 for v in names for t in own})
+    tests, out = max(len(n_term) * len(n_value), 1), {}
     for (v, t), n in both.items():
-        if n >= support and n_value[v] < total and n_term[t]:
-            share[v, t] = math.log(total * n / (n_term[t] * n_value[v])) / math.log(total / n_value[v])
-    out = []
-    for base, found in zip(spans, near):
-        extra = sorted({(a, b) for v, t, a, b in found if share.get((v, t), 0) >= disclosure})
-        out.append([f"{k}:{a}:{b}" for k, a, b, _ in base] + [f"term:{a}:{b}" for a, b in extra])
+        mean, x = n_term[t] * n_value[v] / total, kinds[v, t]
+        if n_value[v] < total and x > mean and x - mean + x * math.log(mean / x) <= math.log(chance / tests):
+            share = math.log(n / mean) / math.log(total / n_value[v])
+            if share >= disclosure:
+                out[t] = max(share, out.get(t, 0))
+    return out
+
+
+def pii(texts):
+    """All spans of every text: values by kind and start, then terms."""
+    told, out = disclosing(texts), []
+    for text in texts:
+        base = pii_base(text)
+        out.append([f"{k}:{a}:{b}" for k, a, b, _ in base] + [f"term:{a}:{b}" for t, a, b in outside(text or "", base) if t in told])
+    return out
+
+
+def sanitised(texts):
+    told, out = disclosing(texts), []
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        base = pii_base(text)
+        marks = [(a, -b, f"<{k}>") for k, a, b, _ in base]
+        marks += [(a, -b, ("" if told[t] >= 0.99 else text[a]) + "<term>") for t, a, b in outside(text, base) if t in told]
+        done, at = "", 0
+        for a, b, label in sorted(marks):
+            if -b > at:
+                done, at = done + text[at:max(a, at)] + label, -b
+        out.append(done + text[at:])
     return out
 
 
