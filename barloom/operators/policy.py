@@ -278,5 +278,7 @@ def scan_buffers(frame: DataFrame, fee: Fee, buffers: list[float], layout: Layou
 
 
 def best_candidate(scan: DataFrame, key: list[str], objective: str = "objective") -> DataFrame:
+    """The candidate of the highest objective; of those equal to ``TIE_DIGITS`` digits the one with the smallest buffer."""
     names = [c for c in scan.columns if c not in key]
-    return scan.groupBy(*key).agg(F.max_by(F.struct(*names), F.struct(F.col(objective), -F.col("buffer"))).alias("r")).select(*key, "r.*")
+    rank = F.struct(F.round(objective, TIE_DIGITS), -F.col("buffer"))
+    return scan.groupBy(*key).agg(F.max_by(F.struct(*names), rank).alias("r")).select(*key, "r.*")

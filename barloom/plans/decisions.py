@@ -155,7 +155,7 @@ def policy_replay(t):
     return _scan(t)
 
 
-@query("best_buffer", "POL12", "symbol:s buffer objective:d4", "SELECT symbol, arg_max(buffer, objective) AS buffer, max(objective) AS objective FROM replayed GROUP BY 1")
+@query("best_buffer", "POL12", "symbol:s buffer objective:d4", "SELECT symbol, buffer, objective FROM replayed QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(objective, 10) DESC, buffer) = 1")
 def best_buffer(t):
     return po.best_candidate(_scan(t), ["symbol"])
 
