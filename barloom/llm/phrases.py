@@ -1,6 +1,6 @@
 """Phrases that stand together more often than chance: dynamic itemset counting over cyclic shard scans.
 
-The documents are dealt to shards, and each scan reads the next shard, all lengths at once.  A word is counted from the
+The documents are dealt to shards, their words numbered once, and each scan reads the next shard, all lengths at once.  A word is counted from the
 first scan on; a longer phrase becomes active in the scan after both its subphrases, without the last and without the
 first word, have reached the threshold, and is counted for one full cycle, so its count is exact whenever it began.
 
@@ -27,7 +27,8 @@ LEAST = 100                         # occurrences
 TOP = 2000                          # phrases of a language
 SHARDS = 3
 CELL_BITS = 24                      # a table of 16 MB
-BLOCK_WORDS = 1 << 22               # words that a task holds as numbers
+PACK_WORDS = 1 << 22                # words of the texts that are numbered together
+BLOCK_WORDS = 1 << 22               # words that a task counts together
 PIECE = 1 << 22                     # bytes that are split at a time
 BATCH_ROWS = 1 << 16
 NEVER = 255                         # cell that nothing has reached
@@ -90,19 +91,53 @@ def _distinct(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     return at[first], n
 
 
-def count_block(ids: np.ndarray, until: int, words: list[bytes], lang: str, reached: np.ndarray, step: int, shards: int) -> Iterator[tuple]:
-    """``(phrases, counts, cells, starts)`` of all phrases that are active in this scan and begin before ``until``, by length.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks ``shard, lang, words, hashes, ids, tail``: the words of many texts as numbers, and each distinct word once.
+
+    ``ids`` has 0 between pieces. A text that goes on in the next block leaves its last words in both; they are the ``tail``
+    of the first, in which no phrase begins.
+    """
+    held, size, digest = {}, 0, xxhash.xxh64_intdigest
+
+    def block(key, tail: int = 0):
+        (shard, lang), (numbers, arrays) = key, held.pop(key)
+        seed, words = digest(lang.encode()), list(numbers)
+        hashes = np.fromiter((digest(w, seed) for w in words), np.uint64, count=len(words))
+        ids = np.concatenate(arrays)
+        tail = min(tail, len(ids))
+        if tail:
+            rest = _Numbers()
+            held[key] = rest, [np.array([rest[words[i]] for i in ids[len(ids) - tail:]], np.int32)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([hashes.tobytes()], pa.binary()),
+             pa.array([ids.tobytes()], pa.binary()), pa.array([tail], pa.int32())], names=["shard", "lang", "words", "hashes", "ids", "tail"])
+
+    for batch in batches:
+        for shard, lang, text in zip(batch["shard"].to_pylist(), batch["lang"].to_pylist(), batch["text"]):
+            key, long = (shard, lang), 0
+            held.setdefault(key, (_Numbers(), []))
+            for ids in _numbered(text.as_py(), lambda: held[key][0]):
+                held[key][1].append(ids)
+                size, long = size + len(ids), long + len(ids)
+                if long >= PACK_WORDS:
+                    yield block(key, LONGEST - 1)
+                    size, long = size - long, 0
+            if size >= PACK_WORDS:
+                yield from [block(k) for k in list(held)]
+                size = 0
+    yield from [block(k) for k in list(held)]
+
+
+def count_block(ids: np.ndarray, fresh: np.ndarray, names: pa.Array, of_word: np.ndarray, reached: np.ndarray, step: int, shards: int) -> Iterator[tuple]:
+    """``(phrases, counts, cells, starts)`` of all phrases that are active in this scan and begin at a ``fresh`` place, by length.
 
     ``ids`` are word numbers with 0 between pieces.
     """
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    digest = xxhash.xxh64_intdigest
-    of_word = np.fromiter((digest(w, seed) for w in words), np.uint64, count=len(words))
-    names, word_cells = pa.array(words, pa.binary()), _cells(of_word)
+    word_cells = _cells(of_word)
     since = reached[word_cells].copy()
     since[0] = NEVER
     if step <= shards:
-        n = np.bincount(ids[:until], minlength=len(words))
+        n = np.bincount(ids[fresh], minlength=len(names))
         n[0] = 0
         own = np.flatnonzero(n)
         yield names.take(pa.array(own)), n[own], word_cells[own], np.ones(len(own), np.int64)
@@ -116,7 +151,7 @@ def count_block(ids: np.ndarray, until: int, words: list[bytes], lang: str, reac
         start = np.maximum(since[both], since[both + 1]).astype(np.int64) + 1
         at = at[both]
         hashes = _mixed(hashes[both], of_word[ids[at + size - 1]])
-        active = np.flatnonzero((start + shards > step) & (at < until))
+        active = np.flatnonzero((start + shards > step) & fresh[at])
         if len(active):
             first, n = _distinct(ids, at[active], size)
             where = np.searchsorted(at, first)
@@ -127,38 +162,43 @@ def count_block(ids: np.ndarray, until: int, words: list[bytes], lang: str, reac
         at, hashes, since = at[known], hashes[known], since[known]
 
 
+def _merged(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Blocks of one language as one: ids in common numbers, where phrases may begin, the words and their hashes."""
+    words = pa.concat_arrays([w for w, *_ in blocks]).dictionary_encode()
+    number = words.indices.to_numpy()
+    of_word = np.empty(len(words.dictionary), np.uint64)
+    of_word[number] = np.concatenate([h for _, h, *_ in blocks])
+    ids, fresh, at = [], [], 0
+    for own, _, numbers, tail in blocks:
+        ids += [number[at:at + len(own)][numbers], np.zeros(1, number.dtype)]
+        fresh += [np.arange(len(numbers)) < len(numbers) - tail, np.zeros(1, bool)]
+        at += len(own)
+    return np.concatenate(ids), np.concatenate(fresh), words.dictionary, of_word
+
+
 def _scan(step: int, shards: int, table):
     """Worker function: rows ``lang, phrase, n, cell, start`` of the phrases that are active in this scan."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, held, size = table.value, {}, 0
 
-        def counted(unfinished: str | None = None):
-            """Counts of all that is held; the last words of a text that goes on are held again, for phrases that begin there."""
-            rest = []
-            for lang, (numbers, arrays) in held.items():
-                ids, words = np.concatenate(arrays), list(numbers)
-                tail = LONGEST - 1 if lang == unfinished else 0
-                rest += [words[i] for i in ids[len(ids) - tail:]]
-                for phrase, n, cell, start in count_block(ids, len(ids) - tail, words, lang, reached, step, shards):
+        def counted():
+            for lang, blocks in held.items():
+                for phrase, n, cell, start in count_block(*_merged(blocks), reached, step, shards):
                     columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase, pa.array(n, pa.int64()),
                                pa.array(cell.astype(np.int32)), pa.array(start.astype(np.int32))]
                     whole = pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n", "cell", "start"])
                     for a in range(0, len(n), BATCH_ROWS):
                         yield whole.slice(a, BATCH_ROWS)
             held.clear()
-            if unfinished is not None:
-                numbers = _Numbers()
-                held[unfinished] = numbers, [np.array([numbers[w] for w in rest], np.int32)]
 
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-                held.setdefault(lang, (_Numbers(), []))
-                for ids in _numbered(text.as_py(), lambda: held[lang][0]):
-                    held[lang][1].append(ids)
-                    size += len(ids)
-                    if size >= BLOCK_WORDS:
-                        yield from counted(lang)
-                        size = 0
+            for lang, words, hashes, ids, tail in zip(*[batch[c] for c in ("lang", "words", "hashes", "ids", "tail")]):
+                numbers = np.frombuffer(ids.as_buffer(), np.int32)
+                held.setdefault(lang.as_py(), []).append((words.values, np.frombuffer(hashes.as_buffer(), np.uint64), numbers, tail.as_py()))
+                size += len(numbers)
+                if size >= BLOCK_WORDS:
+                    yield from counted()
+                    size = 0
         yield from counted()
     return run
 
@@ -183,14 +223,15 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataF
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "shards")
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"),
                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    rows.write.partitionBy("shard").parquet(path)
-    dealt = spark.read.schema("lang string, text binary, shard int").parquet(path)
+    schema = "shard int, lang string, words array<binary>, hashes binary, ids binary, tail int"
+    rows.mapInArrow(_packed, schema).write.partitionBy("shard").parquet(path)
+    dealt = spark.read.schema(schema).parquet(path)
     table = np.full(1 << CELL_BITS, NEVER, np.uint8)
     step, last, open_, done = 0, 0, None, []
     while step < max(shards, last + shards):
         step += 1
         shared = spark.sparkContext.broadcast(table)
-        seen = dealt.filter(F.col("shard") == (step - 1) % shards).select("lang", "text")
+        seen = dealt.filter(F.col("shard") == (step - 1) % shards).drop("shard")
         counts = (seen.mapInArrow(_scan(step, shards, shared), "lang string, phrase binary, n bigint, cell int, start int")
                   .withColumn("phrase", F.col("phrase").cast("string")))
         counts = counts if open_ is None else counts.unionByName(open_)
