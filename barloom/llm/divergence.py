@@ -21,7 +21,7 @@ LEAST_DOCS = 3                      # documents of a language that a term must s
 TOP_TERMS = 200
 UNIT = 1_000_000_000                # parts of a probability
 PIECE = 1 << 20                     # bytes of a text that are split at a time
-FLUSH = 1 << 18                     # terms that a task holds before it hands them on
+FLUSH = 1 << 20                     # terms that a task holds before it hands them on
 BLOCK_TERMS = 2048                  # terms of a matrix
 TILE_SOURCES = 64                   # sources of a matrix
 
@@ -59,8 +59,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = term_counts(text.as_py())
             n, docs = held[lang, source]
             before = len(n)
+            known = n.get
             for term, count in own.items():
-                n[term] += count
+                n[term] = known(term, 0) + count
             docs.update(own.keys())
             size += len(n) - before
             if size >= FLUSH:
