@@ -3,8 +3,8 @@
 The mass of a price bin decays with every step, so a profile is one constant-decay
 recursion per bin.  Steps are cut into chunks: chunk totals per bin are summed
 map-side, the block scan of ``ordered.decayed`` carries them over chunks, and
-each chunk's task replays its own rows on top of its sparse carry-in.  No task
-sees more than one chunk of steps and one chunk of rows.
+each chunk's task replays its own rows, a block at a time, on top of the carries
+of the bins it can read.  No task sees more than one chunk of steps and one chunk of rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from barloom.operators.ordered import BARS, Layout, decayed, index_rows, running
 
 HALF_LIVES = {"short": 1440, "medium": 10080, "long": 43200, "all": None}
 _SCALE_MIN = 1e-3
+_SCALE_ROOM = 230.0                 # scales up to e^230 inside a block of rows
+BLOCK_ROWS = 128                    # rows that are replayed at once
 _GONE = 1e-130  # a chunk decay this small leaves nothing of the carry in a double
 
 
@@ -68,40 +71,72 @@ class ReactionProfile:
 _MASS = "array<struct<kind:int,bin:int,mass:double>>"
 
 
-def volume_mass(cfg: VolumeProfile):
-    """Candle volume spread over price bins by normal probability between low and high."""
-    erf = np.vectorize(math.erf, otypes=[float])
-
-    @F.pandas_udf(_MASS)
-    def spread(high: pd.Series, low: pd.Series, volume: pd.Series) -> pd.Series:
-        out = []
-        for h, lo, v in zip(high.to_numpy(float), low.to_numpy(float), volume.to_numpy(float)):
-            if not (math.isfinite(h) and math.isfinite(lo) and math.isfinite(v)) or v == 0.0:
-                out.append([])
-                continue
-            mid = 0.5 * (h + lo)
-            at = min(max(int((mid - cfg.price_min) / cfg.step), 0), cfg.bins - 1)
-            rows = None
-            if h > lo and abs(h - lo) > 1e-12:
-                first, last = (min(max(int((p - cfg.price_min) / cfg.step), 0), cfg.bins - 1) for p in (lo, h))
-                idx = np.arange(first, last + 1)
-                left = np.maximum(lo, cfg.price_min + idx * cfg.step)
-                right = np.minimum(h, cfg.price_min + (idx + 1) * cfg.step)
-                sd = max((h - lo) / cfg.sigma_divisor, cfg.min_sigma) * math.sqrt(2.0)
-                w = np.where(right > left, 0.5 * (erf((right - mid) / sd) - erf((left - mid) / sd)), 0.0)
-                if w.sum() > 0.0:
-                    keep = w > 0.0
-                    rows = [(0, int(b), float(m)) for b, m in zip(idx[keep], v * w[keep] / w.sum())]
-            out.append(rows if rows is not None else [(0, at, v)])
-        return pd.Series([[{"kind": k, "bin": b, "mass": m} for k, b, m in r] for r in out])
-
-    return spread
+# Coefficients of rational approximations to the error function (W. J. Cody, 1969), highest power first.
+_ERF_SMALL = ((1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+              (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3))
+_ERF_MIDDLE = ((2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+                8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+               (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+                3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3))
+_ERF_LARGE = ((1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+              (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3))
+_ERF_ONE = 6.0                      # from here on the error function is 1 in a double
+
+
+def erf(x: Column) -> Column:
+    """Error function as a column, right to the last digits of a double."""
+    def ratio(z: Column, parts) -> Column:
+        over, under = (reduce(lambda acc, c: acc * z + F.lit(c), p[1:], F.lit(p[0])) for p in parts)
+        return over / under
+
+    y = F.abs(x)
+    middle = 1.0 - F.exp(-y * y) * ratio(y, _ERF_MIDDLE)
+    z = 1.0 / (y * y)
+    large = 1.0 - F.exp(-y * y) / y * (F.lit(1.0 / math.sqrt(math.pi)) - z * ratio(z, _ERF_LARGE))
+    upper = F.when(y <= 4.0, middle).when(y < _ERF_ONE, large).otherwise(1.0)
+    return F.when(y <= 0.46875, x * ratio(x * x, _ERF_SMALL)).otherwise(F.signum(x) * upper)
+
+
+def _inside(price: Column, cfg) -> Column:
+    """Bin of a price, the nearest one for prices outside the range."""
+    return F.least(F.greatest(F.floor((price - cfg.price_min) / cfg.step), F.lit(0)), F.lit(cfg.bins - 1)).cast("int")
+
+
+def volume_mass(cfg: VolumeProfile) -> Column:
+    """Candle volume spread over price bins by normal probability between low and high; none for rows without volume.
+
+    The probability is taken once at each bin edge inside the candle; a candle without height gives all to one bin.
+    """
+    h, lo, v = F.col("high"), F.col("low"), F.col("volume")
+    mid = 0.5 * (h + lo)
+    sd = F.greatest((h - lo) / cfg.sigma_divisor, F.lit(cfg.min_sigma)) * math.sqrt(2.0)
+    first = _inside(lo, cfg)
+    edges = F.transform(F.sequence(first, F.greatest(_inside(h, cfg), first) + 1), lambda k: (
+        F.least(F.greatest(F.lit(cfg.price_min) + k * cfg.step, lo), h) - mid) / sd)
+    edges = F.transform(edges, lambda x: 0.5 * erf(x))              # one name for what the formula repeats
+
+    def between(at: Column) -> Column:
+        return F.transform(F.slice(at, 2, F.size(at) - 1), lambda e, i: F.struct((first + i).alias("bin"), (e - F.get(at, i)).alias("w")))
+
+    parts = F.get(F.transform(F.array(edges), between), 0)          # bound to a name, so edges are computed once
+
+    def row(bin_: Column, mass: Column) -> Column:
+        return F.struct(F.lit(0).alias("kind"), bin_.alias("bin"), mass.alias("mass"))
+
+    def shared(found: Column) -> Column:
+        total = F.array(F.aggregate(found, F.lit(0.0), lambda acc, p: acc + p["w"]))
+        return F.get(F.transform(total, lambda t: F.when(t > 0, F.transform(F.filter(found, lambda p: p["w"] > 0), lambda p: row(p["bin"], v * p["w"] / t)))), 0)
+
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    spread = F.get(F.transform(F.array(F.when(h - lo > 1e-12, parts)), shared), 0)
+    some = F.coalesce(spread, F.array(row(_inside(mid, cfg), v)))
+    return F.when(finite(h) & finite(lo) & finite(v) & (v != 0), some).otherwise(F.array()).cast(_MASS)
 
 
 def volume_steps(bars: DataFrame, cfg: VolumeProfile) -> DataFrame:
     """Decay advances only on rows with a valid non-zero volume."""
     valid = F.coalesce((F.col("volume") != 0) & ~F.isnan("volume") & F.col("high").isNotNull() & F.col("low").isNotNull(), F.lit(False))
-    return bars.withColumn("_m", volume_mass(cfg)("high", "low", "volume")).withColumn("_valid", valid)
+    return bars.withColumn("_m", volume_mass(cfg)).withColumn("_valid", valid)
 
 
 def reaction_strengths(cfg: ReactionProfile) -> dict[str, Column]:
@@ -191,16 +226,50 @@ def _carries(rows: DataFrame, half_lives: dict, layout: Layout) -> DataFrame:
         F.greatest(*[F.col(n) for n in half_lives], F.lit(0.0)) > 0)
 
 
-def _replay(steps: DataFrame, half_lives: dict, kinds: int, bins: int, cols: list[str], read: Callable, names: list[str],
-            layout: Layout) -> DataFrame:
+def masses(carry: np.ndarray, decays: np.ndarray, k: np.ndarray, row: np.ndarray, col: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Mass of every column after every row, ``(horizons, rows, columns)``, from the mass before them and what each row adds.
+
+    ``k`` counts the decay steps up to each row; the recursion is a scaled running sum over the rows.
+    """
+    n, width = len(k), carry.shape[1]
+    out = np.empty((len(decays), n, width))
+    for h, a in enumerate(decays):
+        added = np.bincount(row * width + col, weights=mass * a ** -k[row], minlength=n * width).astype(float).reshape(n, width)
+        added[0] += carry[h]
+        out[h] = np.cumsum(added, axis=0) * (a ** k)[:, None]
+    return out
+
+
+def rows_at_once(decays: np.ndarray) -> int:
+    """Rows whose scales stay far inside a double."""
+    return max(1, min(BLOCK_ROWS, int(_SCALE_ROOM / max(-math.log(min(decays)), 1e-9))))
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of arrays, and the row of each."""
+    sizes = np.array([0 if v is None else len(v) for v in column], np.int64)
+    values = np.concatenate([np.asarray(v) for v in column if v is not None and len(v)]) if sizes.sum() else np.zeros(0)
+    return values, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def window_of(at: np.ndarray, reach: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bins within ``reach`` of each row's bin, and which of them exist; none around a negative bin."""
+    near = at[:, None] + np.arange(-reach, reach + 1)[None, :]
+    return near, (near >= 0) & (near < bins) & (at >= 0)[:, None]
+
+
+def _replay(steps: DataFrame, half_lives: dict, kinds: int, bins: int, reach: int, at: Column, read: Callable, names: list[str], layout: Layout) -> DataFrame:
+    """``names`` of every row, read by ``read`` from the masses within ``reach`` bins of the row's bin ``at``.
+
+    A task has one chunk of steps, goes over it in blocks of rows, and gets carries of the bins that the chunk can read.
+    """
     key = list(layout.key)
-    rows = settle(_chunk_rows(steps, layout))
-    carry = _carries(rows, half_lives, layout)
-    parts = rows.select(*key, "_chunk", "_part").distinct()
-    carry = carry.join(parts, [*key, "_chunk"])
+    rows = settle(_chunk_rows(steps.withColumn("_b", F.coalesce(at, F.lit(-1))), layout))
+    parts = rows.groupBy(*key, "_chunk", "_part").agg(F.min(F.when(F.col("_b") >= 0, F.col("_b"))).alias("_low"), F.max("_b").alias("_high"))
+    carry = _carries(rows, half_lives, layout).join(parts, [*key, "_chunk"]).where(F.col("bin").between(F.col("_low") - reach, F.col("_high") + reach)).drop("_low", "_high")
     horizons, decays = list(half_lives), np.array([decay_of(h) for h in half_lives.values()])
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
-    group = [*key, "_chunk", "_part"]
+    group, size = [*key, "_chunk", "_part"], rows_at_once(decays)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -208,30 +277,34 @@ def _replay(steps: DataFrame, half_lives: dict, kinds: int, bins: int, cols: lis
         mass = np.zeros((kinds, len(horizons), bins))
         if len(right):
             mass[right["kind"].to_numpy(int)[:, None], np.arange(len(horizons))[None, :], right["bin"].to_numpy(int)[:, None]] = right[horizons].to_numpy(float)
-        scale = np.ones(len(horizons))
-        left = left.sort_values("_i")
-        idx, out = [], []
-        values = left[cols].to_numpy(float)
-        for i, m, ok, home, part, row in zip(left["_i"], left["_m"], left["_valid"], left["_home"], left["_part"], values):
-            if ok:
-                scale *= decays
-                low = scale < _SCALE_MIN
-                if low.any():
-                    mass[:, low, :] *= scale[low][None, :, None]
-                    scale[low] = 1.0
-                for c in (m if m is not None else ()):
-                    mass[c["kind"], :, c["bin"]] += c["mass"] / scale
-            if home == part:
-                idx.append(i)
-                out.append(read(mass, scale, row))
-        res = pd.DataFrame(np.array(out, float).reshape(len(idx), len(names)), columns=names)
-        for k in key:
-            res[k] = left[k].iloc[0]
-        res["_i"] = idx
-        return res[[*key, "_i", *names]]
+        scale, left, out = np.ones(len(horizons)), left.sort_values("_i"), []
+        for lo in range(0, len(left), size):
+            part = left.iloc[lo:lo + size]
+            k, b = np.cumsum(part["_valid"].to_numpy(int)), part["_b"].to_numpy(int)
+            (bin_, row), (kind, _), (w, _) = flat(part["_bin"]), flat(part["_kind"]), flat(part["_mass"])
+            near, there = window_of(b, reach, bins)
+            used = np.unique(np.concatenate([near[there], bin_.astype(np.int64)]))
+            where = np.minimum(np.searchsorted(used, np.where(there, near, 0)), max(len(used) - 1, 0))
+            seen = np.zeros((kinds, len(horizons), *near.shape))
+            for q in range(kinds if len(used) else 0):
+                mine = kind == q
+                after = masses(mass[q][:, used] * scale[:, None], decays, k, row[mine], np.searchsorted(used, bin_[mine]), w[mine])
+                seen[q] = np.where(there[None], np.take_along_axis(after, where[None].repeat(len(horizons), 0), axis=2), 0.0)
+                mass[q][:, used] = after[:, -1] / (scale * decays ** k[-1])[:, None]
+            scale = scale * decays ** k[-1]
+            low = scale < _SCALE_MIN
+            mass[:, low] *= scale[low][None, :, None]
+            scale[low] = 1.0
+            out.append(read(seen, b))
+        res = pd.DataFrame(np.concatenate(out), columns=names)
+        for c in key:
+            res[c] = left[c].iloc[0]
+        res["_i"] = left["_i"].to_numpy()
+        return res[(left["_home"] == left["_part"]).to_numpy()][[*key, "_i", *names]]
 
     carry = carry.withColumnsRenamed({c: f"c_{c}" for c in group})  # the two sides share lineage: own names per side
-    made = rows.groupBy(*group).cogroup(carry.groupBy(*[f"c_{c}" for c in group])).applyInPandas(
+    sent = rows.select(*group, "_i", "_home", "_valid", "_b", *[F.col(f"_m.{c}").alias(f"_{c}") for c in ("kind", "bin", "mass")])
+    made = sent.groupBy(*group).cogroup(carry.groupBy(*[f"c_{c}" for c in group])).applyInPandas(
         run, f"{types}, _i bigint, " + ", ".join(f"`{n}` double" for n in names))
     keep = [c for c in steps.columns if c not in ("_m", "_valid")]
     kept = rows.where("_home = _part").select(*dict.fromkeys([*keep, "_i"]))
@@ -252,50 +325,56 @@ def reaction_names(cfg: ReactionProfile) -> list[str]:
     return [f"rp_{h}_{part}" for h in cfg.half_lives for part in parts]
 
 
+def volume_bin(cfg: VolumeProfile) -> Column:
+    return _inside(0.5 * (F.col("high") + F.col("low")), cfg)
+
+
+def read_volume(cfg: VolumeProfile) -> Callable:
+    """Function of the masses around each row ``(kind, horizon, row, offset)`` and the rows' bins."""
+    shifts = np.array([s for s in range(-cfg.neighbors, cfg.neighbors + 1) if s])
+    reach = max(cfg.local_window, cfg.neighbors)
+    far = np.abs(np.arange(-reach, reach + 1)) > cfg.local_window
+
+    def read(seen: np.ndarray, b: np.ndarray) -> np.ndarray:
+        v, cur = seen[0], seen[0][:, :, reach]
+        at = np.clip(b[:, None] + shifts, 0, cfg.bins - 1) - b[:, None] + reach
+        near = np.take_along_axis(v, np.clip(at, 0, 2 * reach)[None].repeat(len(v), 0), axis=2)
+        local = np.where(far, 0.0, v)
+        below, above = local[:, :, :reach].sum(2), local[:, :, reach + 1:].sum(2)
+        tail = [np.log((above + cfg.eps) / (below + cfg.eps)), cur / (local.sum(2) + cfg.eps), cur / (local.max(2) + cfg.eps)]
+        out = np.concatenate([np.log((near + cfg.eps) / (cur + cfg.eps)[:, :, None]), np.stack(tail, 2)], 2)
+        out[:, b < 0] = np.nan
+        return out.transpose(1, 0, 2).reshape(len(b), -1)
+
+    return read
+
+
 def volume_profile_features(bars: DataFrame, cfg: VolumeProfile, layout: Layout = BARS) -> DataFrame:
-    """Log density ratios to the current bin, local above/below ratio, and shares of local window and peak."""
-    shifts = [s for s in range(-cfg.neighbors, cfg.neighbors + 1) if s]
-    names = volume_names(cfg)
+    """Log density ratios to the current bin, local above/below ratio, and shares of local window and peak; NULL without high and low."""
+    return _replay(volume_steps(bars, cfg), cfg.half_lives, 1, cfg.bins, max(cfg.local_window, cfg.neighbors), volume_bin(cfg), read_volume(cfg), volume_names(cfg), layout)
 
-    def read(mass, scale, row):
-        b = min(max(int((0.5 * (row[0] + row[1]) - cfg.price_min) / cfg.step), 0), cfg.bins - 1)
-        lo, hi = max(0, b - cfg.local_window), min(cfg.bins, b + cfg.local_window + 1)
-        near = np.clip(np.array([b + s for s in shifts]), 0, cfg.bins - 1)
-        local = mass[0, :, lo:hi] * scale[:, None]
-        cur = mass[0, :, b] * scale
-        ratios = np.log((mass[0][:, near] * scale[:, None] + cfg.eps) / (cur + cfg.eps)[:, None])
-        below, above = local[:, :b - lo].sum(1), local[:, b - lo + 1:].sum(1)
-        tail = np.stack([np.log((above + cfg.eps) / (below + cfg.eps)), cur / (local.sum(1) + cfg.eps), cur / (local.max(1) + cfg.eps)], 1)
-        return np.concatenate([ratios, tail], 1).ravel()
 
-    return _replay(volume_steps(bars, cfg), cfg.half_lives, 1, cfg.bins, ["high", "low"], read, names, layout)
+def read_reactions(cfg: ReactionProfile) -> Callable:
+    offset = np.arange(-cfg.local_window, cfg.local_window + 1)
+    dist = np.abs(offset).astype(float)
+    weight = 1.0 / (1.0 + dist) ** cfg.distance_power
 
+    def read(seen: np.ndarray, b: np.ndarray) -> np.ndarray:
+        def side(kind, which):
+            v = seen[kind] * np.where(which, weight, 0.0)
+            return v.sum(2), (v * dist).sum(2)
 
-def reaction_profile_features(bars: DataFrame, cfg: ReactionProfile, layout: Layout = BARS) -> DataFrame:
-    """Distance-weighted support and resistance on both sides, their imbalance, and two centre distances."""
-    names = reaction_names(cfg)
-
-    def read(mass, scale, row):
-        price = row[0]
-        b = int(math.floor((price - cfg.price_min) / cfg.step)) if cfg.price_min <= price <= cfg.price_max else -1
-        if not 0 <= b < cfg.bins:
-            return np.tile([0.0] * 5 + [np.nan] * 2, len(scale))
-        lo, hi = max(0, b - cfg.local_window), min(cfg.bins - 1, b + cfg.local_window)
-
-        def side(kind, a, z, sign):
-            dist = np.abs(np.arange(a, z) - b).astype(float)
-            v = mass[kind, :, a:z] * scale[:, None] / (1.0 + dist) ** cfg.distance_power
-            return v.sum(1), (v * dist).sum(1)
-
-        sb, sbn = side(0, lo, b, -1)
-        sa, _ = side(0, b + 1, hi + 1, 1)
-        rb, _ = side(1, lo, b, -1)
-        ra, ran = side(1, b + 1, hi + 1, 1)
+        (sb, sbn), (sa, _), (rb, _), (ra, ran) = side(0, offset < 0), side(0, offset > 0), side(1, offset < 0), side(1, offset > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
             cs, cr = np.where(sb > 0, sbn / sb, np.nan), np.where(ra > 0, ran / ra, np.nan)
-        return np.stack([sb, ra, sa, rb, sb + rb - ra - sa, cs, cr], 1).ravel()
+        return np.stack([sb, ra, sa, rb, sb + rb - ra - sa, cs, cr], 2).transpose(1, 0, 2).reshape(len(b), -1)
 
-    return _replay(reaction_steps(bars, cfg), cfg.half_lives, 2, cfg.bins, ["close"], read, names, layout)
+    return read
+
+
+def reaction_profile_features(bars: DataFrame, cfg: ReactionProfile, layout: Layout = BARS) -> DataFrame:
+    """Distance-weighted support and resistance on both sides, their imbalance, and two centre distances."""
+    return _replay(reaction_steps(bars, cfg), cfg.half_lives, 2, cfg.bins, cfg.local_window, price_bin("close", cfg), read_reactions(cfg), reaction_names(cfg), layout)
 
 
 def reaction_snapshot_features(bars: DataFrame, cfg: ReactionProfile, layout: Layout = BARS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries: price profiles."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from barloom.operators import audit, profiles as pr
@@ -12,9 +14,37 @@ RP = pr.ReactionProfile(price_min=0.0, price_max=100.0, step=1.0, neighbors=2.5,
 HL = VP.half_lives
 
 
-@query("volume_profile_features", "PRF01 PRF02 PRF03", "symbol:s ts:t " + " ".join(
-    f"vp_{h}_{x}" for h in HL for x in ("log_density_ratio_to_current_bin_minus_1", "log_density_ratio_to_current_bin_plus_2",
-                                        "local_above_below_volume_log_ratio", "current_bin_volume_share_of_local_peak")))
+def _erf(x: str) -> str:
+    """The error function in SQL."""
+    def ratio(z, parts):
+        over, under = (reduce(lambda acc, c: f"({acc}*{z}+{c!r})", p[1:], repr(p[0])) for p in parts)
+        return f"({over}/{under})"
+
+    middle = f"1.0 - exp(-({x})*({x}))*{ratio(f'abs({x})', pr._ERF_MIDDLE)}"
+    return f"CASE WHEN abs({x}) <= 0.46875 THEN ({x})*{ratio(f'(({x})*({x}))', pr._ERF_SMALL)} WHEN abs({x}) <= 4 THEN sign({x})*({middle}) END"
+
+
+CTES["horizons"] = "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {pr.decay_of(x)!r}::DOUBLE)" for h, x in HL.items()) + ") v(horizon, decay)"
+CTES["candles"] = """SELECT *, least(greatest(floor((high+low)/2), 0), 99) AS b, sum((volume <> 0)::INT) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM hourly"""
+CTES["spread"] = f"""SELECT symbol, s, volume, b, bin, 0.5*(({_erf('hi')}) - ({_erf('lo')})) AS w FROM (
+    SELECT symbol, s, volume, b, bin, (greatest(low, bin) - (high+low)/2)/sd AS lo, (greatest(least(high, bin + 1), low) - (high+low)/2)/sd AS hi FROM (
+      SELECT *, (high-low)/6*sqrt(2) AS sd, unnest(range(least(greatest(floor(low), 0), 99)::BIGINT, least(greatest(floor(high), 0), 99)::BIGINT + 1)) AS bin
+      FROM candles WHERE volume <> 0 AND high - low > 1e-12))"""
+CTES["volume_mass"] = """SELECT symbol, s, bin, volume*w/total AS mass FROM (SELECT *, sum(w) OVER (PARTITION BY symbol, s) AS total FROM spread WHERE w > 0)
+    UNION ALL SELECT symbol, s, b, volume FROM candles WHERE volume <> 0 AND (symbol, s) NOT IN (SELECT (symbol, s) FROM spread WHERE w > 0)"""
+CTES["around"] = """SELECT r.symbol, r.ts, r.b, horizon, bin, sum(mass*pow(decay, r.s - m.s)) AS mass FROM candles r JOIN volume_mass m ON m.symbol = r.symbol AND m.s <= r.s AND abs(m.bin - r.b) <= 20,
+    horizons GROUP BY ALL"""
+CTES["volume_read"] = """SELECT c.symbol, c.ts, h.horizon, coalesce(sum(mass) FILTER (bin = c.b), 0) AS cur, coalesce(sum(mass) FILTER (bin = greatest(c.b - 1, 0)), 0) AS m1, coalesce(sum(mass) FILTER (bin = least(c.b + 2, 99)), 0) AS p2,
+    coalesce(sum(mass) FILTER (bin > c.b), 0) AS above, coalesce(sum(mass) FILTER (bin < c.b), 0) AS below, coalesce(max(mass), 0) AS peak, coalesce(sum(mass), 0) AS near
+    FROM candles c, horizons h LEFT JOIN around a ON a.symbol = c.symbol AND a.ts = c.ts AND a.horizon = h.horizon GROUP BY ALL"""
+_VP4 = {"log_density_ratio_to_current_bin_minus_1": "ln((m1 + 1e-6)/(cur + 1e-6))", "log_density_ratio_to_current_bin_plus_2": "ln((p2 + 1e-6)/(cur + 1e-6))",
+        "local_above_below_volume_log_ratio": "ln((above + 1e-6)/(below + 1e-6))", "current_bin_volume_share_of_local_peak": "cur/(peak + 1e-6)",
+        "current_bin_volume_share_of_local_window": "cur/(near + 1e-6)"}
+VP_COLS = [f"vp_{h}_{x}" for h in HL for x in _VP4]
+VP_SQL = "SELECT symbol, ts, " + ", ".join(f"max({e}) FILTER (horizon = '{h}') AS vp_{h}_{x}" for h in HL for x, e in _VP4.items()) + " FROM volume_read GROUP BY symbol, ts"
+
+
+@query("volume_profile_features", "PRF01 PRF02 PRF03", "symbol:s ts:t " + " ".join(VP_COLS), VP_SQL)
 def volume_profile_features(t):
     return pr.volume_profile_features(t.hourly, VP, SMALL)
 
@@ -77,7 +107,6 @@ CTES["reaction_sides"] = """SELECT h.symbol, h.ts, h.horizon, coalesce(sum(CASE
       SELECT r.symbol, r.ts, g.horizon, m.kind, m.bin - floor(r.close) AS d, m.mass*pow(g.decay, r.s - m.s)/(1 + abs(m.bin - floor(r.close))) AS v
       FROM reacted r JOIN reaction_mass m ON m.symbol = r.symbol AND m.s <= r.s AND abs(m.bin - floor(r.close)) <= 20 AND m.bin <> floor(r.close), horizons g
       WHERE r.close BETWEEN 0 AND 100 AND floor(r.close) < 100) x ON h.symbol = x.symbol AND h.ts = x.ts AND h.horizon = x.horizon GROUP BY ALL"""
-CTES["horizons"] = "SELECT * FROM (VALUES " + ", ".join(f"('{h}', {pr.decay_of(x)!r}::DOUBLE)" for h, x in HL.items()) + ") v(horizon, decay)"
 
 
 @query("reaction_profile_features", "PRF07 PRF08", "symbol:s ts:t horizon:s " + _RP7, """SELECT symbol, ts, horizon, sb AS support_below, ra AS resistance_above, sa AS support_above, rb AS resistance_below,
