@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.llm.common import looked_up, top_rows
+from barloom.llm.common import looked_up, tasks, top_rows
 from barloom.operators.ordered import settle
 
 LEAST_DOCS = 3                      # documents of a language that a term must stand in
@@ -70,13 +70,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed_on()
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs`` of every term of every source of a language; NULLs are read as empty."""
+def counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """``lang, source, term, n`` of every term of at least ``least`` documents of its language, with its count ``lang_n`` there.
+
+    Rows are dealt once, by language and term; sums by source and by language both follow that deal.  ``first`` is 1 on one
+    row of each term of a language.  NULLs are read as empty.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), F.col("text").cast("binary").alias("text"))
     found = rows.mapInArrow(_counted, "lang string, source string, term binary, n bigint, docs bigint")
-    return (found.groupBy("lang", "source", F.col("term").cast("string").alias("term"))
-            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    found = found.withColumn("term", F.col("term").cast("string")).repartition(tasks(docs), "lang", "term")
+    own = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")
+    place = F.row_number().over(whole.orderBy("source"))
+    return (own.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("lang_n"), F.sum("docs").over(whole).alias("docs"), (place == 1).cast("int").alias("first"))
+            .filter(F.col("docs") >= least).drop("docs"))
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -157,13 +165,10 @@ def audit(docs: DataFrame) -> DataFrame:
     has pairs of value 0.  Repeated rows count as documents.  Equal values rank by the item's bytes.  An empty table
     gives none; other columns are not read.
     """
-    found = settle(counts(docs))
-    lang_terms = settle(found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-                        .filter(F.col("docs") >= LEAST_DOCS).drop("docs"))
+    kept = settle(counts(docs).withColumn("group", F.struct("lang", "source")))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     seen = docs.select(blank("lang").alias("lang"), blank("source").alias("source")).distinct()
-    kept = settle(found.join(lang_terms, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", F.struct("lang", "source").alias("group")))
-    totals = lang_terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    totals = kept.groupBy("lang").agg(F.sum("first").alias("terms"), F.sum("n").alias("lang_total"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     groups = (seen.join(own, ["lang", "source"], "left").join(totals, "lang", "left")
               .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("rows", F.lit(0)).alias("rows"),
