@@ -2,15 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from barloom.operators import features as fe
-from barloom.operators.ordered import settle, shared_path
+from barloom.operators import features as fe, profiles as pr
+from barloom.operators.ordered import index_rows, settle, shared_path
 from barloom.plans.base import CTES, HOUR, HOURLY, query
 from barloom.plans.modeling import _P, model
-from barloom.plans.profile import RP
-from barloom.streaming import jobs
+from barloom.plans.profile import RP, VP, VP_COLS, VP_SQL
+from barloom.streaming import jobs, state
 
 
 BATCHES = 4
+KEEP = 241                          # fixed: closes for the longest volatility window
 
 
 def stream_events(t):
@@ -30,8 +31,12 @@ def stream_table(t, df, label):
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", BATCHES).parquet(path)
 
 
-def _run(t, stream):
-    return jobs.run_to_table(stream, shared_path(t.spark, "stream"))
+def _run(t, stream, extra_batches=True):
+    return jobs.run_to_table(stream, shared_path(t.spark, "stream"), extra_batches=extra_batches)
+
+
+def _run_state(t, stream):
+    return _run(t, stream, extra_batches=False)
 
 
 @query("stream_tick_bars", "STR11", "symbol:s ts:t open high low close volume",
@@ -62,14 +67,35 @@ CTES["rv2"] = """SELECT symbol, ts, close, CASE WHEN i >= 5 THEN sqrt(avg(r*r) O
 
 @query("stream_closed_bars", "STR01 STR04 STR05", "symbol:s ts:t close action:s kept:i rv_5 rv_15", "SELECT *, 'append' AS action FROM rv2")
 def stream_closed_bars(t):
-    return _run(t, jobs.closed_bars(stream_table(t, t.hourly, "bars")))
+    return _run_state(t, state.closed_bars(stream_table(t, t.hourly, "bars"), KEEP, HOUR))
 
 
 @query("stream_reaction_profile", "STR06", "symbol:s ts:t support_below_short resistance_above_short support_below_all resistance_above_all",
        """SELECT symbol, ts, max(sb) FILTER (horizon = 'short') AS support_below_short, max(ra) FILTER (horizon = 'short') AS resistance_above_short,
           max(sb) FILTER (horizon = 'all') AS support_below_all, max(ra) FILTER (horizon = 'all') AS resistance_above_all FROM reaction_sides GROUP BY 1, 2""")
 def stream_reaction_profile(t):
-    return _run(t, jobs.reaction_state(stream_table(t, t.hourly, "bars"), RP))
+    return _run_state(t, state.reaction_profile(stream_table(t, t.hourly, "bars"), RP, HOUR))
+
+
+@query("stream_volume_profile", "STR06", "symbol:s ts:t " + " ".join(VP_COLS), VP_SQL)
+def stream_volume_profile(t):
+    return _run_state(t, state.volume_profile(stream_table(t, t.hourly, "bars"), VP, HOUR))
+
+
+_HALF = "(SELECT symbol, count(*) // 2 AS h FROM hourly GROUP BY 1)"
+
+
+@query("stream_after_history", "STR06", "symbol:s ts:t " + " ".join(VP_COLS),
+       f"SELECT * FROM ({VP_SQL}) JOIN (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS place FROM hourly) USING (symbol, ts) JOIN {_HALF} USING (symbol) WHERE place > h")
+def stream_after_history(t):
+    """The first half of each symbol's bars as a batch snapshot, from which the stream of the second half starts."""
+    rows = settle(index_rows(t.hourly, HOURLY))
+    half = rows.groupBy("symbol").agg(F.floor(F.count("*") / 2).alias("_h"))
+    parts = settle(rows.join(half, "symbol"))
+    past, live = parts.where("_i < _h").drop("_i", "_h"), parts.where("_i >= _h").drop("_i", "_h")
+    snapshot = pr.snapshot(pr.volume_steps(past, VP), VP.half_lives, HOURLY)
+    initial = state.initial_profile(settle(snapshot), VP.half_lives, past.groupBy("symbol").agg(F.max("ts").alias("ts")))
+    return _run_state(t, state.volume_profile(stream_table(t, live, "bars"), VP, HOUR, settle(initial)))
 
 
 @query("stream_basis", "STR07", "ts:t basis_rel basis_change coarse_rel coarse_change",
@@ -78,7 +104,7 @@ def stream_reaction_profile(t):
             last(um_close ORDER BY ts) / last(close ORDER BY ts) - 1 AS b FROM hybrid GROUP BY 1, 2 HAVING count(*) = 4)) e ON h.ts >= e.close_ts""")
 def stream_basis(t):
     from barloom.plans.preparation import _hybrid
-    return _run(t, jobs.basis_state(stream_table(t, _hybrid(t).withColumn("symbol", F.lit("pair")), "pair"), 4 * HOUR, HOUR))
+    return _run_state(t, state.basis(stream_table(t, _hybrid(t).withColumn("symbol", F.lit("pair")), "pair"), 4 * HOUR, HOUR))
 
 
 @query("stream_scoring", "STR08 STR10", "symbol:s ts:t p missing:s", f"SELECT symbol, ts, {_P.format(c='close', v='volume')} AS p, 'rv_99' AS missing FROM hourly")
@@ -93,6 +119,6 @@ def stream_scoring(t):
 def replay_against_batch(t):
     """Pseudo-live replay of the bar stream compared with the batch features."""
     from barloom.operators import audit
-    live = _run(t, jobs.closed_bars(stream_table(t, t.hourly, "bars")))
+    live = _run_state(t, state.closed_bars(stream_table(t, t.hourly, "bars"), KEEP, HOUR))
     batch = settle(fe.volatility_features(t.hourly, (5, 15), HOURLY))
     return audit.frames_match(live, batch, ["rv_5", "rv_15", "close"], ["symbol", "ts"])

@@ -1,33 +1,16 @@
 """Structured Streaming jobs: bars from ticks, pairing, closed-bar state, incremental features, scoring.
 
-State is bounded per symbol (ring buffers, sparse profiles) or by watermark.
-The incremental features use the same formulas as the batch operators.
+State is bounded by watermark here; what keeps state by symbol for good is in ``state``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.columns import epoch, floor_to
 from barloom.operators.clean import keep_last
-from barloom.operators.profiles import ReactionProfile, decay_of, price_bin, reaction_mass
-
-VOL_BUFFER = 240  # fixed: longest volatility window
-
-
-def _in_order(frames: Iterator[pd.DataFrame]):
-    """One symbol's rows of one micro-batch in time order (Arrow hands them over in unordered slices).
-
-    The source's trigger limit bounds a micro-batch; history is loaded by the batch operators.
-    """
-    parts = list(frames)
-    if parts:
-        yield from pd.concat(parts).sort_values("ts", kind="stable").itertuples(index=False)
 
 
 def tick_bars(ticks: DataFrame, width: str, delay: str, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -68,113 +51,6 @@ def decision_rows(bars: DataFrame, bucket_seconds: int, base_seconds: int, delay
     return closing.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "bucket"])
 
 
-_BAR_OUT = ("symbol string, ts timestamp, open double, high double, low double, close double, volume double, action string, kept int, "
-            + ", ".join(f"rv_{w} double" for w in (5, 15)))
-_BAR_STATE = "last_us bigint, closes array<double>"
-
-
-def closed_bars(bars: DataFrame, max_keep: int = VOL_BUFFER + 1) -> DataFrame:
-    """Monotone bar stream per symbol: older rows dropped, an equal open time replaces, a newer one appends.
-
-    Keeps the last ``max_keep`` closes and emits realized volatility from them.
-    """
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, closes = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-        rows = []
-        for r in _in_order(frames):
-            us = int(pd.Timestamp(r.ts).value // 1000)
-            if last is not None and us < last:
-                continue
-            action = "replace" if us == last else "append"
-            closes = (closes[:-1] if action == "replace" else closes) + [float(r.close)]
-            closes, last = closes[-max_keep:], us
-            rets = np.diff(np.log(np.array(closes)))
-            rv = [float(np.sqrt(np.mean(rets[-w:] ** 2))) if len(rets) >= w else None for w in (5, 15)]
-            rows.append((key[0], r.ts, r.open, r.high, r.low, r.close, r.volume, action, len(closes), *rv))
-        state.update((last, closes))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "open", "high", "low", "close", "volume", "action", "kept", "rv_5", "rv_15"])
-
-    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandasWithState(
-        step, _BAR_OUT, _BAR_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def reaction_state(bars: DataFrame, cfg: ReactionProfile, initial: dict | None = None) -> DataFrame:
-    """Incremental support/resistance mass near the close for every bar; state is one sparse profile per symbol.
-
-    ``initial`` maps a symbol to ``[(kind, bin, mass per horizon)]`` from a batch snapshot.
-    """
-    names = list(cfg.half_lives)
-    decays = np.array([decay_of(h) for h in cfg.half_lives.values()])
-    out = "symbol string, ts timestamp, " + ", ".join(f"support_below_{n} double, resistance_above_{n} double" for n in names)
-    prepared = bars.select("symbol", "ts", F.coalesce(price_bin("close", cfg), F.lit(-1)).alias("b"), reaction_mass(cfg).alias("m"))
-    start = initial or {}
-
-    def step(key, frames, state: GroupState):
-        mass: dict[tuple[int, int], np.ndarray] = {}
-        last = None
-        if state.exists:
-            last, kinds, bins, flat = state.get
-            for i, (k, b) in enumerate(zip(kinds, bins)):
-                mass[(k, b)] = np.array(flat[i * len(names):(i + 1) * len(names)])
-        else:
-            mass = {(k, b): np.array(v, float) for k, b, v in start.get(key[0], [])}
-        rows = []
-        for r in _in_order(frames):
-            us = int(pd.Timestamp(r.ts).value // 1000)
-            if last is not None and us <= last:
-                continue
-            last = us
-            for v in mass.values():
-                v *= decays
-            for c in r.m:
-                mass.setdefault((c["kind"], c["bin"]), np.zeros(len(names)))[:] += c["mass"]
-            below, above = np.zeros(len(names)), np.zeros(len(names))
-            if r.b >= 0:
-                for (k, b), v in mass.items():
-                    d = b - r.b
-                    if d and abs(d) <= cfg.local_window:
-                        if k == 0 and d < 0:
-                            below += v / (1.0 + abs(d)) ** cfg.distance_power
-                        elif k == 1 and d > 0:
-                            above += v / (1.0 + abs(d)) ** cfg.distance_power
-            rows.append((key[0], r.ts, *[x for p in zip(below, above) for x in p]))
-        keys = list(mass)
-        state.update((last if last is not None else -1, [k for k, _ in keys], [b for _, b in keys], [float(x) for k in keys for x in mass[k]]))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", *[f"{s}_{n}" for n in names for s in ("support_below", "resistance_above")]])
-
-    return prepared.groupBy("symbol").applyInPandasWithState(
-        step, out, "last_us bigint, kinds array<int>, bins array<int>, mass array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def basis_state(pairs: DataFrame, interval_seconds: int, base_seconds: int) -> DataFrame:
-    """Incremental basis per row and at complete coarse buckets; a partial bucket never shows."""
-    out = "symbol string, ts timestamp, basis_rel double, basis_change double, coarse_rel double, coarse_change double"
-    need = interval_seconds // base_seconds
-
-    def step(key, frames, state: GroupState):
-        prev, bucket, seen, shown, shown_change, last = state.get if state.exists else (None, None, 0, None, None, None)
-        rows = []
-        for r in _in_order(frames):
-            s = int(pd.Timestamp(r.ts).timestamp())
-            if last is not None and s <= last:
-                continue
-            last = s
-            rel = r.um_close / r.close - 1.0 if abs(r.close) > 1e-12 else None
-            b = s // interval_seconds
-            seen = seen + 1 if b == bucket else 1
-            bucket = b
-            if seen == need and rel is not None:
-                shown_change = rel - shown if shown is not None else None
-                shown = rel
-            rows.append((key[0], r.ts, rel, rel - prev if rel is not None and prev is not None else None, shown, shown_change))
-            prev = rel
-        state.update((prev, bucket, seen, shown, shown_change, last))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "basis_rel", "basis_change", "coarse_rel", "coarse_change"])
-
-    return pairs.select("symbol", "ts", "close", "um_close").groupBy("symbol").applyInPandasWithState(
-        step, out, "prev double, bucket bigint, seen bigint, shown double, shown_change double, last bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def feature_vector(row_features: DataFrame, columns: list[str]) -> DataFrame:
     """Model column order with the list of features that are missing."""
     have = set(row_features.columns)
@@ -201,10 +77,19 @@ def scored_records(spark, path: str, key: tuple[str, ...] = ("symbol", "ts")) ->
     return keep_last(spark.read.parquet(path), key, F.col("batch")).drop("batch")
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return what it wrote."""
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data")
-         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", extra_batches: bool = True) -> DataFrame:
+    """Run a stream over everything available and return what it wrote.
+
+    ``extra_batches`` lets Spark add batches without data, in which windows close as the watermark moves on.  A stream with
+    timers on the clock would add them for ever, and needs none, since its timers fire in the batch that sets them.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(extra_batches and before == "true").lower())
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/data")
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
-
