@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,6 +22,10 @@ from barloom.operators.indicators import add_indicators
 from barloom.operators.ordered import BARS, Layout, index_rows, settle
 from barloom.operators.selection import geometric_grid, midpoints
 
+WORKERS = 4                         # fits that are submitted at a time
+MOST_FOLDS = 62                     # bits of a set
+MEDIAN_FROM = 3                     # trials before one can be pruned
+
 
 def pipeline(features: list[str], params: dict, label: str = "y", weight: str = "w") -> Pipeline:
     """Median imputation, assembly and a weighted binary model; ``params['kind']`` is ``gbt`` or ``logistic``."""
@@ -41,34 +50,79 @@ def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str =
     return done.select(*[c for c in rows.columns if c != out], vector_to_array("probability")[1].alias(out))
 
 
-def usable(train: DataFrame, features: list[str]) -> list[str]:
-    """Features with any value in the training rows."""
-    counts = train.agg(*[F.count(f).alias(f) for f in features]).first()
-    return [f for f in features if counts[f] > 0]
-
-
 def _importance(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     last = model.stages[-1]
     vec = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
     return [(f, float(abs(v))) for f, v in zip(features, vec.toArray())]
 
 
+@dataclass(frozen=True)
+class FoldRows:
+    """Rows written once, with the folds in which each of them trains and is tested as two bit sets."""
+
+    rows: DataFrame
+    folds: list[int]
+    live: dict[int, list[str]]          # features with any value in a fold's training rows
+
+    def part(self, fold: int, role: str) -> DataFrame:
+        return self.rows.where(F.getbit(f"_{role}", F.lit(fold)) == 1).drop("_train", "_test")
+
+
+def fold_rows(indexed: DataFrame, features: list[str], folds: int, ratio: float, decision: str | None = None, mode: str = "all") -> FoldRows:
+    """One table for all fits: a row is stored once however many folds it takes part in, and fits read it by filter."""
+    if folds > MOST_FOLDS:
+        raise ValueError(f"at most {MOST_FOLDS} folds")
+    rows = settle(indexed)
+    table = tg.fold_table(rows.sparkSession, 0, rows.agg(F.count(F.lit(1)).alias("n")), folds, ratio).orderBy("fold").collect()   # one row a fold
+    pick = F.col(decision) if decision else F.lit(True)
+    i = F.col("row_idx")
+
+    def bits(role: str, wanted: Column) -> Column:
+        inside = [F.when((i >= r[f"{role}_start"]) & (i < r[f"{role}_end"]), F.lit(1 << r["fold"])).otherwise(0) for r in table]
+        return F.when(wanted, reduce(add, inside, F.lit(0).cast("bigint"))).otherwise(0).alias(f"_{role}")
+
+    wanted = {role: pick if mode in ("decision", f"{name}_decision") else F.lit(True) for role, name in (("train", "train"), ("test", "eval"))}
+    kept = settle(rows.select("*", *[bits(role, w) for role, w in wanted.items()]).where((F.col("_train") != 0) | (F.col("_test") != 0)))
+    numbers = [r["fold"] for r in table]
+    if not numbers:
+        return FoldRows(kept, [], {})
+    found = kept.agg(*[F.count_if((F.getbit("_train", F.lit(n)) == 1) & F.col(f).isNotNull()).alias(f"{n}|{f}") for n in numbers for f in features]).first()
+    return FoldRows(kept, numbers, {n: [f for f in features if found[f"{n}|{f}"]] for n in numbers})
+
+
+def together(job: Callable, items: list, workers: int = WORKERS) -> list:
+    """Results of ``job`` for each item, in order; so many driver threads submit Spark jobs, which share the executors."""
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(job, items))
+
+
+def _weighted(rows: DataFrame, weight: Column | None) -> DataFrame:
+    return rows if weight is None else rows.withColumn("w", weight)
+
+
+def fit_fold(data: FoldRows, fold: int, features: list[str], params: dict, weight: Column | None = None) -> tuple[DataFrame, list]:
+    """Predictions of a fold's test rows and the model's importance."""
+    live = [f for f in data.live[fold] if f in features]
+    model = fit(_weighted(data.part(fold, "train"), weight), live, params)
+    out = score(model, _weighted(data.part(fold, "test").drop("p"), weight).withColumn("fold", F.lit(fold)), live)
+    return out, [(fold, f, g) for f, g in _importance(model, live)]
+
+
+def fold_score(data: FoldRows, fold: int, features: list[str], params: dict, weight: Column | None = None):
+    """Metrics of one fit: one row."""
+    return mt.metrics_by(fit_fold(data, fold, features, params, weight)[0], ["fold"]).first()
+
+
 def walk_forward(indexed: DataFrame, features: list[str], folds: int, ratio: float, params: dict,
                  decision: str | None = None, mode: str = "all") -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions and per-fold importance; each fold trains on rows before its test range."""
-    rows = settle(indexed)
-    table = tg.fold_table(rows.sparkSession, 0, rows.agg(F.count(F.lit(1)).alias("n")), folds, ratio)
-    assigned = settle(tg.rows_for(tg.assign_folds(rows, table), mode, F.col(decision) if decision else F.lit(True)))
-    preds, gains = None, []
-    for r in table.select("fold").orderBy("fold").collect():  # one row per fold
-        part = assigned.where(F.col("fold") == r["fold"])
-        train = part.where("role = 'train'")
-        live = usable(train, features)
-        model = fit(train, live, params)
-        gains += [(r["fold"], f, g) for f, g in _importance(model, live)]
-        out = score(model, part.where("role = 'test'").drop("p"), live)
+    data = fold_rows(indexed, features, folds, ratio, decision, mode)
+    made = together(lambda n: fit_fold(data, n, features, params), data.folds)
+    preds = None
+    for out, _ in made:
         preds = out if preds is None else preds.unionByName(out)
-    return preds, rows.sparkSession.createDataFrame(gains, "fold bigint, feature string, gain double")
+    gains = [g for _, own in made for g in own]
+    return preds, indexed.sparkSession.createDataFrame(gains, "fold bigint, feature string, gain double")
 
 
 def coverage(preds: DataFrame, rows: DataFrame) -> DataFrame:
@@ -94,20 +148,31 @@ def trials(space: dict[str, list], n: int, seed: int) -> list[dict]:
 
 def search(indexed: DataFrame, features: list[str], space: dict[str, list], n: int, seed: int, folds: int, ratio: float,
            penalty: float = 0.0, weight_of=None) -> DataFrame:
-    """One row per trial with its fold summary; a trial worse than the running median on its first fold is marked pruned."""
-    rows = settle(indexed)
-    done, firsts = [], []
-    for i, t in enumerate(trials(space, n, seed)):
-        frame = rows if weight_of is None else rows.withColumn("w", weight_of(t))
-        params = {k: v for k, v in t.items() if not k.startswith("weight_")}
-        preds, _ = walk_forward(frame, features, folds, ratio, params)
-        per = mt.metrics_by(preds, ["fold"])
-        s = mt.fold_summary(per, [], "w_log_loss", None, penalty).first()
-        first = per.orderBy("fold").first()["w_log_loss"]
-        pruned = len(firsts) >= 3 and first > sorted(firsts)[len(firsts) // 2]
-        firsts.append(first)
-        done.append((i, str(sorted(t.items())), seed, float(s["mean"]), float(s["std"] or 0.0), float(s["objective"]), "pruned" if pruned else "complete"))
-    return rows.sparkSession.createDataFrame(done, "trial int, params string, seed int, mean double, std double, objective double, state string")
+    """One row per trial with its fold summary.
+
+    All trials fit their first fold, several at a time.  Then, in the order of trials, one whose first loss is worse than the
+    median of those before it (three at least) is pruned and fits no other fold; its summary is that of the first.
+    The rest fit their other folds, again several at a time, so results do not depend on which fit ends first.
+    """
+    data = fold_rows(indexed, features, folds, ratio)
+    tried = trials(space, n, seed)
+
+    def run(job: tuple[int, int]):
+        trial, fold = job
+        params = {k: v for k, v in tried[trial].items() if not k.startswith("weight_")}
+        got = fold_score(data, fold, features, params, None if weight_of is None else weight_of(tried[trial]))
+        return trial, fold, float(got["w_log_loss"])
+
+    first, rest = data.folds[:1], data.folds[1:]
+    done = together(run, [(t, f) for t in range(len(tried)) for f in first])
+    losses = [loss for _, _, loss in done]
+    pruned = [i >= MEDIAN_FROM and loss > sorted(losses[:i])[i // 2] for i, loss in enumerate(losses)]
+    done += together(run, [(t, f) for t in range(len(tried)) if not pruned[t] for f in rest])
+    spark = indexed.sparkSession
+    summary = mt.fold_summary(spark.createDataFrame(done, "trial int, fold int, w_log_loss double"), ["trial"], "w_log_loss", None, penalty)
+    named = [(i, str(sorted(t.items())), seed, "pruned" if p else "complete") for i, (t, p) in enumerate(zip(tried, pruned))]
+    return spark.createDataFrame(named, "trial int, params string, seed int, state string").join(summary, "trial").select(
+        "trial", "params", "seed", "mean", F.coalesce("std", F.lit(0.0)).alias("std"), "objective", "state")
 
 
 def best_trial(results: DataFrame) -> DataFrame:
@@ -167,20 +232,22 @@ def next_generation(scored: list[tuple[str, float]], candidates: list[dict], spa
 def evaluate(contexts: dict[str, tuple[DataFrame, list[str]]], candidates: dict[str, dict], folds: int, ratio: float) -> DataFrame:
     """Walk-forward log loss and Brier score for every context and candidate.
 
-    A candidate holds model parameters and optionally ``decision_weight``, the sample
-    weight of decision rows.  Fits are Spark jobs; the loop only walks the grid.
+    A candidate holds model parameters and optionally ``decision_weight``, the sample weight of decision rows.  The rows of
+    a context are written once for all its candidates and folds, and all fits of the grid run several at a time.
     """
-    parts = None
-    for cname, (rows, features) in contexts.items():
-        base = settle(rows)
-        for kname, params in candidates.items():
-            p = dict(params)
-            dw = p.pop("decision_weight", None)
-            frame = base if dw is None else base.withColumn("w", F.when(F.col("decision"), dw).otherwise((1 - dw) / 4))
-            preds, _ = walk_forward(frame, features, folds, ratio, p)
-            m = mt.metrics_by(preds, ["fold"]).select(F.lit(cname).alias("context"), F.lit(kname).alias("candidate"), "fold", "rows", "log_loss", "brier", "w_log_loss")
-            parts = m if parts is None else parts.unionByName(m)
-    return settle(parts)
+    data = {name: fold_rows(rows, features, folds, ratio) for name, (rows, features) in contexts.items()}
+
+    def run(job: tuple[str, str, int]):
+        context, candidate, fold = job
+        p = dict(candidates[candidate])
+        dw = p.pop("decision_weight", None)
+        weight = None if dw is None else F.when(F.col("decision"), dw).otherwise((1 - dw) / 4)
+        m = fold_score(data[context], fold, contexts[context][1], p, weight)
+        return context, candidate, fold, m["rows"], m["log_loss"], m["brier"], m["w_log_loss"]
+
+    done = together(run, [(c, k, f) for c in contexts for k in candidates for f in data[c].folds])
+    spark = next(iter(contexts.values()))[0].sparkSession
+    return spark.createDataFrame(done, "context string, candidate string, fold bigint, rows bigint, log_loss double, brier double, w_log_loss double")
 
 
 def recheck(rows: DataFrame, features: list[str], top: dict[str, dict], seeds: list[int], folds: int, ratio: float) -> DataFrame:
@@ -208,7 +275,7 @@ def weight_search(rows: DataFrame, features: list[str], coarse: list[float], par
         return evaluate({"all": (rows, features)}, {k: {**params, **v} for k, v in weight_grid(values).items()}, folds, ratio)
     first = run(coarse)
     best = mt.fold_summary(first, ["candidate"], "log_loss").orderBy("objective", "candidate").first()["candidate"]  # one row per candidate
-    return settle(first.unionByName(run(refine(coarse, float(best[1:])))))
+    return first.unionByName(run(refine(coarse, float(best[1:]))))
 
 
 def size_sweep(rows: DataFrame, ranked: list[str], smallest: int, ratio: float, params: dict, folds: int, fold_ratio: float) -> DataFrame:
@@ -218,7 +285,7 @@ def size_sweep(rows: DataFrame, ranked: list[str], smallest: int, ratio: float,
         return mt.fold_summary(evaluate(ctx, {"fixed": params}, folds, fold_ratio), ["context"], "log_loss").select(
             F.col("context").cast("int").alias("k"), "objective")
     sizes = geometric_grid(len(ranked), smallest, ratio)
-    first = settle(run(sizes))
+    first = run(sizes)
     best = first.orderBy("objective", "k").first()["k"]  # one row per size
     more = midpoints(sizes, best)
-    return first if not more else settle(first.unionByName(run(more)))
+    return first if not more else first.unionByName(run(more))

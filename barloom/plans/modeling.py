@@ -449,6 +449,22 @@ def walk_forward_oof(t):
     return tr.walk_forward(_training_rows(t), ["open", "close", "volume", "gone"], 3, 0.5, {"kind": "logistic", "maxIter": 10})[0]
 
 
+@query("walk_forward_coverage", "MDL02", "fold:i trained:i last_trained:i tested:i first_tested:i scored:i",
+       """SELECT fold, train AS trained, fold*test + train - 1 AS last_trained, test AS tested, fold*test + train AS first_tested, test AS scored FROM (
+          SELECT *, CAST(floor(test / 0.5) AS BIGINT) AS train FROM (SELECT CAST(floor(count(*) / (3 + 2.0)) AS BIGINT) AS test FROM feats)), range(3) r(fold)""")
+def walk_forward_coverage(t):
+    """Every fold trains before it tests, and every row that it tests has a probability."""
+    features, params = ["open", "close", "volume"], {"kind": "logistic", "maxIter": 4}
+    rows = _training_rows(t)
+    data = tr.fold_rows(rows, features, 3, 0.5)
+    seen = data.rows.select("row_idx", F.explode(F.array(*[F.lit(n) for n in data.folds])).alias("fold"), "_train", "_test")
+    inside = lambda role: F.getbit(f"_{role}", F.col("fold")) == 1
+    sizes = seen.groupBy("fold").agg(F.count_if(inside("train")).alias("trained"), F.max(F.when(inside("train"), F.col("row_idx"))).alias("last_trained"),
+                                     F.count_if(inside("test")).alias("tested"), F.min(F.when(inside("test"), F.col("row_idx"))).alias("first_tested"))
+    preds = tr.walk_forward(rows, features, 3, 0.5, params)[0]
+    return sizes.join(preds.groupBy("fold").agg(F.count_if(F.col("p").between(0, 1)).alias("scored")), "fold")
+
+
 @query("boosted_importance", "MDL01 MDL03", "fold:i feature:s gain:d4")
 def boosted_importance(t):
     return tr.walk_forward(_training_rows(t), ["open", "close", "volume"], 2, 0.5, {"kind": "gbt", "maxIter": 3, "maxDepth": 3, "seed": 7})[1]
