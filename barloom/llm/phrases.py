@@ -6,7 +6,8 @@ first word, have reached the threshold, and is counted for one full cycle, so it
 
 What has reached the threshold is known to a scan by a table of fixed size: the scan in which a cell was first reached.
 A phrase whose cell was reached for another one is merely counted early or in vain; its cycle is as long and
-its count as exact, since cells never change once they are set and the start follows from them alone.
+its count as exact, since cells never change once they are set and the start follows from them alone: it is the scan
+after both parts have their cell set and have begun themselves.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def count_block(ids: np.ndarray, fresh: np.ndarray, names: pa.Array, of_word: np
             parts = [names.take(pa.array(ids[first + i])) for i in range(size)]
             yield pc.binary_join_element_wise(*parts, b" "), n, _cells(hashes[where]), start[where]
         since = _later(reached[_cells(hashes)], start)
-        known = np.flatnonzero(since != NEVER)
+        known = np.flatnonzero(since < step)                # a phrase that began in this scan serves from the next one on
         at, hashes, since = at[known], hashes[known], since[known]
 
 
@@ -218,7 +219,7 @@ def _reached_cells(reached: DataFrame) -> np.ndarray:
 def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
     """``lang, phrase, n`` of all phrases of up to five words with at least ``least`` occurrences, and the number of all words as phrase ``''``.
 
-    Each scan writes the counts of the phrases whose cycle is not complete; a lost executor costs a part of one scan.
+    ``shards`` is 2 at least.  Each scan writes the counts of the phrases whose cycle is not complete; a lost executor costs a part of one scan.
     """
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "shards")
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"),
@@ -247,6 +248,10 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataF
         if len(cells):
             table, last = table.copy(), step
             table[cells] = step
+        # A part whose cell was set for another phrase serves only after it has begun itself.
+        later = counts.filter((F.col("start") > last) & (F.col("phrase") != "") & (_n_words(F.col("phrase")) < LONGEST))
+        starts = [s for (s,) in later.select("start").distinct().collect()] if last < step else []       # ``shards`` numbers at most
+        last = max([last, *[s for s in starts if (table[_reached_cells(later.filter(F.col("start") == s))] != NEVER).any()]])
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)

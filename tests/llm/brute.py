@@ -252,3 +252,64 @@ def mixed(rows, seed=42, weights=(3, 1, 2)):
         for r, k in enumerate(own, 1):
             taken[k] = (math.floor(each * r + shift) - math.floor(each * (r - 1) + shift)) * sizes[k]
     return [(total[r[2]], target[r[2]], taken[k]) for k, r in enumerate(rows)]
+
+
+def divergence(rows, least=3, top=200, unit=1_000_000_000):
+    """Rows of the audit of ``(text, lang, source)``."""
+    docs = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(t or "")), lang or "", source or "") for t, lang, source in rows]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [d for d in docs if d[1] == lang]
+        seen, all_n, n = Counter(), Counter(), defaultdict(Counter)
+        for words_, _, source in own:
+            seen.update(set(words_))
+            all_n.update(words_)
+            n[source].update(words_)
+        kept = [t for t in all_n if seen[t] >= least]
+        v = len(kept)
+        share = lambda c: {t: 1 + unit * (c[t] + 1) // (sum(c[k] for k in kept) + v) for t in kept}  # noqa: E731, B023
+        p, q = {s: share(n[s]) for s in n}, share(all_n)
+        gap = lambda a, b: (a - b) * (a - b) // b
+        for s in n:
+            pairs = [(o, sum(gap(p[s][t], p[o][t]) for t in kept)) for o in n if o != s]
+            terms_ = [(t, gap(p[s][t], q[t])) for t in kept if n[s][t] > 0 and p[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, None), ("term", terms_, top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, value, r) for r, (item, value) in enumerate(ranked, 1)]
+    return out
+
+
+def copies(rows):
+    """``(keep_id, group_size, kept)`` of ``(doc_id, text)`` rows; of rows that tie for the largest id any one stays."""
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(largest[t or ""], len(groups[t or ""])) for _, t in rows]
+
+
+def phrases(rows, least=100, top=2000):
+    """Rows of the phrase report of ``(text, lang)``."""
+    total, f = Counter(), defaultdict(Counter)
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            f[lang].update(tuple(w[i:i + n]) for n in range(1, 6) for i in range(len(w) - n + 1))
+    out = []
+    for lang, counts in f.items():
+        many, inside = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}, Counter()
+        for p, a in many.items():
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    inside[p[i:i + n]] = max(inside[p[i:i + n]], a)
+        rows_ = []
+        for p, a in many.items():
+            if inside[p] < a:
+                cuts = [(1000 * a * total[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p))]
+                score, k = min(cuts)
+                rows_.append((" ".join(p), a, counts[p[:k]], counts[p[k:]], total[lang], score))
+        rows_.sort(key=lambda r: (-r[5], -r[1], r[0].encode()))
+        out += [(lang, i, *r) for i, r in enumerate(rows_[:top], 1)]
+    return out
