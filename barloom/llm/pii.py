@@ -157,9 +157,24 @@ def _places(text: Column, spans: Column, told: Column) -> Column:
                        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.length(text).alias("b")))))
 
     def terms(gap: Column) -> Column:
-        found = let(F.substring(text, gap["a"] + 1, gap["b"] - gap["a"]), lambda p: matches(p, len(KINDS) - 1, TERM, lambda v: F.map_contains_key(told, F.lower(v))))
-        return F.transform(found, lambda t: F.struct(t["kind"].alias("kind"), (t["start"] + gap["a"]).alias("start"), (t["end"] + gap["a"]).alias("end"),
-                                                     t["value"].alias("value"), F.element_at(told, F.lower(t["value"])).alias("share")))
+        pieces = F.regexp_extract_all(F.substring(text, gap["a"] + 1, gap["b"] - gap["a"]), F.lit(TERM + r"|[^\p{L}\p{N}]+"), F.lit(0))
+        return let(F.transform(pieces, lambda p: F.struct(p.alias("value"), F.length(p).alias("size"), F.map_contains_key(told, F.lower(p)).alias("tells"))),
+                   lambda x: told_places(x, gap["a"]))
+
+    def told_places(pieces: Column, begin: Column) -> Column:
+        """Spans of the pieces that tell; lengths are added from one such piece to the next, so time is linear in the text."""
+        hits = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.get(pieces, i)["tells"])
+
+        def step(acc: Column, i: Column) -> Column:
+            piece = F.get(pieces, i)
+            start = F.aggregate(F.slice(pieces, acc["next"] + 1, i - acc["next"]), acc["at"], lambda n, p: n + p["size"])
+            return let(start, lambda at: F.struct((i + 1).alias("next"), (at + piece["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
+                F.lit(len(KINDS) - 1).alias("kind"), at.alias("start"), (at + piece["size"]).alias("end"), piece["value"].alias("value"),
+                F.element_at(told, F.lower(piece["value"])).alias("share")))).alias("out")))
+
+        none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string,share:double>>")
+        first = F.struct(F.lit(0).alias("next"), begin.alias("at"), none.alias("out"))
+        return F.when(F.size(pieces) > 0, F.aggregate(hits, first, step, lambda acc: acc["out"])).otherwise(none)
 
     return F.flatten(F.transform(gaps, terms))
 
