@@ -6,7 +6,7 @@ from barloom.operators import profiles as pr
 from barloom.operators.ordered import shared_path
 from barloom.plans.base import CTES, HOURLY, query
 from barloom.plans.profile import RP
-from barloom.sources import store
+from barloom.sources import committed, store
 
 BAR = "symbol:s ts:t open:d high:d low:d close:d volume:d"
 
@@ -41,11 +41,42 @@ def mixed_csv_scan(t):
     return rows.withColumn("ts", F.col("bucket"))
 
 
+def _dataset(t):
+    path = shared_path(t.spark, "dataset")
+    committed.write_dataset(t.hourly.withColumn("y", (F.col("close") > F.col("open")).cast("int")), path, "y")
+    return path
+
+
 @query("dataset_sink", "SRC18", BAR, "SELECT * FROM hourly")
 def dataset_sink(t):
-    path = shared_path(t.spark, "dataset")
-    store.write_dataset(t.hourly.withColumn("y", (F.col("close") > F.col("open")).cast("int")), path, "y")
-    return t.spark.read.parquet(f"{path}/data")
+    return committed.read_dataset(t.spark, _dataset(t))[0]
+
+
+@query("dataset_facts", "SRC18", "rows:i first_ts:s last_ts:s positives:i",
+       "SELECT count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count_if(close > open) AS positives FROM hourly")
+def dataset_facts(t):
+    facts = committed.read_dataset(t.spark, _dataset(t))[1]
+    return t.spark.createDataFrame([tuple(facts[c] for c in ("rows", "start", "end", "positives"))], "rows bigint, first_ts string, last_ts string, positives double")
+
+
+@query("dataset_preview", "SRC18", "part:s " + BAR, """SELECT 'head' AS part, * FROM (SELECT * FROM hourly ORDER BY ts, symbol LIMIT 100)
+    UNION ALL SELECT 'tail', * FROM (SELECT * FROM hourly ORDER BY ts DESC, symbol DESC LIMIT 100)""")
+def dataset_preview(t):
+    path = _dataset(t)
+    head, tail = (committed.read_dataset(t.spark, path, p)[0].withColumn("part", F.lit(p)) for p in ("head", "tail"))
+    return head.unionByName(tail)
+
+
+@query("bucket_upsert", "SRC20", "user_id:s event_type:s value:s note:s",
+       """SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(arg_max(value, (event_id % 3 = 0, ts, event_id)) AS VARCHAR) AS value, NULL AS note
+          FROM events GROUP BY 1, 2""")
+def bucket_upsert(t):
+    """All events in two commits; the second rewrites the buckets of its keys."""
+    e = t.raw("events").select("user_id", "event_type", "value", "event_id", F.struct("ts", "event_id").alias("seq"))
+    table = committed.KeyedTable(t.spark, shared_path(t.spark, "records"), ["user_id", "event_type"], ["user_id", "event_type", "value", "note"])
+    for batch in (e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")):
+        table.upsert(batch, "seq")
+    return table.records()
 
 
 @query("profile_state", "SRC22 PRF11", "symbol:s horizon:s kind:i bin:i mass", "SELECT * FROM reaction_state")

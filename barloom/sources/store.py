@@ -238,19 +238,6 @@ def select_features(rows: DataFrame, excluded: DataFrame, deprecated: str | None
 
 # ---- sinks -----------------------------------------------------------------------------------
 
-def write_dataset(df: DataFrame, path: str, target: str, partition: str = "symbol", preview: int = 100) -> dict:
-    """Partitioned Parquet, a metadata file and head/tail previews; the commit protocol makes the job atomic."""
-    df.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/data")
-    written = df.sparkSession.read.parquet(f"{path}/data")
-    facts = written.agg(F.count(F.lit(1)).alias("rows"), F.min("ts").cast("string").alias("start"),
-                        F.max("ts").cast("string").alias("end"), F.sum(F.col(target)).cast("double").alias("positives")).first().asDict()
-    meta = {**facts, "target": target, "columns": written.columns, "schema": written.schema.simpleString()}
-    df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
-    for name, order in (("head", F.col("ts").asc()), ("tail", F.col("ts").desc())):
-        written.orderBy(order).limit(preview).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-    return meta
-
-
 def prediction_rows(df: DataFrame, prediction: str, base: list[str]) -> DataFrame:
     """Rows that carry a finite prediction, base columns first."""
     p = F.col(prediction)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.operators import (audit, candles, clean, features as fe, metrics as mt, oneway as ow, policy as po, profiles as pr,
                                quantiles as qt, records as rc, resample, survival as sv, targets as tg)
 from barloom.operators.ordered import Layout
-from barloom.sources import store
+from barloom.sources import committed, store
 
 LAY = Layout(base_seconds=60, rows=8)
 
@@ -271,9 +271,9 @@ def test_upsert_normalises_keys(spark):
 
 def test_dataset_sink(spark, tmp_path):
     d = minutes(spark, [(1., 2., 0., 1.5, 1.)] * 5, OHLCV).withColumn("y", F.lit(1))
-    meta = store.write_dataset(d, str(tmp_path / "o"), "y", preview=2)
+    meta = committed.write_dataset(d, str(tmp_path / "o"), "y", preview=2)
     assert meta["rows"] == 5 and meta["positives"] == 5
-    assert spark.read.option("header", True).csv(str(tmp_path / "o" / "head")).count() == 2
+    assert committed.read_dataset(spark, str(tmp_path / "o"), "head")[0].count() == 2
 
 
 def test_segment_information_ratio(spark):
