@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.llm.common import packed
+from barloom.llm.common import packed, tasks
 from barloom.operators.ordered import settle
 
 WEIGHTS = (3, 1, 2)                 # fixed: by rank of the source, repeating
@@ -93,15 +93,16 @@ def _copies(rows: DataFrame, thin: DataFrame, seed: int, chunk_rows: int) -> Dat
              .groupBy(*key, "part").agg(F.count("*").alias("n")))
     whole = classes.filter(F.col("class_rows") <= chunk_rows).select(*key, F.lit(0).alias("part"), F.col("class_rows").alias("n"))
     ahead = Window.partitionBy("known", "name").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = settle(whole.unionByName(parts).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n"))
+    starts = settle(whole.unionByName(parts).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n").join(targets, ["known", "name"]))
     placed = named(rows).join(classes, key).withColumn("part", _part(F.col("class_rows"), F.col("draw"), chunk_rows))
-    placed = placed.join(starts, [*key, "part"])
+    # Dealt by part as well, whatever the joins below choose: a window accepts rows dealt by class alone, which would leave a hot class in one task.
+    placed = placed.repartition(tasks(rows), *key, "part").join(starts, [*key, "part"])
     inside = Window.partitionBy(*key, "part").orderBy("draw", F.col("id").asc_nulls_first())
     rank = F.col("start") + F.row_number().over(inside)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     shift = offset(source, seed)
     crossed = F.floor(each * F.col("rank") + shift) - F.floor(each * (F.col("rank") - 1) + shift)
-    return (placed.withColumn("rank", rank).join(targets, ["known", "name"])
+    return (placed.withColumn("rank", rank)
             .select("row", source.alias("source"), "size", "source_size", "target", crossed.cast("long").alias("copies")))
 
 
