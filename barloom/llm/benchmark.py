@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import packed, unpacked
+from barloom.operators.ordered import settle
 
 WINDOW = 13
 PERCENT = 5                         # of a document's words that make it contaminated
@@ -206,13 +207,15 @@ def search(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) ->
     """Every input row as ``row`` with ``found``: its words, the word intervals hit, and the items hit.
 
     The windows of the benchmark are a broadcast set.  A broadcast holds at most ``block_words`` window words; a larger
-    benchmark is searched block by block, each pass adding to the row, so neither rows nor windows are lost.
+    benchmark is searched block by block, each pass adding to the row and writing it, so a task holds one block and neither rows
+    nor windows are lost.
     Hits of the hash set are verified word by word.  NULL and empty texts have no words and no hits, and neither
     have items without words; items of one id are one item, those with a NULL id one with an empty id.
     Repeated rows stay, an empty table or benchmark gives no hits, and other columns pass in ``row``.
     """
     rows = packed(docs, F.col("text"), F.lit(None).cast(_FOUND_SQL).alias("found"))
-    for block in blocks_of(bench, block_words):
+    for i, block in enumerate(blocks_of(bench, block_words)):
+        rows = settle(rows) if i else rows                  # one stage would hold the blocks of all passes at once
         rows = rows.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(block)), rows.schema)
     return rows.select("row", "text", "found")
 

@@ -437,3 +437,28 @@ def test_pipeline(spark, tmp_path):
         size = len(brute.words(r.text))
         want[r.doc_id, r.text] += taken // size if size else 0
     assert Counter(zip(frame.doc_id, frame.text)) == +want
+
+
+def test_one_block_at_a_time(spark, docs):
+    """However many blocks a benchmark has, a stage holds one of them."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert sum(1 for _ in benchmark.blocks_of(bench, 200)) >= 3
+    plan = benchmark.search(docs, bench, 200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_hot_size_class_is_split(spark):
+    """Rows of one size are dealt by part, also where the joins before deal them by class."""
+    rows = [(i, "a b c", "s") for i in range(8000)] + [(8000 + i, "w " * i, "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    [spark.conf.set(k, v) for k, v in wanted.items()]
+    try:
+        mixed = mixing.mix_sizes(df, chunk_rows=100)
+        per_task = [n for (n,) in mixed.filter("source = 's'").groupBy(F.spark_partition_id()).count().select("count").collect()]
+        got = {r["row"]["doc_id"]: (r.source_size, r.target, r.copies * r.size) for r in mixed.collect()}
+    finally:
+        [spark.conf.set(k, v) for k, v in before.items()]
+    assert max(per_task) <= 0.5 * 8000
+    assert [got[i] for i in range(len(rows))] == brute.mixed(rows)
