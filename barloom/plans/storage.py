@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from barloom.operators import profiles as pr
-from barloom.operators.ordered import shared_path
+from barloom.operators.ordered import settle, shared_path
 from barloom.plans.base import CTES, HOURLY, query
 from barloom.plans.profile import RP
-from barloom.sources import committed, store
+from barloom.sources import committed, groups, store
 
 BAR = "symbol:s ts:t open:d high:d low:d close:d volume:d"
 
@@ -114,3 +114,24 @@ def fit_result_scan(t):
         for part in files.listStatus(folder.getPath()) if label else []:
             files.rename(part.getPath(), jvm.Path(root, label))
     return store.scan_fit_results(t.spark, path)
+
+
+def _grouped(t):
+    """Hourly bars in order of symbol and time, in files of small row groups, and the table of their footers."""
+    path = shared_path(t.spark, "groups")
+    t.hourly.orderBy("symbol", "ts").write.option("parquet.block.size", 8192).option("parquet.page.row.count.limit", 100).parquet(path)
+    return path, settle(groups.footers(t.spark, path))
+
+
+@query("tail_by_footer", "SRC13", BAR, "SELECT * FROM hourly ORDER BY ts DESC, symbol DESC LIMIT 200")
+def tail_by_footer(t):
+    path, found = _grouped(t)
+    return groups.tail(t.spark, path, 200, found, ["ts", "symbol"])
+
+
+@query("position_by_footer", "SRC14", "symbol:s ts:t close", "SELECT symbol, ts, close FROM (SELECT *, row_number() OVER (ORDER BY symbol, ts) - 1 AS i FROM hourly) WHERE i % 997 = 5")
+def position_by_footer(t):
+    path, found = _grouped(t)
+    last = found.agg(F.sum("rows").alias("n"))
+    wanted = last.select(F.explode(F.sequence(F.lit(5).cast("bigint"), F.col("n") - 1, F.lit(997).cast("bigint"))).alias("position"))
+    return groups.rows_at(t.spark, path, wanted, found, ["symbol", "ts", "close"])
