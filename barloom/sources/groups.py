@@ -82,7 +82,7 @@ def wanted_groups(groups: DataFrame, positions: DataFrame) -> DataFrame:
 def rows_at(spark: SparkSession, path: str, positions: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
     """Rows at the given positions in the order of file names; a task reads the groups it was given and nothing else."""
     schema = spark.read.parquet(path).select(*columns).schema
-    shape = to_arrow_schema(schema, timezone="UTC")
+    shape = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
