@@ -187,6 +187,33 @@ def schema_check(df: DataFrame, expected: dict[str, str]) -> list[str]:
     return out + [f"type {c}: {have[c]} != {t}" for c, t in expected.items() if c in have and have[c] != t]
 
 
+PRECISIONS = ("float32", "float64")     # fixed: names of float precision in artefact metadata
+
+
+def artefact_problem(active: Column, dataset_precision: Column, dataset_path: Column, metadata_path: Column, model_data_path: Column,
+                     model_precision: Column, model_columns: Column) -> Column:
+    """First reason for which a dataset and a model must not be audited together, ``ok`` where there is none.
+
+    Paths and model precisions that are NULL or blank are not stated and not compared; a dataset must state its precision.
+    """
+    def name(c: Column) -> Column:
+        return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+    def place(c: Column) -> Column:
+        return F.nullif(F.regexp_replace(F.regexp_replace(F.trim(c), r"\\\\+", "/"), "/+$", ""), F.lit(""))
+
+    def differs(a: Column, b: Column) -> Column:
+        return a.isNotNull() & ~a.eqNullSafe(b)
+
+    unknown = lambda c: ~F.coalesce(c.isin(*PRECISIONS), F.lit(False))
+    of_data, of_model, of_columns = name(dataset_precision), name(model_precision), name(model_columns)
+    return (F.when(unknown(of_data), "dataset_precision_unknown").when(differs(of_data, name(active)), "dataset_stale")
+            .when(differs(place(metadata_path), place(dataset_path)), "metadata_of_other_dataset")
+            .when(differs(place(model_data_path), place(dataset_path)), "model_of_other_dataset")
+            .when(of_model.isNotNull() & unknown(of_model), "model_precision_unknown").when(differs(of_model, name(active)), "model_precision_differs")
+            .when(of_columns.isNotNull() & unknown(of_columns), "model_columns_unknown").when(differs(of_columns, of_data), "model_columns_differ").otherwise("ok"))
+
+
 def audit_window(predictions: DataFrame, warmup_seconds: int, key: list[str]) -> DataFrame:
     a = predictions.groupBy(*key).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("decision_rows"))
     return a.withColumn("warmup_start", F.timestamp_seconds(F.unix_seconds("start") - warmup_seconds))

@@ -419,6 +419,27 @@ def drop_candidates(t):
     return audit.drop_candidates(audit.diff_rollup(_diff(t), ["feature"]), max_rel=0.0005, max_mismatch=10, max_missing=0.02)
 
 
+_FLOATS = "CASE {0} % 5 WHEN 0 THEN 'float32' WHEN 1 THEN ' Float64 ' WHEN 2 THEN 'float64' WHEN 3 THEN 'half' END"
+_ARTEFACTS = f"""SELECT l_orderkey, l_linenumber, 'float64' AS active, {_FLOATS.format('l_partkey')} AS data, '/d/' || l_suppkey % 3 AS path,
+    CASE WHEN l_quantity > 10 THEN '/d/' || l_suppkey % 3 || '/' WHEN l_quantity > 5 THEN '' WHEN l_quantity > 2 THEN '/d/0' END AS meta,
+    CASE WHEN l_linenumber > 2 THEN '/d/' || l_suppkey % 3 WHEN l_linenumber > 1 THEN '/d/1' END AS used,
+    {_FLOATS.format('l_orderkey')} AS model, {_FLOATS.format('(l_orderkey + l_linenumber)')} AS cols FROM lineitem"""
+
+
+@query("artefact_validation", "AUD14", "l_orderkey:i l_linenumber:i problem:s",
+       f"""SELECT l_orderkey, l_linenumber, CASE WHEN d NOT IN ('float32', 'float64') OR d IS NULL THEN 'dataset_precision_unknown' WHEN d <> active THEN 'dataset_stale'
+          WHEN rtrim(meta, '/') <> '' AND rtrim(meta, '/') <> path THEN 'metadata_of_other_dataset' WHEN used <> path THEN 'model_of_other_dataset'
+          WHEN m NOT IN ('float32', 'float64') THEN 'model_precision_unknown' WHEN m <> active THEN 'model_precision_differs'
+          WHEN c NOT IN ('float32', 'float64') THEN 'model_columns_unknown' WHEN c <> d THEN 'model_columns_differ' ELSE 'ok' END AS problem
+          FROM (SELECT *, lower(trim(data)) AS d, lower(trim(model)) AS m, lower(trim(cols)) AS c FROM ({_ARTEFACTS}))""")
+def artefact_validation(t):
+    """Metadata rows of artefacts, derived from lineitem, each with the first reason against an audit."""
+    t.raw("lineitem").createOrReplaceTempView("artefact_lines")
+    rows = t.spark.sql(_ARTEFACTS.replace("FROM lineitem", "FROM artefact_lines"))
+    problem = audit.artefact_problem(*[F.col(c) for c in ("active", "data", "path", "meta", "used", "model", "cols")])
+    return rows.withColumn("problem", problem)
+
+
 @query("audit_window", "AUD15", "symbol:s start_ts:t end_ts:t decision_rows:i warmup_start:t",
        "SELECT symbol, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS decision_rows, min(ts) - INTERVAL 2 DAY AS warmup_start FROM preds WHERE decision GROUP BY 1")
 def audit_window(t):
