@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.columns import col
+from barloom.operators.oneway import TIE_DIGITS
 from barloom.operators.ordered import Layout, running, settle
+from barloom.operators.quantiles import quantile_columns
 
 # Fixed values of the decision rules.
 EPS = 1e-12
+HOT_ROWS = 1_000_000                # rows of a bucket that one aggregate may hold
 TICK_FALLBACK = 0.01
 STAKE_DECIMALS = 2
 ADJUST_STEPS = 8
@@ -69,14 +74,27 @@ def median_of(cols: list) -> Column:
         (F.try_element_at(v, mid) + F.try_element_at(v, mid + 1)) / 2)
 
 
-def bucket_medians(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    """Median per bucket and the observation count; distinct values are counted before they meet."""
-    return df.groupBy(*key).agg(*[F.percentile(c, 0.5).alias(c) for c in cols], F.count(F.lit(1)).alias("observations"))
+def bucket_medians(df: DataFrame, key: list[str], cols: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Median of each column per bucket and the observation count.
+
+    A bucket of up to ``hot_rows`` rows is one aggregate.  Of larger ones, counts of value ranges find the range that holds the
+    middle, and only its rows are ordered, so no task holds the values of a hot bucket.
+    """
+    sizes = settle(df.groupBy(*key).agg(F.count(F.lit(1)).alias("observations")))
+    hot = sizes.where((F.col("observations") > hot_rows) & reduce(and_, [F.col(k).isNotNull() for k in key])).select(*key)
+    plain = lambda rows: rows.groupBy(*key).agg(*[F.percentile(c, 0.5).alias(c) for c in cols], F.count(F.lit(1)).alias("observations"))
+    if hot.isEmpty():
+        return plain(df)
+    large = df.join(hot, key, "left_semi")
+    found = sizes.join(hot, key, "left_semi")
+    for c in cols:
+        found = found.join(quantile_columns(large, key, c, {c: 0.5}), key, "left")
+    return plain(df.join(hot, key, "left_anti")).unionByName(found)
 
 
 def clean_probabilities(df: DataFrame, key: list[str], p: str) -> DataFrame:
     ok = F.col(p).isNotNull() & ~F.isnan(p) & F.col(p).between(0.0, 1.0)
-    return df.where(ok).groupBy(*key).agg(F.percentile(p, 0.5).alias("proba_up"))
+    return bucket_medians(df.where(ok), key, [p]).select(*key, F.col(p).alias("proba_up"))
 
 
 def backtest_frame(probabilities: DataFrame, prices: DataFrame, key: list[str]) -> DataFrame:

@@ -286,3 +286,16 @@ def test_segment_information_ratio(spark):
     s = mt.segment_scores(d, "x", "y", segments=4, train_frac=0.5, gap=5, q_ext=0.15, q_mid=0.2, clip_q=0.01, min_bucket=10)
     plain = mt.information_ratio(s, 4).first()["ir"]
     assert mt.information_ratio(s, 4, recency=(1.0, 1.5)).first()["ir"] > plain > 0
+
+
+def test_medians_of_hot_buckets(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": np.where(rng.random(3000) < 0.4, "hot", rng.integers(0, 40, 3000).astype(str)), "x": rng.integers(0, 50, 3000) / 4, "y": rng.normal(size=3000)})
+    pdf.loc[::7, "x"] = np.nan
+    d = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    want = pdf.groupby("k").agg(x=("x", "median"), y=("y", "median"), n=("k", "size"))
+    for hot_rows in (10**6, 100):
+        got = po.bucket_medians(d, ["k"], ["x", "y"], hot_rows).toPandas().set_index("k").loc[want.index]
+        np.testing.assert_allclose(got["x"], want["x"])
+        np.testing.assert_allclose(got["y"], want["y"])
+        assert (got["observations"] == want["n"]).all()
