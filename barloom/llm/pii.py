@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,7 +18,7 @@ DISCLOSURE = 0.9                    # share of a value's information content tha
 REMOVAL = 0.99                      # from this share on a term is removed, below it is generalised
 TERM = r"[\p{L}\p{N}]+"
 CHANCE = 0.01                       # bound on the probability that any term meets any value's documents as often by chance
-CELLS = 1 << 16                     # bytes of the table by which a scan passes over terms that are surely not telling
+CELLS = 1 << 18                     # bytes of the table by which a scan passes over terms that are surely not telling
 
 # The contract's patterns in forms that Java matches without recursion or repeated scans.
 EMAIL = (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-]"
@@ -130,20 +130,20 @@ def telling(once: DataFrame, terms: DataFrame, total: int) -> DataFrame:
     return pairs.filter(sure).select("term", share.alias("share")).filter(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"))
 
 
-def _cell(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(CELLS)).cast("int")
+def _cell(term: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(CELLS)).cast("int")
 
 
 def _told(terms: DataFrame, told: DataFrame) -> DataFrame:
     """``key`` and ``told`` (term to share) of the texts that hold a telling term.
 
-    A scan sees by a table of ``CELLS`` bytes which terms can be telling; the others are never exploded.
+    A scan sees by a table of ``CELLS`` bytes, two for each telling term, which terms can be telling; the others are never exploded.
     """
-    cells = bytearray(CELLS)
-    for (cell,) in told.select(_cell(F.col("term"))).distinct().collect():         # CELLS numbers at most
+    cells, seeds = bytearray(CELLS), (0, 1)
+    for (cell,) in told.select(F.explode(F.array(*[_cell(F.col("term"), s) for s in seeds]))).distinct().collect():   # CELLS numbers at most
         cells[cell] = 1
     table = F.lit(bytes(cells))
-    maybe = F.filter("terms", lambda t: F.substring(table, _cell(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+    maybe = F.filter("terms", lambda t: reduce(and_, [F.substring(table, _cell(t, s) + 1, F.lit(1)) == F.lit(b"\x01") for s in seeds]))
     found = terms.select("key", F.explode(maybe).alias("term")).join(told, "term")
     return found.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("told"))
 
