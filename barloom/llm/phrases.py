@@ -238,7 +238,8 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> DataF
         counts = counts if open_ is None else counts.unionByName(open_)
         complete = F.col("start") + (shards - 1) == step
         enough = (F.col("n") >= least) | (F.col("phrase") == "")
-        counts = settle(counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("cell").alias("cell"), F.max("start").alias("start"))
+        # Dealt before they are added up: a task's rows are distinct already, so adding them there would find nothing.
+        counts = settle(counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("cell").alias("cell"), F.max("start").alias("start"))
                         .filter(~complete | enough))
         done.append(counts.filter(complete & enough).select("lang", "phrase", "n"))
         open_ = counts.filter(~complete)
