@@ -28,8 +28,8 @@ LEAST = 100                         # occurrences
 TOP = 2000                          # phrases of a language
 SHARDS = 3
 CELL_BITS = 24                      # a table of 16 MB
-PACK_WORDS = 1 << 22                # words of the texts that are numbered together
-BLOCK_WORDS = 1 << 22               # words that a task counts together
+PACK_WORDS = 1 << 21                # words of the texts that are numbered together
+BLOCK_WORDS = 1 << 21               # words that a task counts together
 PIECE = 1 << 22                     # bytes that are split at a time
 BATCH_ROWS = 1 << 16
 NEVER = 255                         # cell that nothing has reached
