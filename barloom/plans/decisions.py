@@ -219,8 +219,9 @@ def record_price_backfill(t):
 @query("market_outcomes", "LIV02", "event_id:i actual_up:i",
        """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN price > 10 THEN 1 ELSE 0 END WHEN 3 THEN NULL ELSE NULL END AS actual_up FROM ticks WHERE price <> 10""")
 def market_outcomes(t):
-    m = F.col("event_id") % 5
-    frac = F.col("price") / (F.col("price") + 10)
+    """Open markets quote strictly between zero and one, above a half where the price is above 10."""
+    m, above = F.col("event_id") % 5, F.col("price") - 10
+    frac = 0.5 + 0.49 * above / (F.abs(above) + 20)
     prices = F.when(m == 1, F.array(F.lit("0"), F.lit("1"))).otherwise(F.array(frac.cast("string"), (1 - frac).cast("string")))
     body = F.to_json(F.struct(F.when(m == 0, "Up").alias("winning_outcome"), F.when(m == 2, "resolved").otherwise("proposed").alias("umaResolutionStatus"),
                               F.array(F.lit("Up"), F.lit("Down")).alias("outcomes"), prices.alias("outcomePrices")))
