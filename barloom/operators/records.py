@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barloom.functions.columns import col, finite
+from barloom.functions.columns import col, finite, quotient
 from barloom.operators.ordered import Layout, running
 from barloom.operators.policy import Fee
 
@@ -117,13 +117,17 @@ def settle_records(df: DataFrame, prefer_api: bool = False, shares=("closed_shar
 
 
 def fill_fields(df: DataFrame, response: str) -> DataFrame:
-    """Filled shares, stake and average price of an order response, falling back to what was requested."""
+    """Filled shares, stake and average price of an order response, falling back to what was requested.
+
+    A response without shares has no price; a stake requested for no shares has an infinite one.
+    """
     def num(path):
         return F.get_json_object(F.col(response), path).try_cast("double")
     shares = F.coalesce(num("$.takingAmount"), num("$.filled.shares"), F.col("requested_shares"))
     stake = F.coalesce(num("$.makingAmount"), num("$.filled.stake"), F.col("requested_stake"))
-    return df.withColumns({"filled_shares": shares, "filled_stake": stake, "fill_price": F.when(shares > 0, stake / shares),
-                           "fill_source": F.when(num("$.takingAmount").isNotNull() | num("$.filled.shares").isNotNull(), "response").otherwise("requested")})
+    answered = num("$.takingAmount").isNotNull() | num("$.filled.shares").isNotNull()
+    return df.withColumns({"filled_shares": shares, "filled_stake": stake, "fill_price": F.when(~answered | (shares > 0), quotient(stake, shares)),
+                           "fill_source": F.when(answered, "response").otherwise("requested")})
 
 
 def local_outcome_pnl(records: DataFrame, outcomes: DataFrame, key: list[str]) -> DataFrame:

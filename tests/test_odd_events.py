@@ -24,3 +24,9 @@ def matches(name, spark, folder):
 
 def test_open_market_at_price_zero_has_no_outcome(spark, odd):
     assert matches("market_outcomes", spark, odd).where("event_id = 68").first()["actual_up"] is None   # 68 % 5 = 3, 68 % 17 = 0
+
+
+def test_stake_requested_for_no_shares_has_an_infinite_price(spark, odd):
+    found = matches("order_fills", spark, odd)
+    assert found.where("event_id = 17").first()["fill_price"] == float("inf")
+    assert found.where("event_id = 90").first()["fill_price"] is None       # a response without shares
