@@ -226,7 +226,10 @@ def alignment(bins: DataFrame, curve: DataFrame) -> DataFrame:
 
 
 def suspicion(stats: DataFrame, strong: float = 0.5, weak: float = 0.2) -> DataFrame:
-    """Category and action per feature from the direction of dependence and observed target rate."""
+    """Category and action per feature from the direction of dependence and observed target rate.
+
+    A NULL direction is insufficient; NaN has no sign and is above every bound.
+    """
     a, b = F.col("pd_tau"), F.col("target_tau")
     opposite = (F.signum(a) * F.signum(b) < 0) & (F.abs(a) >= strong) & (F.abs(b) >= strong)
     cat = (F.when(a.isNull() | b.isNull(), "insufficient").when(opposite, "direction_conflict").when((F.abs(a) >= strong) & (F.abs(b) < weak), "model_only")

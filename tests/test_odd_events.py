@@ -30,3 +30,10 @@ def test_stake_requested_for_no_shares_has_an_infinite_price(spark, odd):
     found = matches("order_fills", spark, odd)
     assert found.where("event_id = 17").first()["fill_price"] == float("inf")
     assert found.where("event_id = 90").first()["fill_price"] is None       # a response without shares
+
+
+def test_suspicion_of_predictions_that_all_tie(spark, odd, tmp_path):
+    """Volumes so large that every prediction is zero to the digits that count."""
+    duckdb.execute(f"COPY (SELECT * REPLACE (replace(props, ': ', ': 1000') AS props) FROM '{odd}/events.parquet') TO '{tmp_path}/events.parquet'")
+    categories = {r["category"] for r in matches("suspicion_report", spark, str(tmp_path)).collect()}
+    assert "insufficient" not in categories
