@@ -37,3 +37,11 @@ def test_suspicion_of_predictions_that_all_tie(spark, odd, tmp_path):
     duckdb.execute(f"COPY (SELECT * REPLACE (replace(props, ': ', ': 1000') AS props) FROM '{odd}/events.parquet') TO '{tmp_path}/events.parquet'")
     categories = {r["category"] for r in matches("suspicion_report", spark, str(tmp_path)).collect()}
     assert "insufficient" not in categories
+
+
+@pytest.mark.parametrize("name", ["reaction_strengths"])
+def test_reactions_at_price_zero_are_limits(name, spark, odd):
+    """Infinite where a wick ends at zero, NaN where there is none, and no finite mass is lost beside them."""
+    found = matches(name, spark, odd)
+    values = found.columns[-1]
+    assert found.where(f"isnan({values})").count() and found.where(f"abs({values}) < double('inf')").count()
