@@ -45,3 +45,14 @@ def test_reactions_at_price_zero_are_limits(name, spark, odd):
     found = matches(name, spark, odd)
     values = found.columns[-1]
     assert found.where(f"isnan({values})").count() and found.where(f"abs({values}) < double('inf')").count()
+
+
+def test_snapshot_features_at_price_zero_are_limits(spark, odd):
+    found = matches("reaction_snapshot_features", spark, odd)
+    assert found.where("isnan(imbalance)").count() and found.where("resistance_above > 0").count()
+
+
+def test_snapshot_features_of_a_last_price_outside_the_bins(spark, odd, tmp_path):
+    """At 110 the bins from 90 to 99 are within reach."""
+    duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id >= 1497 THEN 110.0 WHEN value = 0 THEN 5.0 ELSE value END AS value) FROM '{odd}/events.parquet') TO '{tmp_path}/events.parquet'")
+    assert matches("reaction_snapshot_features", spark, str(tmp_path)).count() == 9
