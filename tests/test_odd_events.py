@@ -1,8 +1,12 @@
 """Queries against DuckDB on events with prices of zero, which the smallest given tables lack."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from barloom.operators import profiles as pr
+from barloom.operators.ordered import Layout
 from barloom.plans import REGISTRY
 from compare import compare, connect
 
@@ -56,3 +60,20 @@ def test_snapshot_features_of_a_last_price_outside_the_bins(spark, odd, tmp_path
     """At 110 the bins from 90 to 99 are within reach."""
     duckdb.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id >= 1497 THEN 110.0 WHEN value = 0 THEN 5.0 ELSE value END AS value) FROM '{odd}/events.parquet') TO '{tmp_path}/events.parquet'")
     assert matches("reaction_snapshot_features", spark, str(tmp_path)).count() == 9
+
+
+def test_profile_features_after_a_price_of_zero(spark, odd):
+    found = matches("reaction_profile_features", spark, odd)
+    assert found.where("isnan(support_below)").count()
+    assert found.where("resistance_above > 0 AND resistance_above < double('inf')").count()
+
+
+def test_infinite_masses_are_carried_over_chunks(spark):
+    """A wick to zero at hour 3, an open at zero at hour 30; chunks of eight rows."""
+    bars = spark.range(60).select(F.lit("s").alias("symbol"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.when(F.col("id") == 30, 0.0).otherwise(5.5).alias("open"),
+                                  F.lit(6.5).alias("high"), F.when(F.col("id").isin(3, 30), 0.0).otherwise(4.5).alias("low"), F.lit(5.6).alias("close"))
+    cfg = pr.ReactionProfile(price_max=100.0, step=1.0, neighbors=0.0, local_window=20, half_lives={"short": 2, "all": None}, positive_only=False)
+    got = pr.reaction_profile_features(bars, cfg, Layout(base_seconds=3600, rows=8)).orderBy("ts").toPandas()
+    for h in cfg.half_lives:
+        below, above = got[f"rp_{h}_support_below"], got[f"rp_{h}_resistance_above"]
+        assert np.isfinite(below[:3]).all() and np.isinf(below[3:30]).all() and np.isnan(below[30:]).all() and np.isfinite(above).all() and (above > 0).all()
