@@ -77,3 +77,8 @@ def test_infinite_masses_are_carried_over_chunks(spark):
     for h in cfg.half_lives:
         below, above = got[f"rp_{h}_support_below"], got[f"rp_{h}_resistance_above"]
         assert np.isfinite(below[:3]).all() and np.isinf(below[3:30]).all() and np.isnan(below[30:]).all() and np.isfinite(above).all() and (above > 0).all()
+
+
+def test_streamed_profile_after_a_price_of_zero(spark, odd):
+    found = matches("stream_reaction_profile", spark, odd)
+    assert found.where("isnan(support_below_short)").count() and found.where("resistance_above_all > 0").count()
